@@ -1,51 +1,59 @@
 """Money: per-lot rounding, exact sums, labels.
 
-A lot's amount is rounded to whole units in HUF (half to even) and to cents in any other currency
-(half away from zero). Rounded amounts are exact decimals, so sums do not depend on row order.
+A lot's amount is rounded to whole units in HUF (half to even) and to cents in any other currency (half
+away from zero). Rounded amounts are counted in cents as whole numbers, so sums are exact and do not
+depend on row order.
 """
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from fundlake.functions import exact
+
 HOME_CURRENCY = "HUF"
-AMOUNT = "decimal(28,2)"
-# Above this size a micro-unit count no longer fits a long; the decimal path takes over.
+AMOUNT = "decimal(38,2)"
+# Below this size millionths fit a long; larger amounts take the decimal way to the same result.
 _LONG_LIMIT = 9.0e12
 
 
-def round_units(x: Column) -> Column:
-    """Whole units, half to even, as an exact amount."""
-    return F.rint(x).cast(AMOUNT)
+def unit_cents(x: Column) -> Column:
+    """``x`` in whole units, half to even, counted in cents."""
+    return F.rint(x).cast("bigint") * 100
 
 
-def round_cents(x: Column) -> Column:
-    """Two digits, half away from zero, on the value taken to six decimals first."""
-    return F.round(x.cast("decimal(28,6)"), 2).cast(AMOUNT)
+def cents(x: Column) -> Column:
+    """``x`` with two digits, half away from zero, taken to millionths first; counted in cents."""
+    whole = exact.div(exact.millionths(F.abs(x)) + 5000, 10_000)
+    small = F.when(x < 0, -whole).otherwise(whole)
+    large = (F.round(x.cast("decimal(28,6)"), 2) * 100).cast("bigint")
+    return F.when(F.abs(x) < _LONG_LIMIT, small).otherwise(large)
 
 
-def round_amount(x: Column, currency: Column) -> Column:
-    """Rounding of one lot's amount in its own currency."""
-    return F.when(currency == HOME_CURRENCY, round_units(x)).otherwise(round_cents(x))
+def lot_cents(x: Column, currency: Column) -> Column:
+    """One lot's amount, rounded as its currency demands, counted in cents."""
+    return F.when(currency == HOME_CURRENCY, unit_cents(x)).otherwise(cents(x))
 
 
-def plain_number(x: Column) -> Column:
-    """Decimal text without trailing zeros: 17, 2.5."""
-    text = x.cast("decimal(28,6)").cast("string")
-    return F.regexp_replace(text, r"\.?0+$", "")
+def amount(x: Column) -> Column:
+    """Cents as an amount with two digits."""
+    return (x.cast(exact.WHOLE) * F.lit(Decimal("0.01"))).cast(AMOUNT)
 
 
-def label(amount: Column, currency: Column) -> Column:
-    """``1234 HUF`` or ``12.30 EUR``; NULL when the amount is NULL."""
-    units = amount.cast("decimal(38,0)").cast("string")
-    cents = amount.cast("decimal(38,2)").cast("string")
-    return F.concat(F.when(currency == HOME_CURRENCY, units).otherwise(cents), F.lit(" "), currency)
+def label(x: Column, currency: Column) -> Column:
+    """Amount text: ``1234 HUF`` or ``12.30 EUR``; NULL when the amount is NULL."""
+    units = x.cast("decimal(38,0)").cast("string")
+    text = F.when(currency == HOME_CURRENCY, units).otherwise(x.cast(AMOUNT).cast("string"))
+    return F.concat(text, F.lit(" "), currency)
 
 
-def total(x: Column) -> Column:
-    """Sum of exact amounts."""
-    return F.sum(x).cast("decimal(38,2)")
+def plain_number(x: Column) -> Column:
+    """Decimal text without trailing zeros: 17, 2.5."""
+    text = x.cast("decimal(28,6)").cast("string")
+    return F.regexp_replace(text, r"\.?0+$", "")
 
 
 def thousands(x: Column) -> Column:

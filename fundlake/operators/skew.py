@@ -1,0 +1,49 @@
+"""Splitting of join keys that hold a large share of the rows."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# A key is heavy from this share of all rows on. There are at most MAX_HEAVY heavy keys whatever the size
+# of the data, so the table of heavy keys can always be broadcast.
+MAX_HEAVY = 2_000
+MIN_ROWS = 1_000_000
+
+PARTS = "_parts"
+SALT = "_salt"
+
+
+def heavy_keys(rows: DataFrame, keys: Sequence[str], max_heavy: int = MAX_HEAVY,
+               min_rows: int = MIN_ROWS) -> DataFrame:
+    """Keys with more than 1/``max_heavy`` of all rows and more than ``min_rows``, with the number of
+    parts to split them into: at most ``max_heavy`` rows."""
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    share = F.greatest(
+        F.lit(min_rows), F.ceil(counts.agg(F.sum("_n").alias("n")).scalar() / max_heavy)
+    )
+    return counts.filter(F.col("_n") > share).select(
+        *keys, F.ceil(F.col("_n") / share).cast("int").alias(PARTS)
+    )
+
+
+def salt_rows(rows: DataFrame, heavy: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Number the rows of heavy keys by a hash of the whole row; all other rows get salt 0."""
+    parts = F.coalesce(F.col(PARTS), F.lit(1))
+    return (
+        rows.join(F.broadcast(heavy), list(keys), "left")
+        .withColumn(SALT, F.pmod(F.xxhash64(*rows.columns), parts).cast("int"))
+        .drop(PARTS)
+    )
+
+
+def copy_rows(rows: DataFrame, heavy: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One copy of the row for every salt of its key."""
+    last = F.coalesce(F.col(PARTS), F.lit(1)) - 1
+    return (
+        rows.join(F.broadcast(heavy), list(keys), "left")
+        .withColumn(SALT, F.explode(F.sequence(F.lit(0), last)))
+        .drop(PARTS)
+    )

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fundlake.functions import money
+from fundlake.functions import exact, money
 from fundlake.operators.range_join import join_dates_in_interval
 from fundlake.operators.repeat import repeat_rows
+from fundlake.operators.skew import heavy_keys
 from fundlake.plans import views
 from fundlake.sources.tables import Tables
 
@@ -39,7 +40,7 @@ def portfolio_performance_ts(t: Tables, ordered: bool = True) -> DataFrame:
     group = ["portfolio_id", "last", "currency", "fund_id", "share_amount"]
     bought = held.groupBy(*group, "value_date").agg(
         F.count("tr_value").alias("lots"),
-        money.total(money.round_amount(F.col("tr_value"), F.col("currency"))).alias("cost"),
+        exact.total(money.lot_cents(F.col("tr_value"), F.col("currency"))).alias("cost"),
     )
     by_group = Window.partitionBy(*group).orderBy("value_date")
     so_far = by_group.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -47,20 +48,34 @@ def portfolio_performance_ts(t: Tables, ordered: bool = True) -> DataFrame:
         *group,
         F.col("value_date").alias("start"),
         F.coalesce(F.lead("value_date").over(by_group), F.date_add("last", 1)).alias("until"),
-        F.sum("lots").over(so_far).alias("lots"),
-        F.sum("cost").over(so_far).cast(BALANCE).alias("cost"),
-    )
+        F.nullif(F.sum("lots").over(so_far), F.lit(0)).alias("lots"),
+        F.sum("cost").over(so_far).cast(exact.WHOLE).alias("cost"),
+    ).select(
+        "*",
+        (F.col("cost") / exact.MILLION).cast("bigint").alias("cost_high"),
+        (F.col("cost") % exact.MILLION).cast("bigint").alias("cost_low"),
+    ).drop("cost")
     prices = t.fund_price.select("fund_id", F.col("value_date").alias("date"), "price")
-    worth = money.round_amount(F.col("price") * F.col("share_amount"), F.col("currency"))
-    gain = (worth * F.col("lots").cast("decimal(18,0)")).cast(BALANCE) - F.col("cost")
+    worth = money.lot_cents(F.col("price") * F.col("share_amount"), F.col("currency"))
     sums = (
-        join_dates_in_interval(intervals, prices, ["fund_id"], "start", "until", "date")
-        .select("portfolio_id", "date", "currency",
-                F.when(F.col("lots") > 0, gain).cast(BALANCE).alias("gain"), "cost")
+        join_dates_in_interval(intervals, prices, ["fund_id"], "start", "until", "date",
+                               heavy_keys(t.fund_investment_transaction, ["fund_id"]))
+        .select("portfolio_id", "date", "currency", "lots", "cost_high", "cost_low",
+                worth.alias("worth"))
         .groupBy("portfolio_id", "date", "currency")
         .agg(
-            F.sum("gain").cast("double").alias("accumulated_yield"),
-            F.sum("cost").cast("double").alias("cumulative_balance"),
+            exact.join_halves(
+                F.sum(exact.div(F.col("worth"), exact.MILLION) * F.col("lots")),
+                F.sum(exact.rem(F.col("worth"), exact.MILLION) * F.col("lots")),
+            ).alias("worth"),
+            exact.join_halves(F.sum("cost_high"), F.sum("cost_low")).alias("cost"),
+        )
+        .select(
+            "portfolio_id",
+            "date",
+            "currency",
+            money.amount(F.col("worth") - F.col("cost")).cast("double").alias("accumulated_yield"),
+            money.amount(F.col("cost")).cast("double").alias("cumulative_balance"),
         )
     )
     name = t.portfolio.select(F.col("id").alias("portfolio_id"), F.col("name").alias("portfolio"))

@@ -7,15 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fundlake.functions import money
+from fundlake.functions import exact, money
 from fundlake.operators.range_join import join_dates_in_interval
+from fundlake.operators.skew import heavy_keys
 from fundlake.sources.tables import Tables
 
-# Shares and prices as exact numbers; their product fills decimal(38,12).
-SHARES = "decimal(20,6)"
-PRICE = "decimal(17,6)"
-VALUE = "decimal(38,12)"
-
 
 def account_currency(t: Tables) -> DataFrame:
     """One row per account: account_id, account_name, currency_id, currency."""
@@ -98,47 +94,52 @@ def daily_returns(lots: DataFrame, prices: DataFrame, keys: Sequence[str]) -> Da
     A purchase on a day without a price has no cost and is left out.
     """
     keys = list(keys)
-    price = F.col("price").cast(PRICE)
-    quotes = prices.select("fund_id", F.col("value_date").alias("date"), price.alias("price"))
-
+    by_fund = Window.partitionBy("fund_id")
+    quotes = prices.select(
+        "fund_id", F.col("value_date").alias("date"), exact.millionths(F.col("price")).alias("price")
+    )
+    moves = quotes.select(
+        "fund_id",
+        "date",
+        "price",
+        F.coalesce(F.lag("price").over(by_fund.orderBy("date")), F.lit(0)).alias("before"),
+        F.max("date").over(by_fund).alias("last"),
+    )
     bought = (
-        lots.groupBy(*keys, "fund_id", "value_date")
-        .agg(F.sum(F.col("share_amount").cast(SHARES)).cast(SHARES).alias("bought"))
-        .join(quotes.select("fund_id", F.col("date").alias("value_date")), ["fund_id", "value_date"],
-              "left_semi")
+        lots.groupBy(*keys, "fund_id", F.col("value_date").alias("date"))
+        .agg(F.sum(exact.millionths(F.col("share_amount"))).alias("bought"))
+        .join(moves, ["fund_id", "date"])
     )
-    by_holding = Window.partitionBy(*keys, "fund_id").orderBy("value_date")
-    last_day = prices.agg(F.max("value_date").alias("last")).scalar()
+    by_holding = Window.partitionBy(*keys, "fund_id").orderBy("date")
     holdings = bought.select(
         *keys,
         "fund_id",
-        F.col("value_date").alias("start"),
-        F.coalesce(F.lead("value_date").over(by_holding), F.date_add(last_day, 1)).alias("until"),
-        "bought",
+        F.col("date").alias("start"),
+        F.coalesce(F.lead("date").over(by_holding), F.date_add("last", 1)).alias("until"),
         F.sum("bought").over(
             by_holding.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        ).cast(SHARES).alias("held"),
+        ).alias("held"),
     )
-    zero = F.lit(0).cast(PRICE)
-    moves = quotes.withColumn(
-        "before",
-        F.coalesce(F.lag("price").over(Window.partitionBy("fund_id").orderBy("date")), zero),
-    ).select("fund_id", "date", "price", "before",
-             (F.col("price") - F.col("before")).cast(PRICE).alias("move"))
 
-    purchase_day = F.col("date") == F.col("start")
-    held_change = F.col("held") * F.col("move")
+    def parts(name: str, shares: str, value: Column) -> list[Column]:
+        return [p.alias(f"{name}{i}") for i, p in enumerate(exact.product_parts(F.col(shares), value))]
+
+    def summed(name: str) -> Column:
+        return exact.product_total(*[F.sum(f"{name}{i}") for i in range(3)]).alias(name)
+
+    moved = join_dates_in_interval(
+        holdings,
+        moves.select("fund_id", "date", (F.col("price") - F.col("before")).alias("move")),
+        ["fund_id"], "start", "until", "date", heavy_keys(lots, ["fund_id"]),
+    ).select(*keys, "date", *parts("change", "held", F.col("move")))
+    # On its day a purchase brings in the value of its shares at the price before that day's move.
+    entered = bought.select(
+        *keys, "date", *parts("change", "bought", F.col("before")), *parts("flow", "bought", F.col("price"))
+    )
     daily = (
-        join_dates_in_interval(holdings, moves, ["fund_id"], "start", "until", "date")
-        .select(
-            *keys,
-            "date",
-            F.when(purchase_day, held_change + F.col("bought") * F.col("before"))
-            .otherwise(held_change).cast(VALUE).alias("change"),
-            F.when(purchase_day, F.col("bought") * F.col("price")).cast(VALUE).alias("flow"),
-        )
+        moved.unionByName(entered, allowMissingColumns=True)
         .groupBy(*keys, "date")
-        .agg(F.sum("change").cast(VALUE).alias("change"), F.sum("flow").cast(VALUE).alias("flow"))
+        .agg(summed("change"), summed("flow"))
     )
     by_day = Window.partitionBy(*keys).orderBy("date")
     valued = daily.select(
@@ -184,7 +185,7 @@ def account_returns(t: Tables) -> DataFrame:
 
 
 def statement_amounts(t: Tables) -> DataFrame:
-    """Per account: invested, market value and profit/loss, summed over lots rounded one by one.
+    """Per account: invested, market value and profit/loss in cents, summed over lots rounded one by one.
 
     Both roundings are summed per account before the account's currency is joined, so the lots are
     combined on the map side and never shuffled by account.
@@ -199,13 +200,13 @@ def statement_amounts(t: Tables) -> DataFrame:
     def sums(suffix: str, rounded) -> list[Column]:
         cost, worth = rounded(F.col("cost")), rounded(F.col("worth"))
         return [
-            money.total(cost).alias(f"invested_{suffix}"),
-            money.total(worth).alias(f"market_{suffix}"),
-            money.total(worth - cost).alias(f"profit_{suffix}"),
+            exact.total(cost).alias(f"invested_{suffix}"),
+            exact.total(worth).alias(f"market_{suffix}"),
+            exact.total(worth - cost).alias(f"profit_{suffix}"),
         ]
 
     by_account = lots.groupBy("account_id").agg(
-        *sums("units", money.round_units), *sums("cents", money.round_cents)
+        *sums("units", money.unit_cents), *sums("cents", money.cents)
     )
 
     def pick(measure: str) -> Column:
