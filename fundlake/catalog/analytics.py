@@ -85,9 +85,8 @@ ENTRIES: dict[str, Entry] = {
         " from {portfolio_return} r join {portfolio} p on p.id=r.key_id",
     ),
     "account_returns": Entry(
-        on_tables(lambda t: _returns(views.account_returns(t))),
-        'select x.portfolio_id, x.account_id, r.date, round(r.mv,2) market_value,'
-        ' round(r.cf,2) cash_flow, round(r.ret,6) "return"'
+        on_tables(lambda t: rounded(views.account_returns(t), "return").drop("market_value", "cash_flow")),
+        'select x.portfolio_id, x.account_id, r.date, round(r.ret,6) "return"'
         " from {account_return} r join {portfolio_x_account_rltnp} x on x.account_id=r.key_id",
     ),
     "update_valuation_date": Entry(

@@ -106,7 +106,6 @@ VIEWS["recent_return"] = """
          on e.portfolio=m.portfolio and e.date=m.recent"""
 
 
-def render(query: str) -> str:
+def render(query: str, extra: dict[str, str]) -> str:
     """The query with all statements it needs in front, names resolved."""
-    return fixtures.with_tables(query, VIEWS)
-
+    return fixtures.with_tables(query, {**VIEWS, **extra})

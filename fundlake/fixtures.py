@@ -139,15 +139,19 @@ def tables(spark: SparkSession, sf_dir: str) -> Tables:
         list(schemas.SOURCE),
         lambda name: read(spark, name, sf_dir, schemas.SOURCE[name], suffix=".parquet"),
     )
-    derived: Tables
+    everything: Tables
 
-    def derive(name: str) -> DataFrame:
-        inputs = {n: derived[n] if n in STATEMENTS else given[n]
-                  for n in sorted(set(_NAME.findall(STATEMENTS[name])))}
-        return spark.sql(STATEMENTS[name], **inputs)
+    def open_table(name: str) -> DataFrame:
+        return derive(everything, STATEMENTS[name]) if name in STATEMENTS else given[name]
 
-    derived = Tables(list(STATEMENTS), derive)
-    return derived
+    everything = Tables([*STATEMENTS, *given], open_table)
+    return everything
+
+
+def derive(t: Tables, statement: str) -> DataFrame:
+    """Result of a statement in the common SQL; table names stand in braces."""
+    inputs = {name: t[name] for name in sorted(set(_NAME.findall(statement)))}
+    return next(iter(inputs.values())).sparkSession.sql(statement, **inputs)
 
 
 def with_tables(query: str, views: Mapping[str, str] | None = None) -> str:

@@ -115,7 +115,7 @@ def exclude_known_dates(batch: DataFrame, target: DataFrame, entity: str = "fund
 def _staged_rates(staging: DataFrame) -> DataFrame:
     return staging.select(
         "rate_name",
-        F.try_to_date("value_date", F.lit(ISO_DATE)).alias("value_date"),
+        F.try_to_date("value_date", ISO_DATE).alias("value_date"),
         F.col("value").try_cast("double").alias("value"),
     )
 
@@ -145,7 +145,7 @@ def load_fund_price_dedup(staging: DataFrame, fund_price: DataFrame,
     """Staged fund prices -> new rows for ``fund_price`` by (fund, date)."""
     batch = staging.select(
         F.col("fund_id").try_cast("bigint").alias("fund_id"),
-        F.try_to_date("date", F.lit(ISO_DATE)).alias("value_date"),
+        F.try_to_date("date", ISO_DATE).alias("value_date"),
         F.col("price").try_cast("double").alias("price"),
     )
     return new_rows(batch, fund_price, ["fund_id", "value_date"], dedup_batch=dedup_batch)
@@ -158,7 +158,7 @@ def load_yield_curve_dedup(staging: DataFrame, yield_curve: DataFrame,
         F.col("currency_id").try_cast("int").alias("currency_id"),
         F.col("tenor").try_cast("double").alias("tenor"),
         "type",
-        F.try_to_date("date", F.lit(ISO_DATE)).alias("value_date"),
+        F.try_to_date("date", ISO_DATE).alias("value_date"),
         F.col("yield").try_cast("double").alias("yield"),
     )
     return new_rows(batch, yield_curve, ["currency_id", "tenor", "type", "value_date"],

@@ -66,6 +66,9 @@ MODEL: dict[str, T.StructType] = {
     ),
 }
 
+# Prices as loaded, before the store gives an id and a time stamp.
+PRICE_ROW = _schema("fund_id bigint, value_date date, price double")
+
 SOURCE: dict[str, T.StructType] = {
     "region": _schema("r_regionkey int, r_name string"),
     "nation": _schema("n_nationkey int, n_name string, n_regionkey int"),

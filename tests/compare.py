@@ -5,17 +5,19 @@
 
 from __future__ import annotations
 
-import datetime
-import decimal
 import pathlib
 import sys
+import tempfile
 import time
 
 import duckdb
 from pyspark.sql import SparkSession
 
 ROOT = pathlib.Path(__file__).resolve().parent.parent
-sys.path.insert(0, str(ROOT))
+if str(ROOT) not in sys.path:
+    sys.path.insert(0, str(ROOT))
+
+from fundlake import registry  # noqa: E402
 
 
 def session(cpus: int = 8) -> SparkSession:
@@ -42,57 +44,44 @@ def oracle(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
-def _cell(value: object) -> object:
-    if isinstance(value, float):
-        return 0.0 if value == 0 else value
-    if isinstance(value, decimal.Decimal):
-        return value.normalize()
-    if isinstance(value, datetime.datetime):
-        return value.replace(tzinfo=None)
-    return value
-
-
-def _rows(columns: list[str], rows: list) -> list[tuple]:
-    order = sorted(range(len(columns)), key=lambda i: columns[i])
-    return sorted((tuple(_cell(r[i]) for i in order) for r in rows), key=repr)
-
-
-def differences(spark: SparkSession, con: duckdb.DuckDBPyConnection, sf_dir: str, key: str) -> str:
-    """Empty when the query and its oracle give the same columns and rows."""
-    from fundlake import registry
-
-    df = registry.queries()[key](spark, sf_dir)
-    got = _rows(df.columns, df.collect())
-    cursor = con.execute(registry.oracle_sql()[key])
-    columns = [d[0] for d in cursor.description]
-    want = _rows(columns, cursor.fetchall())
-    if sorted(df.columns) != sorted(columns):
-        return f"columns {sorted(df.columns)} / {sorted(columns)}"
-    if got == want:
-        types = [
-            (name, {type(r[i]).__name__ for r in got if r[i] is not None},
-             {type(r[i]).__name__ for r in want if r[i] is not None})
-            for i, name in enumerate(sorted(columns))
-        ]
-        wrong = [t for t in types if t[1] != t[2]]
-        return f"types {wrong}" if wrong else ""
-    a, b = set(got), set(want)
-    return (f"rows {len(got)} / {len(want)}; only spark {len(a - b)}: {sorted(a - b, key=repr)[:2]};"
-            f" only oracle {len(b - a)}: {sorted(b - a, key=repr)[:2]}")
-
+def _columns(con: duckdb.DuckDBPyConnection, relation: str) -> dict[str, str]:
+    rows = con.execute(f"describe {relation}").fetchall()
+    return {name: kind for name, kind, *_ in sorted(rows)}
+
+
+def differences(spark: SparkSession, con: duckdb.DuckDBPyConnection, sf_dir: str, key: str,
+                folder: str) -> str:
+    """Empty when the query and its oracle give the same columns, types and rows (as multisets)."""
+    path = f"{folder}/{key}"
+    registry.queries()[key](spark, sf_dir).write.parquet(path)
+    con.execute(f"create or replace temp view got as select * from read_parquet('{path}/*.parquet')")
+    con.execute(f"create or replace temp table want as {registry.oracle_sql()[key]}")
+    got, want = _columns(con, "got"), _columns(con, "want")
+    if got != want:
+        return f"columns {sorted(set(got.items()) ^ set(want.items()))}"
+    names = ", ".join(f'"{name}"' for name in got)
+    extra, missing = (
+        con.execute(f"select {names} from {a} except all select {names} from {b} limit 2").fetchall()
+        for a, b in (("got", "want"), ("want", "got"))
+    )
+    if extra or missing:
+        counts = con.execute("select (select count(*) from got), (select count(*) from want)").fetchone()
+        return f"rows {counts}; only spark {extra}; only oracle {missing}"
+    return ""
 
-if __name__ == "__main__":
-    from fundlake import registry
 
-    folder, wanted = sys.argv[1], sys.argv[2:]
-    spark_session, connection = session(), oracle(folder)
-    for name in wanted or registry.ENTRIES:
+def main() -> None:
+    sf_dir, wanted = sys.argv[1], sys.argv[2:]
+    spark, con, folder = session(), oracle(sf_dir), tempfile.mkdtemp(prefix="compare-")
+    for key in wanted or registry.ENTRIES:
         start = time.time()
         try:
-            if registry.ENTRIES[name].sql:
-                problem = differences(spark_session, connection, folder, name)
-            else:
-                problem = f"(no oracle, {registry.queries()[name](spark_session, folder).count()} rows)"
+            problem = differences(spark, con, sf_dir, key, folder)
+            rows = con.execute("select count(*) from want").fetchone()[0]
         except Exception as error:  # report every key, then go on
-            problem = f"{type(error).__name__}: {str(error)[:1500]}"
-        print(f"{name:32s} {time.time() - start:6.1f}s {problem or 'ok'}", flush=True)
+            problem, rows = f"{type(error).__name__}: {str(error)[:600]}", None
+        print(f"{key:30s} {time.time() - start:6.1f}s {rows} rows {problem or 'ok'}", flush=True)
+
+
+if __name__ == "__main__":
+    main()
