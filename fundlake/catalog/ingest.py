@@ -268,7 +268,7 @@ ENTRIES: dict[str, Entry] = {
     "html_table_extract": Entry(
         on_tables(_fund_page_rows),
         f"""select fund_id, fund_name, "year", row_no, date, price, net_asset_value, paid_dividend
-        from (select p.fund_id, f.fund_name, year(p.value_date) as "year",
+        from (select p.fund_id, f.fund_name, cast(year(p.value_date) as int) as "year",
                      cast(1+row_number() over (partition by p.fund_id, year(p.value_date) order by p.value_date)
                           as int) row_no,
                      strftime(p.value_date,'%Y.%m.%d.') date,
@@ -276,7 +276,7 @@ ENTRIES: dict[str, Entry] = {
                      format('{{:,.2f}}', p.price*1000) net_asset_value, '0' paid_dividend
               from {{fund_price}} p join {{fund}} f on p.fund_id=f.id
               union all
-              select distinct p.fund_id, f.fund_name, year(p.value_date), 1, 'Date', 'Price',
+              select distinct p.fund_id, f.fund_name, cast(year(p.value_date) as int), 1, 'Date', 'Price',
                      'Net asset value', 'Dividend'
               from {{fund_price}} p join {{fund}} f on p.fund_id=f.id) r""",
     ),

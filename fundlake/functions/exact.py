@@ -54,6 +54,6 @@ def product_total(first: Column, second: Column, third: Column) -> Column:
     """The number from its three summed parts."""
     def scaled(x: Column, digits: int) -> Column:
         unit = F.lit(Decimal(1).scaleb(-digits))
-        return (x.cast("decimal(20,0)") * unit).cast(PRODUCT)
+        return (x.cast("decimal(20,0)") * unit).cast("decimal(31,12)")
 
-    return (first.cast(PRODUCT) + scaled(second, 6) + scaled(third, 12)).cast(PRODUCT)
+    return (scaled(first, 0) + scaled(second, 6) + scaled(third, 12)).cast(PRODUCT)

@@ -16,12 +16,10 @@ ISO_DATE = "yyyy-MM-dd"
 
 def _home_pairs(t: Tables) -> DataFrame:
     """Currency pairs into the home currency: rate_id, currency_id, iso_code."""
-    home = t.currency.filter(F.col("iso_code") == money.HOME_CURRENCY).select(
-        F.col("id").alias("to_currency_id")
-    )
+    home = t.currency.filter(F.col("iso_code") == money.HOME_CURRENCY).select("id").scalar()
     currency = t.currency.select(F.col("id").alias("currency_id"), "iso_code")
     return (
-        t.rate_fx.join(home, "to_currency_id")
+        t.rate_fx.filter(F.col("to_currency_id") == home)
         .select(F.col("id").alias("rate_id"), F.col("from_currency_id").alias("currency_id"))
         .join(currency, "currency_id")
     )
