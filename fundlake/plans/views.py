@@ -108,10 +108,9 @@ def daily_returns(lots: DataFrame, prices: DataFrame, keys: Sequence[str]) -> Da
     bought = (
         lots.groupBy(*keys, "fund_id", F.col("value_date").alias("date"))
         .agg(F.sum(exact.millionths(F.col("share_amount"))).alias("bought"))
-        .join(moves, ["fund_id", "date"])
     )
     by_holding = Window.partitionBy(*keys, "fund_id").orderBy("date")
-    holdings = bought.select(
+    holdings = bought.join(moves, ["fund_id", "date"]).select(
         *keys,
         "fund_id",
         F.col("date").alias("start"),
@@ -119,28 +118,33 @@ def daily_returns(lots: DataFrame, prices: DataFrame, keys: Sequence[str]) -> Da
         F.sum("bought").over(
             by_holding.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         ).alias("held"),
+        "bought",
+        "price",
+        "before",
     )
-
-    def parts(name: str, shares: str, value: Column) -> list[Column]:
-        return [p.alias(f"{name}{i}") for i, p in enumerate(exact.product_parts(F.col(shares), value))]
-
-    def summed(name: str) -> Column:
-        return exact.product_total(*[F.sum(f"{name}{i}") for i in range(3)]).alias(name)
-
     moved = join_dates_in_interval(
         holdings,
         moves.select("fund_id", "date", (F.col("price") - F.col("before")).alias("move")),
-        ["fund_id"], "start", "until", "date", heavy_keys(lots, ["fund_id"]),
-    ).select(*keys, "date", *parts("change", "held", F.col("move")))
-    # On its day a purchase brings in the value of its shares at the price before that day's move.
-    entered = bought.select(
-        *keys, "date", *parts("change", "bought", F.col("before")), *parts("flow", "bought", F.col("price"))
-    )
-    daily = (
-        moved.unionByName(entered, allowMissingColumns=True)
-        .groupBy(*keys, "date")
-        .agg(summed("change"), summed("flow"))
+        ["fund_id"], "start", "until", "date",
+        heavy_keys(bought.filter(F.col("bought").isNotNull()), ["fund_id"]),
     )
+    # On its day a purchase brings in the value of its shares at the price before that day's move.
+    first_day = F.col("date") == F.col("start")
+    parts = {
+        "change": exact.product_parts(F.col("held"), F.col("move")),
+        "entered": exact.product_parts(F.col("bought"), F.col("before")),
+        "flow": exact.product_parts(F.col("bought"), F.col("price")),
+    }
+    daily = moved.select(
+        *keys,
+        "date",
+        *[(change + F.when(first_day, entered).otherwise(0)).alias(f"change{i}")
+          for i, (change, entered) in enumerate(zip(parts["change"], parts["entered"]))],
+        *[F.when(first_day, flow).alias(f"flow{i}") for i, flow in enumerate(parts["flow"])],
+    ).groupBy(*keys, "date").agg(*[
+        exact.product_total(*[F.sum(f"{name}{i}") for i in range(3)]).alias(name)
+        for name in ("change", "flow")
+    ])
     by_day = Window.partitionBy(*keys).orderBy("date")
     valued = daily.select(
         *keys,

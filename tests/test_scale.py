@@ -125,3 +125,39 @@ def test_recent_return_is_one_of_the_expanding_ones(spark, sf_dir):
 def test_unordered_reports_have_the_same_rows(small_book):
     ordered = statements.lot_performance(small_book)
     assert ordered.exceptAll(statements.lot_performance(small_book, ordered=False)).count() == 0
+
+
+def test_a_hot_account_is_split(spark, small_book):
+    """Half of all lots belong to one account: adaptive execution splits its join partition."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10KB",
+    }
+    account = F.when(F.col("id") % 2 == 0, 1).otherwise(F.col("id"))
+    lots = spark.range(0, 60_000, 1, 8).select(
+        account.alias("account_id"), (F.col("id") % 97).alias("fund_id"),
+        F.lit(datetime.date(2020, 1, 2)).alias("value_date"), F.rand(1).alias("share_amount"))
+    members = spark.range(0, 60_000, 1, 8).select(F.lit(1).alias("portfolio_id"), F.col("id").alias("account_id"))
+    t = small_book.replace(fund_investment_transaction=lots, portfolio_x_account_rltnp=members)
+    old = {name: spark.conf.get(name) for name in settings}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        joined = views.portfolio_lots(t).groupBy("fund_id").count()
+        assert sum(r["count"] for r in joined.collect()) == 60_000
+        assert "skew=true" in plan(joined)
+    finally:
+        for name, value in old.items():
+            spark.conf.set(name, value)
+
+
+def test_reports_do_not_change_when_keys_are_split(spark, sf_dir, monkeypatch):
+    from fundlake.operators import skew
+
+    t = fixtures.tables(spark, sf_dir)
+    plain = views.portfolio_returns(t).collect()
+    monkeypatch.setattr(skew.heavy_keys, "__defaults__", (40, 10))
+    split = views.portfolio_returns(fixtures.tables(spark, sf_dir)).collect()
+    assert sorted(map(tuple, plain), key=repr) == sorted(map(tuple, split), key=repr)
