@@ -13,7 +13,7 @@ from fundlake import fixtures, schemas
 from fundlake.catalog import Entry, on_tables
 from fundlake.functions import cleaning
 from fundlake.operators import loads
-from fundlake.plans import refresh
+from fundlake.plans import jobs, refresh
 from fundlake.sources import html, positional, requests, tables
 from fundlake.sources.tables import Tables
 from fundlake.streaming.ingest import stream_ingest
@@ -399,5 +399,12 @@ ENTRIES: dict[str, Entry] = {
         select 'interest_series', count(*) from {rate_value} v join {rate} r on v.rate_id=r.id
         where r.rate_type='interest'""",
     ),
+    "fund_price_import": Entry(
+        on_tables(lambda t: jobs.fund_prices_by_isin(
+            _seventh_table_pages(t).drop("year"), t.replace(fund_price=_old_prices(t)))),
+        f"""select p.fund_id, p.value_date, {_FUND_ROW}
+        from {{fund_price}} p left join {_ANTI_PRICE} o on p.fund_id=o.fund_id and p.value_date=o.value_date
+        where o.fund_id is null""",
+    ),
     "stream_ingest": Entry(_stream, "select fund_id, value_date, price from {fund_price}"),
 }

@@ -108,9 +108,12 @@ def annualized_return_expanding(returns: DataFrame) -> DataFrame:
     )
 
 
-def recent_annualized_return(t: Tables) -> DataFrame:
-    """The latest annualized return of every portfolio that has one."""
-    expanding = annualized_return_expanding(views.portfolio_returns(t))
+def recent_annualized_return(t: Tables, returns: DataFrame | None = None) -> DataFrame:
+    """The latest annualized return of every portfolio that has one.
+
+    ``returns`` may be the stored copy of the portfolio returns.
+    """
+    expanding = annualized_return_expanding(views.portfolio_returns(t) if returns is None else returns)
     return expanding.groupBy("portfolio").agg(
         F.max("date").alias("date"), F.max_by("ann_yield_pct", "date").alias("ann_yield_pct")
     )

@@ -94,7 +94,8 @@ def daily_returns(lots: DataFrame, prices: DataFrame, keys: Sequence[str]) -> Da
     A purchase on a day without a price has no cost and is left out.
     """
     keys = list(keys)
-    by_fund = Window.partitionBy("fund_id")
+    by_fund = Window.partitionBy("fund_id").orderBy("date")
+    all_days = by_fund.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     quotes = prices.select(
         "fund_id", F.col("value_date").alias("date"), exact.millionths(F.col("price")).alias("price")
     )
@@ -102,8 +103,8 @@ def daily_returns(lots: DataFrame, prices: DataFrame, keys: Sequence[str]) -> Da
         "fund_id",
         "date",
         "price",
-        F.coalesce(F.lag("price").over(by_fund.orderBy("date")), F.lit(0)).alias("before"),
-        F.max("date").over(by_fund).alias("last"),
+        F.coalesce(F.lag("price").over(by_fund), F.lit(0)).alias("before"),
+        F.last("date").over(all_days).alias("last"),
     )
     bought = (
         lots.groupBy(*keys, "fund_id", F.col("value_date").alias("date"))

@@ -19,6 +19,7 @@ _TAG = r"(?s)<[^>]*>"
 # Character references and their text; the ampersand comes last.
 _REFERENCES = (("&nbsp;", " "), ("&#160;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'),
                ("&apos;", "'"), ("&#39;", "'"), ("&amp;", "&"))
+_BLANKS = " \t\r\n\f\u00a0"
 
 
 def _all(text: Column, pattern: str) -> Column:
@@ -27,10 +28,11 @@ def _all(text: Column, pattern: str) -> Column:
 
 def cell_text(cell: Column) -> Column:
     """Text of a cell: tags removed, character references replaced, trimmed."""
-    text = F.regexp_replace(cell, _TAG, "")
+    text = F.when(F.contains(cell, F.lit("<")), F.regexp_replace(cell, _TAG, "")).otherwise(cell)
+    replaced = text
     for reference, character in _REFERENCES:
-        text = F.replace(text, F.lit(reference), F.lit(character))
-    return F.trim(F.regexp_replace(text, r"^[\s ]+|[\s ]+$", ""))
+        replaced = F.replace(replaced, F.lit(reference), F.lit(character))
+    return F.btrim(F.when(F.contains(text, F.lit("&")), replaced).otherwise(text), F.lit(_BLANKS))
 
 
 def extract_html_table(pages: DataFrame, table_no: int, key_cols: Sequence[str],
