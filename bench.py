@@ -1,7 +1,7 @@
 """Time the headline queries; prints one JSON line.
 
 BENCH_SF_DIR is the folder of the Parquet tables, BENCH_CPUS the number of local cores. Every query runs
-once to warm up and then three times into the noop sink; the median counts.
+once to warm up and then twice into the noop sink; the median counts.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ QUERIES = [
     "account_statement", "lot_performance", "key_figures", "fund_price_development",
     "account_balance_history", "load_fund_price_dedup", "html_table_extract",
 ]
-RUNS = 3
+RUNS = 2
 
 
 def main() -> None:

@@ -2,8 +2,8 @@
 
 Sums of wide decimals cost most of the time of an aggregation over many rows. Here a whole number is
 summed as quotient and remainder of a million, and a product of two numbers with six decimals as three
-partial products; each part is a long. The decimal is built once per result row. A sum that leaves the
-range (9e24 for totals) raises an overflow error, it never wraps.
+partial products; each part is a long. The decimal is built once per result row. In ANSI mode, the default,
+a sum that leaves the range (9e24 for totals) raises an overflow error.
 """
 
 from __future__ import annotations

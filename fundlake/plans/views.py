@@ -94,45 +94,34 @@ def daily_returns(lots: DataFrame, prices: DataFrame, keys: Sequence[str]) -> Da
     A purchase on a day without a price has no cost and is left out.
     """
     keys = list(keys)
-    by_fund = Window.partitionBy("fund_id").orderBy("date")
-    all_days = by_fund.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     quotes = prices.select(
         "fund_id", F.col("value_date").alias("date"), exact.millionths(F.col("price")).alias("price")
     )
-    moves = quotes.select(
-        "fund_id",
-        "date",
-        "price",
-        F.coalesce(F.lag("price").over(by_fund), F.lit(0)).alias("before"),
-        F.last("date").over(all_days).alias("last"),
-    )
     bought = (
         lots.groupBy(*keys, "fund_id", F.col("value_date").alias("date"))
         .agg(F.sum(exact.millionths(F.col("share_amount"))).alias("bought"))
+        .join(quotes.select("fund_id", "date"), ["fund_id", "date"], "left_semi")
     )
     by_holding = Window.partitionBy(*keys, "fund_id").orderBy("date")
-    holdings = bought.join(moves, ["fund_id", "date"]).select(
+    holdings = bought.select(
         *keys,
         "fund_id",
         F.col("date").alias("start"),
-        F.coalesce(F.lead("date").over(by_holding), F.date_add("last", 1)).alias("until"),
+        F.lead("date").over(by_holding).alias("until"),
+        "bought",
         F.sum("bought").over(
             by_holding.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         ).alias("held"),
-        "bought",
-        "price",
-        "before",
     )
+    before = F.lag("price").over(Window.partitionBy("fund_id").orderBy("date"))
+    moves = quotes.withColumn("before", F.coalesce(before, F.lit(0)))
     moved = join_dates_in_interval(
-        holdings,
-        moves.select("fund_id", "date", (F.col("price") - F.col("before")).alias("move")),
-        ["fund_id"], "start", "until", "date",
-        heavy_keys(bought.filter(F.col("bought").isNotNull()), ["fund_id"]),
+        holdings, moves, ["fund_id"], "start", "until", "date", heavy_keys(lots, ["fund_id"])
     )
     # On its day a purchase brings in the value of its shares at the price before that day's move.
     first_day = F.col("date") == F.col("start")
     parts = {
-        "change": exact.product_parts(F.col("held"), F.col("move")),
+        "change": exact.product_parts(F.col("held"), F.col("price") - F.col("before")),
         "entered": exact.product_parts(F.col("bought"), F.col("before")),
         "flow": exact.product_parts(F.col("bought"), F.col("price")),
     }
