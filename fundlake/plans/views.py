@@ -103,11 +103,12 @@ def daily_returns(lots: DataFrame, prices: DataFrame, keys: Sequence[str]) -> Da
         .join(quotes.select("fund_id", "date"), ["fund_id", "date"], "left_semi")
     )
     by_holding = Window.partitionBy(*keys, "fund_id").orderBy("date")
+    last_day = prices.agg(F.max("value_date").alias("last")).scalar()
     holdings = bought.select(
         *keys,
         "fund_id",
         F.col("date").alias("start"),
-        F.lead("date").over(by_holding).alias("until"),
+        F.coalesce(F.lead("date").over(by_holding), F.date_add(last_day, 1)).alias("until"),
         "bought",
         F.sum("bought").over(
             by_holding.rowsBetween(Window.unboundedPreceding, Window.currentRow)
