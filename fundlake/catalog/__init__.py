@@ -1,6 +1,6 @@
 """The registered queries: each key has a Spark callable and, where SQL can say it, an oracle query.
 
-Oracle queries are written in the plain form (theta joins, LEFT JOIN ... IS NULL, self joins), the Spark
+Oracle queries are written in the plain form (theta joins, correlated subqueries, self joins), the Spark
 side in the form that scales. Ratios are rounded to six digits on both sides for the comparison only.
 """
 
@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fundlake import fixtures
@@ -32,8 +32,3 @@ def on_tables(build: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, s
 def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
     """``df`` with some columns rounded."""
     return df.withColumns({c: F.round(F.col(c), digits) for c in columns})
-
-
-def day_number(column: str) -> Column:
-    """Date as yyyymmdd number, spelled as in the fixture statements."""
-    return F.year(column) * 10000 + F.month(column) * 100 + F.day(column)

@@ -7,21 +7,16 @@ from pyspark.sql import functions as F
 
 from fundlake import fixtures
 from fundlake.catalog import Entry, on_tables, rounded
-from fundlake.catalog.oracle import amount, label
+from fundlake.catalog.oracle import label
 from fundlake.operators.loads import update_valuation_date, with_valuation_dates
 from fundlake.plans import series, statements, views
 from fundlake.sources.tables import Tables
 
 
-def _sums(amounts: dict[str, str]) -> str:
-    """Statement columns: labelled sums of rounded amounts."""
-    return ", ".join(f"{label(f'sum({x})', 'fit.currency')} {name}" for name, x in amounts.items())
-
-
-_COST = amount("fit.tr_value", "fit.currency")
-_WORTH = amount("fpr.price*fit.share_amount", "fit.currency")
-_STATEMENT = _sums({"invested_amount": _COST, "market_value": _WORTH,
-                    "profit_loss": f"({_WORTH})-({_COST})"})
+_STATEMENT = ", ".join(
+    f"{label(f'sum({x})', 'currency')} {name}"
+    for name, x in (("invested_amount", "cost"), ("market_value", "worth"), ("profit_loss", "worth-cost"))
+)
 
 
 def _returns(df: DataFrame) -> DataFrame:
@@ -45,12 +40,9 @@ def _series_keys(t: Tables) -> DataFrame:
 
 
 def _converted(x: str) -> str:
-    rounded_amount = amount(x, "t1.currency")
-    return f"cast(round_even(cast({rounded_amount} as double)*coalesce(rv.value,1),0) as decimal(28,0))"
-
+    """A lot's amount in whole home units."""
+    return f"cast(round_even(cast({x} as double)*coalesce(fx.value,1),0) as decimal(28,0))"
 
-_FX_COST = _converted("t1.tr_value")
-_FX_WORTH = _converted("t1.share_amount*t1.price")
 
 ENTRIES: dict[str, Entry] = {
     "investment_lots": Entry(
@@ -108,61 +100,51 @@ ENTRIES: dict[str, Entry] = {
     ),
     "lot_performance": Entry(
         on_tables(lambda t: rounded(statements.lot_performance(t), "yield", "annualized_yield")),
-        f"""select fit.portfolio_id, fit.account_id, fit.account_name account, fit.fund_name fund,
-               fit.currency, fit.value_date,
-               regexp_replace(cast(cast(fit.share_amount as decimal(28,6)) as varchar), '\\.?0+$', '')
+        f"""select portfolio_id, account_id, account_name account, fund_name fund, currency, value_date,
+               regexp_replace(cast(cast(share_amount as decimal(28,6)) as varchar), '\\.?0+$', '')
                || ' pc' purchased_shares,
-               {label(_COST, 'fit.currency')} invested_amount,
-               {label(f'(({_WORTH})-({_COST}))', 'fit.currency')} profit_loss,
-               round((fpr.price*fit.share_amount-fit.tr_value)/nullif(fit.tr_value,0),6) yield,
-               round(case when (fpr.value_date-fit.value_date+1)<365.0 then null
-                     else pow(round_even(fpr.price*fit.share_amount,0)/nullif(round_even(fit.tr_value,0),0),
-                              365.0/cast(fpr.value_date-fit.value_date+1 as double))-1 end,6)
-               annualized_yield
-        from {{lot_vw}} fit left join {{recent_vw}} fpr on fit.fund_id=fpr.fund_id
-        order by fit.value_date desc, fit.portfolio_id, fit.account_id""",
+               {label('cost', 'currency')} invested_amount, {label('(worth-cost)', 'currency')} profit_loss,
+               round((raw_worth-tr_value)/nullif(tr_value,0),6) yield,
+               case when recent_date-value_date+1>=365
+                    then round(pow(round_even(raw_worth,0)/nullif(round_even(tr_value,0),0),
+                                   365/cast(recent_date-value_date+1 as double))-1,6) end annualized_yield
+        from {{valued_lot}}""",
     ),
     "account_statement": Entry(
         on_tables(statements.account_statement),
-        f"""select fit.account_name account, fit.currency, {_STATEMENT}
-        from {{lot_vw}} fit left join {{recent_vw}} fpr on fit.fund_id=fpr.fund_id
-        group by fit.account_id, fit.account_name, fit.currency order by fit.account_name""",
+        f"""select account_name account, currency, {_STATEMENT}
+        from {{valued_lot}} group by account_id, account_name, currency""",
     ),
     "portfolio_statement": Entry(
         on_tables(lambda t: rounded(statements.portfolio_statement(t), "annualized_yield")),
         f"""select s.portfolio, s.currency, s.invested_amount, s.market_value, s.profit_loss,
                round(r.ann_yield_pct/100,6) annualized_yield
-        from (select p.id, p.name portfolio, fit.currency, {_STATEMENT}
-              from {{lot_vw}} fit
-                   join {{portfolio_x_account_rltnp}} pxa on fit.account_id=pxa.account_id
-                   join {{portfolio}} p on pxa.portfolio_id=p.id
-                   left join {{recent_vw}} fpr on fit.fund_id=fpr.fund_id
-              group by p.id, p.name, fit.currency) s
-             left join {{recent_return}} r on s.portfolio=r.portfolio
-        order by s.id""",
+        from (select p.id, p.name portfolio, currency, {_STATEMENT}
+              from {{portfolio}} p join {{portfolio_x_account_rltnp}} m on m.portfolio_id=p.id
+                   join {{valued_lot}} l on l.account_id=m.account_id
+              group by p.id, p.name, currency) s
+             left join {{recent_return}} r on r.portfolio=s.portfolio""",
     ),
     "portfolio_distribution": Entry(
         on_tables(lambda t: rounded(statements.portfolio_distribution(t), "val", digits=2)),
-        """select id portfolio_id, name portfolio_name, fund_name, val from
-              (select p.id, p.name, fit.fund_name, count(p.id) over (partition by p.id) cnt,
-                      round(cast(sum(cast(fit.share_amount as decimal(20,6))*cast(fp.price as decimal(17,6)))
-                            as double),2) val
-               from {lot_vw} fit, {recent_vw} fp, {portfolio_x_account_rltnp} pxa, {portfolio} p
-               where fit.fund_id=fp.fund_id and fit.account_id=pxa.account_id and pxa.portfolio_id=p.id
-               group by p.id, p.name, fit.fund_name) t
-           where cnt>1 order by t.id""",
+        """select p.id portfolio_id, p.name portfolio_name, l.fund_name,
+               round(cast(sum(cast(l.share_amount as decimal(20,6))*cast(r.price as decimal(17,6)))
+                     as double),2) val
+        from {portfolio} p join {portfolio_x_account_rltnp} m on m.portfolio_id=p.id
+             join {lot_vw} l on l.account_id=m.account_id join {recent_vw} r on r.fund_id=l.fund_id
+        group by p.id, p.name, l.fund_name
+        qualify count(*) over (partition by p.id) > 1""",
     ),
     "key_figures": Entry(
         on_tables(statements.key_figures),
-        f"""select cast(sum({_FX_COST}) as double) total_init_investment,
-               cast(sum({_FX_WORTH}) as double) total_market_value,
-               cast(sum({_FX_WORTH}-{_FX_COST}) as double) total_yield
-        from (select fit.currency, fit.tr_value, fit.share_amount, fp.price,
-                     fp.value_date last_fund_price_date, rfx.id fxrate_id
-              from {{lot_vw}} fit left join {{recent_vw}} fp on fit.fund_id=fp.fund_id
-                   left join {{rate_fx}} rfx on fit.currency_id=rfx.from_currency_id
-                        and rfx.to_currency_id=(select id from {{currency}} where iso_code='HUF')) t1
-             left join {{rate_value}} rv on t1.fxrate_id=rv.rate_id and t1.last_fund_price_date=rv.value_date""",
+        f"""select cast(sum({_converted('l.cost')}) as double) total_init_investment,
+               cast(sum({_converted('l.worth')}) as double) total_market_value,
+               cast(sum({_converted('l.worth')}-{_converted('l.cost')}) as double) total_yield
+        from {{valued_lot}} l left join
+             (select x.from_currency_id, v.value_date, v.value
+              from {{rate_fx}} x join {{rate_value}} v on v.rate_id=x.id
+                   join {{currency}} home on home.id=x.to_currency_id and home.iso_code='HUF') fx
+             on fx.from_currency_id=l.currency_id and fx.value_date=l.recent_date""",
     ),
     "portfolio_directory": Entry(
         on_tables(lambda t: statements.portfolio_directory(update_valuation_date(t))),
@@ -171,18 +153,18 @@ ENTRIES: dict[str, Entry] = {
     ),
     "fund_price_development": Entry(
         on_tables(lambda t: rounded(series.fund_price_development(t), "change_pct", "purchase")),
-        """select t.id, t.fund_name, t.value_date, t.price, round(t.change_pct,6) change_pct,
-               round(case when t.purchase is not null then change_pct end,6) purchase,
-               case when t.purchase is not null then price end purchase_price
-        from (select f.id, f.fund_name, fp.value_date, fp.price,
-                     (fp.price/first_value(price) over (partition by f.id order by fp.value_date)-1)*100
-                     change_pct, fit.value_date purchase
-              from {fund_price} fp join {fund} f on fp.fund_id=f.id
-                   join (select fund_id, min(value_date) value_date
-                         from {fund_investment_transaction} group by fund_id) tmp
-                        on fp.fund_id=tmp.fund_id and fp.value_date>=tmp.value_date
-                   left join {fund_investment_transaction} fit
-                        on fp.fund_id=fit.fund_id and fp.value_date=fit.value_date) t""",
+        """select f.id, f.fund_name, q.value_date, q.price,
+               round((q.price/b.base-1)*100,6) change_pct,
+               case when x.id is not null then round((q.price/b.base-1)*100,6) end purchase,
+               case when x.id is not null then q.price end purchase_price
+        from {fund} f
+             join (select fp.fund_id, d.first_day, arg_min(fp.price, fp.value_date) base
+                   from {fund_price} fp join (select fund_id, min(value_date) first_day
+                                              from {fund_investment_transaction} group by fund_id) d
+                        on d.fund_id=fp.fund_id and d.first_day<=fp.value_date
+                   group by fp.fund_id, d.first_day) b on b.fund_id=f.id
+             join {fund_price} q on q.fund_id=f.id and q.value_date>=b.first_day
+             left join {fund_investment_transaction} x on x.fund_id=f.id and x.value_date=q.value_date""",
     ),
     "fx_history": Entry(
         on_tables(series.fx_history),
@@ -192,20 +174,14 @@ ENTRIES: dict[str, Entry] = {
     ),
     "account_balance_history": Entry(
         on_tables(lambda t: series.account_balance_history(t, fixtures.AS_OF)),
-        f"""select rep.reporting_period, t.account_id, t.account_name, t.currency,
-               cast(sum(cast(t.amount as decimal(28,2))) as double) balance
-        from (select cast(date_trunc('month', eom) + interval 1 month - interval 1 day as date)
-                     reporting_period
-              from (select unnest(generate_series(
-                        cast((select min(value_date) from {{cash_transaction}}) as timestamp),
-                        cast(date_trunc('month', date '{fixtures.AS_OF}') as timestamp) - interval 1 day,
-                        interval 1 month)) eom)) rep
-             left join (select t.account_id, a.account_name, c.iso_code currency, t.amount, t.value_date
-                        from {{cash_transaction}} t, {{account}} a, {{currency}} c
-                        where t.account_id=a.id and a.currency_id=c.id) t
-             on rep.reporting_period>=t.value_date
-        group by rep.reporting_period, t.account_id, t.account_name, t.currency
-        order by rep.reporting_period, t.account_id""",
+        f"""select m.reporting_period, a.id account_id, a.account_name, c.iso_code currency,
+               cast(sum(cast(x.amount as decimal(28,2))) as double) balance
+        from (select last_day(cast(d as date)) reporting_period
+              from (select unnest(range(timestamp '1990-01-01', timestamp '{fixtures.AS_OF}',
+                                        interval 1 month)) d)) m
+             join {{cash_transaction}} x on x.value_date<=m.reporting_period
+             join {{account}} a on a.id=x.account_id join {{currency}} c on c.id=a.currency_id
+        group by m.reporting_period, a.id, a.account_name, c.iso_code""",
     ),
     "series_split_by_currency": Entry(
         on_tables(_series_keys),

@@ -243,16 +243,18 @@ _LAST_PRICE = "(select fund_id, max(value_date) value_date from {fund_price} gro
 _FUND_CONTROL = f"""select f.id fund_id, f.isin, f.fund_name, f.source_id,
     coalesce(fpv.value_date, f.inception_date-1)+1 import_date_from
     from {{fund}} f left join {_LAST_PRICE} fpv on f.id=fpv.fund_id"""
-_FX_CONTROL = """select c.iso_code, rfx.id, coalesce(max(rv.value_date)+1, min(t.date_open)) import_date,
-    min(t.date_open) date_open_min, max(rv.value_date) last_fx_rate_value
-    from {account} t, {currency} c, {rate_fx} rfx, {rate_value} rv
-    where t.currency_id=c.id and c.iso_code!='HUF' and c.id=rfx.from_currency_id
-          and rfx.to_currency_id=(select id from {currency} where iso_code='HUF') and rfx.id=rv.rate_id
-    group by c.iso_code, rfx.id"""
-_INTEREST_CONTROL = """select r.id, r.rate_name, min(d.value_date) date_open,
-    coalesce((select max(value_date)+1 from {rate_value} v where v.rate_id=r.id), min(d.value_date)) import_date
-    from {deposit} d, {rate} r where d.reference_rate_id=r.id and r.rate_type='interest'
-    group by r.id, r.rate_name"""
+_FX_CONTROL = """select c.iso_code, x.id, max(v.value_date)+1 import_date, min(a.date_open) date_open_min,
+    max(v.value_date) last_fx_rate_value
+    from {rate_fx} x join {currency} c on c.id=x.from_currency_id
+         join {currency} home on home.id=x.to_currency_id and home.iso_code='HUF'
+         join {account} a on a.currency_id=c.id join {rate_value} v on v.rate_id=x.id
+    where c.iso_code<>'HUF' group by c.iso_code, x.id"""
+_INTEREST_CONTROL = """select id, rate_name, date_open, coalesce(last_day+1, date_open) import_date
+    from (select r.id, r.rate_name,
+                 (select min(value_date) from {deposit} d where d.reference_rate_id=r.id) date_open,
+                 (select max(value_date) from {rate_value} v where v.rate_id=r.id) last_day
+          from {rate} r where r.rate_type='interest') k
+    where date_open is not null"""
 _FUND_ROW = f"{_good('p.value_date', BAD_DAY, 'p.price')} price"
 
 ENTRIES: dict[str, Entry] = {
@@ -355,28 +357,26 @@ ENTRIES: dict[str, Entry] = {
     "load_index_dedup": Entry(
         on_tables(lambda t: loads.load_index_dedup(
             fixtures.derive(t, STAGED["ld_interest"]), t.replace(rate_value=_old_rates(t)))),
-        f"""select t.rate_id, t.value_date, t.value
-        from (select r.id rate_id, cast(l.value_date as date) value_date, cast(l.value as double) value
-              from {{ld_interest}} l left join {{rate}} r on l.rate_name=r.rate_name) t
-             left join {_ANTI_RATE} rv on t.rate_id=rv.rate_id and t.value_date=rv.value_date
-        where rv.rate_id is null""",
+        f"""select * from (select r.id rate_id, cast(l.value_date as date) value_date, cast(l.value as double) value
+                       from {{ld_interest}} l left join {{rate}} r on l.rate_name=r.rate_name) b
+        where not exists (select 1 from {_ANTI_RATE} k
+                          where k.rate_id=b.rate_id and k.value_date=b.value_date)""",
     ),
     "load_fund_price_dedup": Entry(
         on_tables(lambda t: loads.load_fund_price_dedup(t.ld_fund_price, _old_prices(t))),
-        f"""select cast(l.fund_id as bigint) fund_id, cast(l.date as date) value_date,
-               cast(l.price as double) price
-        from {{ld_fund_price}} l left join {_ANTI_PRICE} fp
-             on cast(l.fund_id as bigint)=fp.fund_id and cast(l.date as date)=fp.value_date
-        where fp.fund_id is null""",
+        f"""select * from (select cast(fund_id as bigint) fund_id, cast(date as date) value_date,
+                              cast(price as double) price from {{ld_fund_price}}) b
+        where not exists (select 1 from {_ANTI_PRICE} k
+                          where k.fund_id=b.fund_id and k.value_date=b.value_date)""",
     ),
     "load_yield_curve_dedup": Entry(
         on_tables(lambda t: loads.load_yield_curve_dedup(t.ld_yield_curve, _old_curve(t))),
-        f"""select cast(l.currency_id as int) currency_id, cast(l.tenor as double) tenor, l."type",
-               cast(l.date as date) value_date, cast(l.yield as double) yield
-        from {{ld_yield_curve}} l left join {_ANTI_CURVE} yc
-             on cast(l.currency_id as int)=yc.currency_id and cast(l.tenor as double)=yc.tenor
-                and l."type"=yc."type" and cast(l.date as date)=yc.value_date
-        where yc.currency_id is null""",
+        f"""select * from (select cast(currency_id as int) currency_id, cast(tenor as double) tenor, "type",
+                              cast(date as date) value_date, cast(yield as double) yield
+                       from {{ld_yield_curve}}) b
+        where not exists (select 1 from {_ANTI_CURVE} k
+                          where k.currency_id=b.currency_id and k.tenor=b.tenor and k."type"=b."type"
+                                and k.value_date=b.value_date)""",
     ),
     "exclude_known_dates": Entry(
         on_tables(lambda t: loads.exclude_known_dates(*_known_batch(t))),

@@ -35,23 +35,31 @@ VIEWS: dict[str, str] = {
     "recent_vw": """
         select fund_id, price, value_date from {fund_price} fp
         where value_date=(select max(value_date) from {fund_price} x where x.fund_id=fp.fund_id)""",
+    # Lots with their rounded cost and present worth.
+    "valued_lot": f"""
+        select l.*, r.price*l.share_amount raw_worth, r.value_date recent_date,
+               {amount('l.tr_value', 'l.currency')} cost,
+               {amount('r.price*l.share_amount', 'l.currency')} worth
+        from {{lot_vw}} l left join {{recent_vw}} r on r.fund_id=l.fund_id""",
     "portfolio_now": """
-        select p.id, p.name, p.description, coalesce(u.vd, p.last_valuation_date) last_valuation_date
-        from {portfolio} p left join
-             (select pxa.portfolio_id, min(fpr.value_date) vd
-              from {portfolio_x_account_rltnp} pxa, {account} a, {fund_investment_transaction} fit,
-                   {recent_vw} fpr
-              where pxa.account_id=a.id and a.id=fit.account_id and fit.fund_id=fpr.fund_id
-              group by pxa.portfolio_id) u on p.id=u.portfolio_id""",
+        select id, name, description,
+               coalesce((select min(r.value_date)
+                         from {portfolio_x_account_rltnp} m
+                              join {fund_investment_transaction} x on x.account_id=m.account_id
+                              join {recent_vw} r on r.fund_id=x.fund_id
+                         where m.portfolio_id=p.id), last_valuation_date) last_valuation_date
+        from {portfolio} p""",
     "performance": f"""
-        select p.id portfolio_id, p.name portfolio, fp.value_date date, fit.currency,
-               cast(sum({amount('fp.price*fit.share_amount', 'fit.currency')}
-                        - {amount('fit.tr_value', 'fit.currency')}) as double) accumulated_yield,
-               cast(sum({amount('fit.tr_value', 'fit.currency')}) as double) cumulative_balance
-        from {{lot_vw}} fit, {{fund_price}} fp, {{portfolio_x_account_rltnp}} pxa, {{portfolio_now}} p
-        where fit.account_id=pxa.account_id and pxa.portfolio_id=p.id and fit.fund_id=fp.fund_id
-              and fit.value_date<=fp.value_date and p.last_valuation_date>=fp.value_date
-        group by p.id, p.name, fp.value_date, fit.currency""",
+        select portfolio_id, portfolio, date, currency, cast(sum(worth-cost) as double) accumulated_yield,
+               cast(sum(cost) as double) cumulative_balance
+        from (select p.id portfolio_id, p.name portfolio, q.value_date date, l.currency,
+                     {amount('l.tr_value', 'l.currency')} cost,
+                     {amount('q.price*l.share_amount', 'l.currency')} worth
+              from {{lot_vw}} l join {{fund_price}} q on q.fund_id=l.fund_id
+                   join {{portfolio_x_account_rltnp}} m on m.account_id=l.account_id
+                   join {{portfolio_now}} p on p.id=m.portfolio_id
+              where q.value_date between l.value_date and p.last_valuation_date) lot_day
+        group by portfolio_id, portfolio, date, currency""",
     # Market value on every day one of the held funds has a price: shares and price as of that day.
     "portfolio_day": """
         select portfolio_id key_id, fund_id, value_date, sum(share_amount) shares
