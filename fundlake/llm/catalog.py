@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fundlake.llm import minhash
+from fundlake.llm import decontaminate, minhash, mixing, quality, toxicity
 from fundlake.llm.common import table
 
 
@@ -15,7 +15,30 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of ten words of the benchmark in all documents."""
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=10)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def op6_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents, learned from the labels outside fold 0 of 5."""
+    return quality.learned_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of all documents by the weights 5, 2, 1."""
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op9_toxicity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learned from the labels outside fold 2 of 4."""
+    found = toxicity.learned_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted", "n_hits", "n_words")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op8_minhash_near_dedup,)
+    f.__name__: f for f in (
+        op4_decontamination, op6_quality_trees, op7_source_mixing, op8_minhash_near_dedup, op9_toxicity_lexicon)
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_decontamination": decontaminate.ORACLE, "op7_source_mixing": mixing.ORACLE}
