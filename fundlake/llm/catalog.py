@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fundlake.llm import decontaminate, minhash, mixing, quality, toxicity
+from fundlake.llm import boilerplate, decontaminate, minhash, mixing, quality, toxicity
 from fundlake.llm.common import table
 
 
@@ -37,8 +37,14 @@ def op9_toxicity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "score", "predicted", "n_hits", "n_words")
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return boilerplate.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op4_decontamination, op6_quality_trees, op7_source_mixing, op8_minhash_near_dedup, op9_toxicity_lexicon)
+        op4_decontamination, op6_quality_trees, op7_source_mixing, op8_minhash_near_dedup, op9_toxicity_lexicon,
+        op10_html_extraction)
 }
 ORACLES: dict[str, str] = {"op4_decontamination": decontaminate.ORACLE, "op7_source_mixing": mixing.ORACLE}
