@@ -188,7 +188,8 @@ TABLE = [
     _page((1, 30, 0, "boilerplate", "", 0), (1, 90, 0, "boilerplate", "", 0), (1, 6, 0, "article", "heading", 1), (1, 15, 0, "article", "", 1),
           (1, 4, 0, "article form", "", 0), (1, 12, 0, "article form", "", 0), (1, 70, 70, "article", "", 1), (1, 35, 0, "form", "", 0)),
     _page((2, 1, 1, "", "item", 0), (1, 2, 0, "article", "heading", 1), (1, 1, 0, "article", "", 1), (1, 3, 3, "article", "item", 1),
-          (1, 2, 0, "article", "item", 1), (1, 8, 8, "article", "", 1), (1, 1, 0, "article", "", 1), (5, 4, 4, "article boilerplate", "item", 0)),
+          (1, 2, 0, "article", "item", 1), (1, 8, 8, "article", "", 1), (1, 6, 3, "article form", "", 0), (1, 30, 8, "article form", "", 0),
+          (2, 5, 5, "article form", "item", 0), (1, 60, 0, "article form", "", 0), (1, 1, 0, "article", "", 1), (5, 4, 4, "article boilerplate", "item", 0)),
     _page((1, 1, 1, "boilerplate", "", 0), (1, 2, 0, "article", "heading", 1), (1, 4, 2, "article", "", 1), (1, 2, 2, "article", "item", 1),
           (1, 3, 0, "article", "", 1), (1, 12, 2, "boilerplate", "", 0), (1, 3, 0, "article", "heading", 1), (1, 5, 5, "boilerplate", "", 0)),
     # no container is marked: words and links decide
@@ -202,6 +203,17 @@ TABLE = [
 ]
 
 
+def _marked_pages() -> Iterator[list[tuple[Block, int]]]:
+    """Pages whose containers say what belongs to the article, with blocks of every length and share of links."""
+    shapes = [(words, links * words // 10) for words in (1, 3, 8, 20, 60, 150) for links in (0, 1, 3, 6, 10)]
+    for place in ("boilerplate", "form", "article boilerplate", "article form"):
+        for element in ("", "heading", "item"):
+            inner = [(1, *shape, "article", element, 1) for shape in shapes]
+            outer = [(1, *shape, place, element, 0) for shape in reversed(shapes)]
+            yield _page(*(row for pair in zip(inner, outer, strict=True) for row in pair))
+            yield _page(*outer, *inner)
+
+
 @dataclass
 class Tree:
     """A binary tree in arrays; leaves have feature -1 and carry the share of article blocks."""
@@ -252,9 +264,10 @@ def train(x: np.ndarray, y: np.ndarray, depth: int = 7) -> Tree:
 
 
 def trained() -> Tree:
-    """The tree of TABLE."""
-    x = np.concatenate([_described([b for b, _ in page]) for page in TABLE])
-    return train(x, np.array([label for page in TABLE for _, label in page], float))
+    """The tree of TABLE and of pages with marked containers."""
+    pages = [*TABLE, *_marked_pages()]
+    x = np.concatenate([_described([b for b, _ in page]) for page in pages])
+    return train(x, np.array([label for page in pages for _, label in page], float))
 
 
 def main_text(page: str | None, tree: Tree) -> str:
