@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fundlake.llm import boilerplate, decontaminate, minhash, mixing, quality, toxicity
+from fundlake.llm import boilerplate, decontaminate, minhash, mixing, pseudonyms, quality, suffixes, toxicity
 from fundlake.llm.common import table
 
 
@@ -15,12 +15,23 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strings of 400 bytes that occur more than once in all documents, removed."""
+    found = suffixes.without_repeats(table(spark, sf_dir, "documents"), window=400)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of ten words of the benchmark in all documents."""
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=10)
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op5_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with pseudonyms in place of personal values, under a key for tests."""
+    return pseudonyms.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), KEY)
+
+
 def op6_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of all documents, learned from the labels outside fold 0 of 5."""
     return quality.learned_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -42,9 +53,11 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boilerplate.extract(table(spark, sf_dir, "pages"))
 
 
+#: Not a secret: real runs pass their own key.
+KEY = "check-key"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op4_decontamination, op6_quality_trees, op7_source_mixing, op8_minhash_near_dedup, op9_toxicity_lexicon,
+        op3_suffix_dedup, op4_decontamination, op5_pii_pseudonyms, op6_quality_trees, op7_source_mixing, op8_minhash_near_dedup, op9_toxicity_lexicon,
         op10_html_extraction)
 }
 ORACLES: dict[str, str] = {"op4_decontamination": decontaminate.ORACLE, "op7_source_mixing": mixing.ORACLE}
