@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fundlake.llm import boilerplate, decontaminate, minhash, mixing, pseudonyms, quality, suffixes, toxicity
+from fundlake.llm import boilerplate, decontaminate, minhash, mixing, pseudonyms, quality, secrets, suffixes, toxicity, vamana
 from fundlake.llm.common import table
 
 
@@ -15,6 +15,16 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate of all documents with the forest's verdict."""
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+def op2_graph_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of every hundredth embedding among all others."""
+    return vamana.search_embeddings(table(spark, sf_dir, "embeddings"), every=100, k=10)
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strings of 400 bytes that occur more than once in all documents, removed."""
     found = suffixes.without_repeats(table(spark, sf_dir, "documents"), window=400)
@@ -57,7 +67,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 KEY = "check-key"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op3_suffix_dedup, op4_decontamination, op5_pii_pseudonyms, op6_quality_trees, op7_source_mixing, op8_minhash_near_dedup, op9_toxicity_lexicon,
+        op1_secret_scan, op2_graph_neighbours, op3_suffix_dedup, op4_decontamination, op5_pii_pseudonyms, op6_quality_trees, op7_source_mixing, op8_minhash_near_dedup, op9_toxicity_lexicon,
         op10_html_extraction)
 }
 ORACLES: dict[str, str] = {"op4_decontamination": decontaminate.ORACLE, "op7_source_mixing": mixing.ORACLE}

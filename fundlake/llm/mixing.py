@@ -87,27 +87,39 @@ def _thresholds(slim: DataFrame, targets: DataFrame) -> DataFrame:
     return state.select("src", "rounds", "below", F.coalesce(F.col("words") - F.col("left") < F.col("left"), F.lit(False)).alias("equal"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target (the source's), taken, repeats."""
+def _measured(docs: DataFrame) -> DataFrame:
+    """The documents with src, size and hash."""
     identity = F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit(""))
-    slim = stored(docs.select(
-        "doc_id", "source", _source_key(F.col("source")).alias("src"), word_count(F.col("text")).alias("size"),
-        F.shiftright(F.conv(F.substring(F.md5(identity), 1, 8), 16, 10).cast("long"), 32 - _BITS * _LEVELS).alias("hash")))
-    targets = stored(source_targets(slim, weights, most))
-    plan = targets.join(_thresholds(slim, targets), "src")
+    return docs.withColumns({
+        "src": _source_key(F.col("source")), "size": word_count(F.col("text")),
+        "hash": F.shiftright(F.conv(F.substring(F.md5(identity), 1, 8), 16, 10).cast("long"), 32 - _BITS * _LEVELS)})
+
+
+def _repeats() -> Column:
     more = (F.col("hash") < F.col("below")) | ((F.col("hash") == F.col("below")) & F.col("equal"))
-    repeats = (F.col("rounds") + F.when(more, 1).otherwise(0)).cast("long")
+    return (F.col("rounds") + F.when(more, 1).otherwise(0)).cast("long")
+
+
+def _planned(docs: DataFrame, weights: tuple[float, ...], most: int) -> tuple[DataFrame, DataFrame]:
+    """(the measures of every document without its text, one row per source with its target and thresholds)."""
+    slim = stored(_measured(docs.select("doc_id", "source", "text")).drop("text"))
+    targets = stored(source_targets(slim, weights, most))
+    return slim, stored(targets.join(_thresholds(slim, targets), "src"))
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
+    """One row per document: doc_id, size, source_size, target (the source's), taken, repeats."""
+    slim, plan = _planned(docs, weights, most)
     return split_join(slim, plan, "src").select(
-        "doc_id", "source", "size", "source_size", "target", (F.col("size") * repeats).alias("taken"), repeats.alias("repeats"))
+        "doc_id", "source", "size", "source_size", "target", (F.col("size") * _repeats()).alias("taken"), _repeats().alias("repeats"))
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """The documents of the mix with all their columns, each with the number of times it is taken."""
-    chosen = mix(docs, weights, most)
-    named = chosen.where("doc_id is not null and repeats > 0").select("doc_id", "size", "repeats").dropDuplicates(["doc_id"])
-    kept = split_join(docs, named, "doc_id")
-    unnamed = docs.where("doc_id is null").select(*docs.columns, word_count(F.col("text")).alias("size"), F.lit(1).cast("long").alias("repeats"))
-    return kept.select(*docs.columns, "size", "repeats").unionByName(unnamed)
+    """The documents of the mix with doc_id, text, lang, source, n_chars, their size and how often each is taken."""
+    _, plan = _planned(docs, weights, most)
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    measured = _measured(docs.select(*columns))
+    return split_join(measured, plan, "src").select(*columns, "size", _repeats().alias("repeats")).where("repeats > 0")
 
 
 ORACLE = r"""
