@@ -5,11 +5,13 @@ shifted circularly by k, ranks it for coordinate k. Bands of the signature colle
 pair by pair inside a bucket:
 
 1. documents with the same shingle set become one class, its smallest id stands for it;
-2. every class of a bucket is compared with the bucket's hub (its smallest id) on whole sets, which gives each
+2. every class of a bucket meets the bucket's hub (its smallest id). A sketch (one byte of each coordinate) tells
+   whether they can belong to one family at all; those that cannot choose hubs among themselves by their sketches,
+   in pairs of blocks of a bounded size. Family members are compared with their hub on whole sets, which gives each
    member's difference from the hub;
 3. two members that the hub does not already link can only be similar if they share a token of their prefixes, in the
-   order "tokens outside the hub's set first". Members are grouped by such tokens, large groups are cut into pairs
-   of blocks, and the similarity follows exactly from the differences.
+   order "tokens outside the hub's set first". Members of a family larger than a block are grouped by such tokens,
+   large groups are cut into pairs of blocks, and the similarity follows exactly from the differences.
 
 Shingles are held as 64-bit hashes, so sets are equal up to a chance of about 1e-13 per pair. A pair at the
 threshold shares no band with a chance of at most 3e-7 (`bands_for`).
@@ -26,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fundlake.llm import hashing as H
@@ -34,6 +36,7 @@ from fundlake.llm.common import components, flat_bytes, slices, split_join, stor
 
 MISS = 3e-7  # greatest chance that a pair at the threshold meets in no band
 MOST_COORDINATES = 200
+FAMILY_GAP = 2.5  # a hub's family reaches to so many times the distance of a link
 BLOCK = 1024  # members of a group that one task compares with as many others
 _FACTORS = np.random.default_rng(77).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -48,6 +51,17 @@ def bands_for(percent: int) -> tuple[int, int]:
     raise AssertionError
 
 
+def family_matches(percent: int, coordinates: int) -> int:
+    """The least number of equal sketch bytes within a family.
+
+    Two linked documents lie at most one link apart in Jaccard distance, which is a metric: if one of them is beyond
+    FAMILY_GAP links from the hub, the other is beyond FAMILY_GAP - 1. The bound is set five deviations below the
+    share expected at that distance, so a linked pair is not parted by its hub.
+    """
+    near = max(0.0, 1 - FAMILY_GAP * (1 - percent / 100))
+    return max(0, math.floor(coordinates * near - 5 * math.sqrt(coordinates * near * (1 - near))))
+
+
 def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text, in order."""
     for _, _, data, offsets in slices(column):
@@ -98,8 +112,11 @@ def _described(size: int, bands: int, rows: int):
                 sets = list(shingle_sets(part.column("text"), size))
                 full = [i for i, s in enumerate(sets) if len(s)]
                 keys = np.zeros((len(full), bands), np.int64)
+                sketches: list[bytes | None] = [None] * len(sets)
                 if full:
                     signed = _signatures([sets[i] for i in full], bands * rows).astype(np.uint64).reshape(len(full), bands, rows)
+                    for i, row in zip(full, signed.reshape(len(full), -1).astype(np.uint8), strict=True):
+                        sketches[i] = row.tobytes()
                     keys = H.mix((signed * _FACTORS[:rows]).sum(2) + _FACTORS[None, :bands]).view(np.int64)
                 ends = np.zeros(len(sets) + 1, np.int32)
                 ends[np.array(full, np.int64) + 1] = bands
@@ -108,7 +125,8 @@ def _described(size: int, bands: int, rows: int):
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(np.cumsum(ends, dtype=np.int32)), pa.array(keys.reshape(-1))),
-                ], ["doc_id", "n_shingles", "digest", "bands"])
+                    pa.array(sketches, pa.binary()),
+                ], ["doc_id", "n_shingles", "digest", "bands", "sketch"])
 
     return run
 
@@ -129,6 +147,62 @@ def _tokens(column: pa.Array) -> list[np.ndarray]:
     return [np.frombuffer(data[a:b].tobytes(), np.uint64) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
 
 
+def _related(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ours, hub = (flat_bytes(batch.column(c))[0].reshape(batch.num_rows, -1) for c in ("sketch", "hub_sketch"))
+            near = (ours == hub).sum(1) >= least
+            yield pa.RecordBatch.from_arrays([batch.column("hub"), batch.column("member"), pa.array(near)], ["hub", "member", "near"])
+
+    return run
+
+
+def _dealt(least: int):
+    """Hubs and their families within one cell of a bucket; every two rows that may be linked get a hub in common."""
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.drop_duplicates("member").sort_values("member")
+        member = group["member"].to_numpy()
+        sketch = np.frombuffer(b"".join(group["sketch"]), np.uint8).reshape(len(group), -1)
+        hubs, members = [], []
+        while len(member) > 1:
+            near = (sketch[1:] == sketch[0]).sum(1) >= least
+            members.append(member[1:][near])
+            hubs.append(np.full(len(members[-1]), member[0]))
+            member, sketch = member[1:][~near], sketch[1:][~near]
+        nothing = [np.zeros(0, np.int64)]
+        return pd.DataFrame({"hub": np.concatenate(hubs or nothing), "member": np.concatenate(members or nothing)})
+
+    return run
+
+
+def _cells(rows: DataFrame, groups: DataFrame, group: str) -> DataFrame:
+    """Rows (group, member, ...) in cells of at most two blocks such that every two rows of a group share a cell.
+
+    groups: (group, n) with the number of rows of each group.
+    """
+    parts = groups.select(group, F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
+    rows = split_join(rows, parts, group).withColumn("part", F.pmod(F.hash("member"), "parts"))
+    return rows.withColumn("cell", F.explode(F.transform(
+        F.sequence(F.lit(0), F.col("parts") - 1),
+        lambda other: F.struct(F.least("part", other).alias("i"), F.greatest("part", other).alias("j"))))).drop("part", "parts")
+
+
+def _families(banded: DataFrame, sketches: DataFrame, least: int) -> DataFrame:
+    """Distinct (hub, member): every two classes of a bucket that can be linked have a hub in common."""
+    hubs = banded.groupBy("bucket").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
+    placed = stored(split_join(banded, hubs, "bucket").where("doc_id <> hub").select("bucket", "hub", F.col("doc_id").alias("member")))
+    pairs = placed.select("hub", "member").distinct()
+    pairs = split_join(pairs, sketches.select(F.col("doc_id").alias("member"), "sketch"), "member")
+    pairs = split_join(pairs, sketches.select(F.col("doc_id").alias("hub"), F.col("sketch").alias("hub_sketch")), "hub")
+    judged = stored(pairs.mapInArrow(_related(least), "hub long, member long, near boolean"))
+    far = judged.where("not near").select(F.struct("hub", "member").alias("pair"))
+    rest = stored(split_join(placed.withColumn("pair", F.struct("hub", "member")), far, "pair", "left_semi").select("bucket", "member"))
+    open_buckets = rest.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    cells = split_join(_cells(rest, open_buckets, "bucket"), sketches.withColumnRenamed("doc_id", "member"), "member")
+    dealt = cells.groupBy("bucket", "cell").applyInPandas(_dealt(least), "hub long, member long")
+    return judged.where("near").select("hub", "member").unionByName(dealt).distinct()
+
+
 def _compared(percent: int):
     """Each member against its hub: whether they link, and how the member differs."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,14 +280,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     bands, rows = bands_for(percent)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     described = stored(docs.mapInArrow(_described(words, bands, rows),
-                                       "doc_id long, n_shingles long, digest binary, bands array<long>"))
-    classes = described.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
-    banded = (split_join(described, classes.select("doc_id").distinct(), "doc_id", "left_semi")
-              .select("doc_id", F.explode("bands").alias("bucket")))
-    banded = stored(banded.distinct())
-    hubs = banded.groupBy("bucket").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    pairs = stored(split_join(banded, hubs.drop("n"), "bucket")
-                   .where("doc_id <> hub").select("hub", F.col("doc_id").alias("member")).distinct())
+                                       "doc_id long, n_shingles long, digest binary, bands array<long>, sketch binary"))
+    classes = stored(described.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id")))
+    ids = classes.select("doc_id").distinct()
+    banded = split_join(described, ids, "doc_id", "left_semi").select("doc_id", F.explode("bands").alias("bucket")).distinct()
+    sketches = described.where("sketch is not null").select("doc_id", "sketch").dropDuplicates(["doc_id"])
+    pairs = stored(_families(banded, sketches, family_matches(percent, bands * rows)))
 
     wanted = pairs.select(F.col("hub").alias("doc_id")).union(pairs.select("member")).distinct()
     sets = (split_join(docs.where("doc_id is not null"), wanted, "doc_id", "left_semi")
@@ -225,17 +297,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         _compared(percent), "hub long, member long, n_hub long, n long, linked boolean, light boolean, "
                             "added binary, missing binary, prefix array<long>"))
 
-    grouped = compared.select("hub", "member", "linked", F.explode(
-        F.concat(F.transform("prefix", lambda t: F.struct(F.lit(0).alias("kind"), t.alias("token"))),
-                 F.when(F.col("light"), F.array(F.struct(F.lit(1).alias("kind"), F.lit(0).cast("long").alias("token"))))
-                 .otherwise(F.array()))).alias("t"))
+    families = (compared.groupBy("hub").agg(F.count("*").alias("family"), F.count_if(~F.col("linked")).alias("n_open"))
+                .where("family > 1 and n_open > 0").drop("n_open"))
+    # a family that fits in a block is one group; in a larger one, members that can be similar share a token
+    tokens = F.concat(F.transform("prefix", lambda t: F.struct(F.lit(0).alias("kind"), t.alias("token"))),
+                      F.when(F.col("light"), F.array(F.struct(F.lit(1).alias("kind"), F.lit(0).cast("long").alias("token"))))
+                      .otherwise(F.array()))
+    whole = F.array(F.struct(F.lit(2).alias("kind"), F.lit(0).cast("long").alias("token")))
+    grouped = split_join(compared.drop("added", "missing"), families, "hub").select(
+        "hub", "member", "linked", F.explode(F.when(F.col("family") <= BLOCK, whole).otherwise(tokens)).alias("t"))
     grouped = grouped.select(F.struct("hub", "t.kind", "t.token").alias("place"), "member", "linked")
     open_groups = (grouped.groupBy("place").agg(F.count("*").alias("n"), F.count_if(~F.col("linked")).alias("n_open"))
-                   .where("n > 1 and n_open > 0").withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int")))
-    placed = split_join(grouped, open_groups, "place").withColumn("part", F.pmod(F.hash("member"), "parts"))
-    placed = placed.select("place", "member", "parts", F.explode(F.transform(
-        F.sequence(F.lit(0), F.col("parts") - 1),
-        lambda other: F.struct(F.least("part", other).alias("i"), F.greatest("part", other).alias("j")))).alias("cell"))
+                   .where("n > 1 and n_open > 0"))
+    placed = _cells(grouped.drop("linked"), open_groups, "place")
     # the differences are joined by (hub, member), which no hub's size can skew
     placed = placed.withColumn("pair", F.struct("place.hub", "member")).drop("member")
     differing = compared.select(F.struct("hub", "member").alias("pair"), "member", "n_hub", "n", "linked", "added", "missing")
@@ -255,10 +329,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 def without_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The documents with one row of each component left, all columns as they are.
 
-    Documents without words link with nothing and stay. Of repeated rows with one id a single one stays; rows with a
-    null id take no part and stay.
+    Documents without words link with nothing and stay. Of repeated rows with one id the one with the first text
+    stays; rows with a null id take no part and stay.
     """
-    found = near_duplicates(docs, words, percent).where("kept").select("doc_id").distinct()
-    unnamed = docs.where("doc_id is null")
-    named = split_join(docs.where("doc_id is not null"), found, "doc_id", "left_semi")
-    return named.dropDuplicates(["doc_id"]).unionByName(unnamed)
+    kept = near_duplicates(docs, words, percent).where("kept").select("doc_id").distinct()
+    named = docs.join(kept, "doc_id", "left_semi").withColumn("_place", F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
+    return named.where("_place = 1").select(*docs.columns).unionByName(docs.where("doc_id is null"))
