@@ -71,13 +71,16 @@ def slices(column: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, int, np
         row = end
 
 
-def split_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+def split_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", merge: bool = False) -> DataFrame:
     """An equi-join on a column of both sides for which both sides are shuffled anew.
 
     A side that comes from an aggregation would keep that aggregation's partitions, and adaptive execution can split
-    a hot key only where each side of the join is a shuffle of its own.
+    a hot key only where each side of the join is a shuffle of its own. A side that turns out small is broadcast by
+    Spark's own measure; merge keeps to the shuffled join where the right side grows with the input, so that the plan
+    is the same at every size.
     """
     right = right.withColumnRenamed(key, "_key")
+    right = right.hint("merge") if merge else right
     joined = left.join(right, F.struct(F.col(key).alias("k")) == F.struct(F.col("_key").alias("k")), how)
     return joined if how in ("left_semi", "left_anti") else joined.drop("_key")
 

@@ -233,7 +233,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     marks = rest.groupBy("doc_key").agg(F.collect_set(F.struct(F.col("group").alias("gram"), "place")).alias("marks"))
     texts = docs.mapInArrow(_packed(window), _packed_schema(docs)).where("packed is not null").select("doc_key", "packed").dropDuplicates(["doc_key"])
-    contexts = stored(split_join(texts, marks, "doc_key").mapInArrow(
+    contexts = stored(split_join(texts, marks, "doc_key", merge=True).mapInArrow(
         _contexts(window, reach), "doc_key binary, gram long, place int, before int, around binary"))
     outer, todo = reach, contexts.withColumn("todo", F.array(F.lit(0)))
     for block in _blocks(reach):
@@ -262,5 +262,5 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     spans = repeated_spans(keyed, window).groupBy("doc_key").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
     texts = keyed.mapInArrow(_packed(window), _packed_schema(keyed))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return split_join(texts, spans, "doc_key", "left").mapInArrow(
+    return split_join(texts, spans, "doc_key", "left", merge=True).mapInArrow(
         _removed, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<a: long, b: long>>")
