@@ -177,8 +177,8 @@ ENTRIES: dict[str, Entry] = {
         f"""select m.reporting_period, a.id account_id, a.account_name, c.iso_code currency,
                cast(sum(cast(x.amount as decimal(28,2))) as double) balance
         from (select last_day(cast(d as date)) reporting_period
-              from (select unnest(range(timestamp '1990-01-01', timestamp '{fixtures.AS_OF}',
-                                        interval 1 month)) d)) m
+              from (select unnest(range((select date_trunc('month', min(value_date))::timestamp from {{cash_transaction}}),
+                                        timestamp '{fixtures.AS_OF}', interval 1 month)) d)) m
              join {{cash_transaction}} x on x.value_date<=m.reporting_period
              join {{account}} a on a.id=x.account_id join {{currency}} c on c.id=a.currency_id
         group by m.reporting_period, a.id, a.account_name, c.iso_code""",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from fundlake import fixtures
 
 _UNITS = "cast(round_even({x},0) as decimal(28,2))"
-_CENTS = "round(cast({x} as decimal(28,6)),2)"
+_CENTS = "round(cast(cast({x} as varchar) as decimal(38,18)),2)"
 
 
 def amount(x: str, currency: str) -> str:

@@ -61,9 +61,12 @@ STATEMENTS: dict[str, str] = {
                      min(l_extendedprice) price
               from {{lineitem}} group by l_suppkey, cast(l_shipdate as date)) p""",
     "fund_investment_transaction": f"""
-        select l_orderkey id, cast(l_shipdate as date) value_date, l_quantity share_amount,
+        select cast(l_orderkey as bigint)*1000+l_linenumber*100+row_number() over (
+                   partition by l_orderkey, l_linenumber
+                   order by l_suppkey, l_partkey, l_shipdate, l_quantity, l_extendedprice) id,
+               cast(l_shipdate as date) value_date, l_quantity share_amount,
                o_custkey account_id, l_suppkey fund_id, {_STAMP} last_modification
-        from {{lineitem}} join {{orders}} on l_orderkey=o_orderkey where l_linenumber=1""",
+        from {{lineitem}} join {{orders}} on l_orderkey=o_orderkey""",
     "cash_transaction": """
         select o_orderkey id, o_custkey account_id,
                case when o_orderstatus='F' then o_totalprice else -o_totalprice end amount,
@@ -97,7 +100,7 @@ STATEMENTS: dict[str, str] = {
                case when o_orderstatus='F' then 'fixed' else 'variable' end interest_rate_type,
                case when o_orderstatus<>'F' then cast(201 + o_orderkey % 6 as int) end reference_rate_id,
                cast(0.25 as double) interest_rate_spread, {_STAMP} last_modification
-        from {{orders}} where o_orderpriority='1-URGENT'""",
+        from {{orders}}""",
     "portfolio_x_account_rltnp": """
         select case segment when 'AUTOMOBILE' then 1 when 'BUILDING' then 2 when 'FURNITURE' then 3
                     when 'HOUSEHOLD' then 4 else 5 end portfolio_id, id account_id

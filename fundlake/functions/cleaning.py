@@ -25,9 +25,9 @@ def date_of(text: str, pattern: str) -> Column:
 
 
 def number_of(text: str, drop: str = "") -> Column:
-    """Number from text after removing the characters ``drop``."""
-    cleaned = F.translate(F.col(text), drop, "") if drop else F.col(text)
-    return F.trim(cleaned).try_cast("double")
+    """Number from text after removing the characters ``drop``; NaN, Infinity and suffixed forms are no numbers."""
+    cleaned = F.trim(F.translate(F.col(text), drop, "") if drop else F.col(text))
+    return F.when(cleaned.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), cleaned.try_cast("double"))
 
 
 def clean_fx_rows(rows: DataFrame, date: str, value: str, name: str) -> DataFrame:

@@ -16,8 +16,6 @@ from fundlake.functions import exact
 
 HOME_CURRENCY = "HUF"
 AMOUNT = "decimal(38,2)"
-# Below this size millionths fit a long; larger amounts take the decimal way to the same result.
-_LONG_LIMIT = 9.0e12
 
 
 def unit_cents(x: Column) -> Column:
@@ -26,11 +24,16 @@ def unit_cents(x: Column) -> Column:
 
 
 def cents(x: Column) -> Column:
-    """``x`` with two digits, half away from zero, taken to millionths first; counted in cents."""
-    whole = exact.div(exact.millionths(F.abs(x)) + 5000, 10_000)
-    small = F.when(x < 0, -whole).otherwise(whole)
-    large = (F.round(x.cast("decimal(28,6)"), 2) * 100).cast("bigint")
-    return F.when(F.abs(x) < _LONG_LIMIT, small).otherwise(large)
+    """``x`` with two digits, half away from zero; counted in cents.
+
+    The number is what its shortest decimal text says, as in a cast to text and then to numeric. Below 1e9 the error
+    of ``100 * x`` in double is far below a thousandth, so only values that near a tie need the decimal of the text.
+    """
+    hundredfold = F.abs(x) * 100
+    clear = (hundredfold < 1e11) & (F.abs(hundredfold - F.floor(hundredfold) - 0.5) > 1e-3)
+    whole = F.floor(hundredfold + 0.5)
+    exact_way = (F.round(x.cast("decimal(38,18)"), 2) * 100).cast("bigint")
+    return F.when(clear, F.when(x < 0, -whole).otherwise(whole)).otherwise(exact_way)
 
 
 def lot_cents(x: Column, currency: Column) -> Column:

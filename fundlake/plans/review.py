@@ -66,10 +66,10 @@ def review_deposits(deposit: DataFrame) -> DataFrame:
 
 def review_funds(fund: DataFrame) -> DataFrame:
     return fund.orderBy("id").select(
-        *_as(FundID="id", FundName="fund_name", ISIN="isin", CurrencyID="currency_id",
-             SourceID="source_id", Description="description"),
-        F.date_format("inception_date", "yyyy-MM-dd").alias("InceptionDate"),
+        *_as(FundID="id", FundName="fund_name", ISIN="isin", CurrencyID="currency_id", SourceID="source_id"),
         _stamp(),
+        F.date_format("inception_date", "yyyy-MM-dd").alias("InceptionDate"),
+        *_as(Description="description"),
     )
 
 

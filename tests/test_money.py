@@ -16,7 +16,8 @@ def test_units_round_half_to_even(spark, x, want):
 
 
 @pytest.mark.parametrize("x, want", [
-    (1.005, 101), (1.004999, 100), (-1.005, -101), (2.675, 268), (0.0, 0), (None, None),
+    (1.005, 101), (1.004999, 100), (-1.005, -101), (1.0049995, 100), (2.0249995, 202), (-2.0249995, -202), (1.00500001, 101),
+    (0.125, 13), (1234567.125, 123_456_713), (20_000_000_000.125, 2_000_000_000_013), (2.675, 268), (0.0, 0), (None, None),
     (9.5e12, 950_000_000_000_000), (-9.5e12, -950_000_000_000_000), (8_999_999_999_999.12, 899_999_999_999_912),
 ])
 def test_cents_round_half_away_from_zero(spark, x, want):
