@@ -1,0 +1,161 @@
+"""Learned operators: held-out accuracy, and defined results for odd rows."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from fundlake.llm import boilerplate, quality, secrets, toxicity, vamana
+from fundlake.llm.labelled import training_rows
+
+ODD = [(1, None), (2, ""), (2, ""), (None, "word"), (3, "x" * 300_000), (4, "idiot " * 5)]
+
+
+@pytest.fixture(scope="module")
+def small(spark, sf_dir):
+    folder = sf_dir.replace("sf0.001", "sf0.01")
+    return {n: spark.read.parquet(f"{folder}/{n}.parquet") for n in ("documents", "labels", "embeddings")}
+
+
+def odd(spark):
+    return spark.createDataFrame([(i, t, 1.0, "q", 0) for i, t in ODD], "doc_id long, text string, score double, y string, label int")
+
+
+def no_labels(spark):
+    return spark.createDataFrame([], "doc_id long, quality int, toxic int")
+
+
+def test_held_out_quality(small):
+    scored = quality.learned_quality(small["documents"], small["labels"])
+    rows = scored.where("held_out").join(small["labels"], "doc_id").collect()
+    assert len(rows) > 50 and np.mean([r.predicted == r.quality for r in rows]) > 0.95
+    assert scored.count() == small["documents"].count()
+
+
+def test_held_out_rows_teach_nothing(small):
+    rows = training_rows(small["documents"], small["labels"], "quality", 5, 0).select("doc_id")
+    assert rows.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0).count() == 0
+
+
+def test_quality_of_odd_rows(spark, small):
+    rows = quality.learned_quality(odd(spark), small["labels"]).collect()
+    assert len(rows) == len(ODD) and all(0 <= r.score <= 1 for r in rows)
+    assert len({r.score for r in rows if r.doc_id in (1, 2)}) == 1
+    assert {r.score for r in quality.learned_quality(odd(spark), no_labels(spark)).collect()} == {0.5}
+
+
+def test_statistics_do_not_depend_on_the_batch():
+    import pyarrow as pa
+
+    texts = ["One two.\nOne two.", "", "ÀÉ!! x|y 12", "a" * 50]
+    together = quality.statistics(pa.array(texts))
+    assert np.allclose(together, np.concatenate([quality.statistics(pa.array([t])) for t in texts]))
+
+
+def test_trees_fit_a_rule_and_walk_like_a_loop():
+    rng = np.random.default_rng(1)
+    x = rng.random((400, 5))
+    y = ((x[:, 1] > 0.4) & (x[:, 3] < 0.7)).astype(float)
+    model = quality.boost(x, y, trees=20, depth=3)
+    p = model.probability(x)
+    assert ((p > 0.5) == y).mean() > 0.97
+    for row, got in zip(x[:20], p, strict=False):
+        total = model.base
+        for t in range(20):
+            node = 0
+            for _ in range(3):
+                node = 2 * node + 1 + int(row[model.feature[t, node]] > model.cut[t, node])
+            total += model.leaf[t, node - 7]
+        assert abs(1 / (1 + np.exp(-total)) - got) < 1e-9
+
+
+def test_folding_and_lexicon():
+    assert toxicity.folded("Ιd1оt​ — stúpid\n") == " idiot stupid "
+    lexicon = toxicity.Lexicon({" idiot ": 2.0, " stup": 3.0, " trash": 1.0})
+    assert [e for e, _ in lexicon.hits(toxicity.folded("An 1DIOT, stupidly"))] == [" idiot ", " stup"]
+    assert lexicon.hits(toxicity.folded("the trash can stands")) == []
+    assert lexicon.hits(toxicity.folded("idiotic")) == []
+    assert lexicon.score(lexicon.hits(" idiot "), 1) > lexicon.score([], 1)
+
+
+def test_held_out_toxicity_in_english(small):
+    scored = toxicity.learned_toxicity(small["documents"], small["labels"])
+    rows = scored.where("held_out").join(small["labels"], "doc_id").join(small["documents"].where("lang = 'en'").select("doc_id"), "doc_id").collect()
+    assert sum(r.toxic for r in rows) > 3
+    assert np.mean([r.predicted == r.toxic for r in rows]) > 0.95
+    assert not any(r.predicted and not r.toxic for r in rows)
+
+
+def test_toxicity_of_odd_rows(spark):
+    rows = toxicity.learned_toxicity(odd(spark), no_labels(spark)).collect()
+    assert len(rows) == len(ODD)
+    assert {r.doc_id for r in rows if r.predicted} == {4}
+    left = toxicity.without_toxic(odd(spark), no_labels(spark))
+    assert left.columns == odd(spark).columns and left.count() == len(ODD) - 1
+
+
+def test_secret_forest_on_other_findings():
+    forest = secrets.trained()
+    fresh = secrets.labelled_findings(seed=1234, each=25)
+    x = np.array([secrets.features(c) for c, _ in fresh])
+    y = np.array([label for _, label in fresh], bool)
+    found = forest.probability(x) >= 0.5
+    assert (found == y).mean() > 0.97 and found[y].mean() > 0.95
+
+
+def test_secret_scan(spark):
+    docs = spark.createDataFrame([
+        (1, None, 0), (2, "", 0), (None, 'api_key = "9f8d7c6b5a4e3d2c1b0a99887766554433221100"', 0), (3, "password=changeme_example", 0),
+        (3, "password=changeme_example", 0), (4, "word " * 40_000 + "token: Zk39xQ81LmPw02Vb", 0)], "doc_id long, text string, start int")
+    rows = secrets.scan(docs).collect()
+    assert {(r.doc_id, r.secret) for r in rows} == {(None, True), (3, False), (4, True)} and len(rows) == 4
+    assert next(r.start for r in rows if r.doc_id == 4) == 200_007
+    assert secrets.scan(docs.limit(0)).count() == 0
+
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var a = "</p>";</script></head><body class="has-sidebar">
+<header><a href="/">Home</a></header><nav><ul><li><a href=/x>x</a></li></ul></nav><div class="ad">Buy this very good thing now please.</div>
+<article><h1>Head &amp; line</h1><p>First <b>bo</b>ld&nbsp;para<br>graph, a&lt;b.<p>Second.<div class="post-comments"><p>I like this article a lot, really.</p></div>
+<form><p>Leave us your address here please.</p></form></article><aside>Other things to read in this place.</aside>
+<div id="cookie-notice">We use cookies here and there.</div><footer>(c) 2020</footer><!-- open comment <p>lost"""
+
+
+def test_page_text(spark):
+    tree = boilerplate.trained()
+    assert boilerplate.main_text(PAGE, tree) == "Head & line First bold para graph, a<b. Second."
+    plain = "<div><a href=1>Home</a> <a href=2>News</a></div><p>" + "some plain words " * 12 + "</p><p>and</p><div><a href=3>Imprint and more</a></div>"
+    assert boilerplate.main_text(plain, tree).startswith("some plain words")
+    assert "Imprint" not in boilerplate.main_text(plain, tree)
+    pages = spark.createDataFrame([(1, "u", None, 1), (1, "u", "", 2), (None, None, PAGE, 3), (2, "u", "<p" * 50_000, 4)],
+                                  "page_id long, url string, html string, text int")
+    rows = boilerplate.extract(pages).collect()
+    assert len(rows) == 4 and sorted(r.n_chars for r in rows)[-1] == 47
+    assert [r.text for r in rows if r.page_id == 1] == ["", ""]
+
+
+def brute_nearest(ids, vectors, query, k):
+    far = np.sqrt(((vectors - vectors[list(ids).index(query)]) ** 2).sum(1))
+    order = sorted((f, i) for f, i in zip(far, ids, strict=True) if i != query)
+    return order[:k]
+
+
+def test_neighbours(small):
+    data = small["embeddings"].toPandas()
+    ids, vectors = data.vec_id.to_list(), np.stack(data.embedding).astype(float)
+    graphs = vamana.index(small["embeddings"], shard=150)
+    assert graphs.select("shard").distinct().count() > 2 and graphs.count() == len(ids)
+    rows = vamana.nearest(graphs, graphs.where("vec_id % 100 = 0").select("vec_id", "vector")).collect()
+    hits = 0
+    for query in {r.query_id for r in rows}:
+        want, got = brute_nearest(ids, vectors, query, 10), sorted((r.rank, r.score, r.vec_id) for r in rows if r.query_id == query)
+        assert [r for r, _, _ in got] == list(range(1, 11))
+        hits += len({i for _, i in want} & {v for _, _, v in got})
+    assert hits >= 0.9 * len(rows) and len(rows) == 10 * sum(i % 100 == 0 for i in ids)
+
+
+def test_neighbours_of_odd_rows(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.5]), (2, [1.0, -0.5]), (100, [0.0, 0.0]), (200, None), (300, [None, 1.0]), (400, [float("nan"), 1.0]),
+            (500, [float("inf"), 1.0]), (None, [1.0, 1.0]), (600, [1.0, 2.0, 3.0]), (1, [1.0, 0.5])]
+    table = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<float>, shard int")
+    got = [(r.query_id, r.rank, r.vec_id, r.score) for r in vamana.search_embeddings(table).orderBy("rank").collect()]
+    assert got == [(0, 1, 1, 0.5), (0, 2, 2, 0.5)]
+    assert vamana.search_embeddings(table.limit(0)).count() == 0
