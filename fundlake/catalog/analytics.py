@@ -77,8 +77,9 @@ ENTRIES: dict[str, Entry] = {
         " from {portfolio_return} r join {portfolio} p on p.id=r.key_id",
     ),
     "account_returns": Entry(
-        on_tables(lambda t: rounded(views.account_returns(t), "return").drop("market_value", "cash_flow")),
-        'select x.portfolio_id, x.account_id, r.date, round(r.ret,6) "return"'
+        on_tables(lambda t: _returns(views.account_returns(t))),
+        'select x.portfolio_id, x.account_id, r.date, round(r.mv,2) market_value, round(r.cf,2) cash_flow,'
+        ' round(r.ret,6) "return"'
         " from {account_return} r join {portfolio_x_account_rltnp} x on x.account_id=r.key_id",
     ),
     "update_valuation_date": Entry(
@@ -128,7 +129,7 @@ ENTRIES: dict[str, Entry] = {
     "portfolio_distribution": Entry(
         on_tables(lambda t: rounded(statements.portfolio_distribution(t), "val", digits=2)),
         """select p.id portfolio_id, p.name portfolio_name, l.fund_name,
-               round(cast(sum(cast(l.share_amount as decimal(20,6))*cast(r.price as decimal(17,6)))
+               round(cast(sum(cast(l.share_amount as decimal(18,9))*cast(r.price as decimal(18,9)))
                      as double),2) val
         from {portfolio} p join {portfolio_x_account_rltnp} m on m.portfolio_id=p.id
              join {lot_vw} l on l.account_id=m.account_id join {recent_vw} r on r.fund_id=l.fund_id

@@ -77,7 +77,7 @@ def _returns(day: str) -> str:
                (m.mv-coalesce(c.cf, 0)) / nullif(lag(m.mv) over (partition by m.key_id order by m.date), 0)
                - 1 ret
         from (select g.key_id, g.date,
-                     cast(sum(cast(h.shares as decimal(20,6))*cast(p.price as decimal(17,6))) as double) mv
+                     cast(sum(cast(h.shares as decimal(18,9))*cast(p.price as decimal(18,9))) as double) mv
               from (select d.key_id, d.date, f.fund_id
                     from (select distinct f.key_id, fp.value_date date
                           from (select key_id, fund_id, min(value_date) first_date from {{{day}}} group by all) f
@@ -91,7 +91,7 @@ def _returns(day: str) -> str:
                    asof join {{fund_price}} p on g.fund_id=p.fund_id and g.date>=p.value_date
               group by g.key_id, g.date) m
              left join (select b.key_id, b.value_date,
-                               cast(sum(cast(b.shares as decimal(20,6))*cast(p.price as decimal(17,6)))
+                               cast(sum(cast(b.shares as decimal(18,9))*cast(p.price as decimal(18,9)))
                                     as double) cf
                         from {{{day}}} b join {{fund_price}} p
                              on b.fund_id=p.fund_id and b.value_date=p.value_date

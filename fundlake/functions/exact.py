@@ -33,6 +33,11 @@ def millionths(x: Column) -> Column:
     return F.rint(x * 1e6).cast("bigint")
 
 
+def beyond(x: Column) -> Column:
+    """What a double has beyond its millionths: exactly zero for a number of at most six decimals."""
+    return x - F.rint(x * 1e6) / 1e6
+
+
 def join_halves(high: Column, low: Column) -> Column:
     """Whole number from summed quotients and remainders."""
     return (high.cast("decimal(28,0)") * F.lit(MILLION).cast("decimal(8,0)") + low.cast("decimal(20,0)")).cast(WHOLE)

@@ -92,14 +92,19 @@ def daily_returns(lots: DataFrame, prices: DataFrame, keys: Sequence[str]) -> Da
     fund price contributes the change of value it causes, and the running sum of changes is the market
     value: no grid of dates and funds is built, and the joined rows go straight into the daily sums.
     A purchase on a day without a price has no cost and is left out.
+
+    Products of millionths are summed exactly; what prices and shares have beyond them goes along in double
+    (the columns ending in ``_more``, zero for up to six decimals).
     """
     keys = list(keys)
     quotes = prices.select(
-        "fund_id", F.col("value_date").alias("date"), exact.millionths(F.col("price")).alias("price")
+        "fund_id", F.col("value_date").alias("date"), exact.millionths(F.col("price")).alias("price"),
+        exact.beyond(F.col("price")).alias("price_more"),
     )
     bought = (
         lots.groupBy(*keys, "fund_id", F.col("value_date").alias("date"))
-        .agg(F.sum(exact.millionths(F.col("share_amount"))).alias("bought"))
+        .agg(F.sum(exact.millionths(F.col("share_amount"))).alias("bought"),
+             F.sum(exact.beyond(F.col("share_amount"))).alias("bought_more"))
         .join(quotes.select("fund_id", "date"), ["fund_id", "date"], "left_semi")
     )
     by_holding = Window.partitionBy(*keys, "fund_id").orderBy("date")
@@ -110,12 +115,15 @@ def daily_returns(lots: DataFrame, prices: DataFrame, keys: Sequence[str]) -> Da
         F.col("date").alias("start"),
         F.coalesce(F.lead("date").over(by_holding), F.date_add(last_day, 1)).alias("until"),
         "bought",
-        F.sum("bought").over(
-            by_holding.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        ).alias("held"),
-    )
-    before = F.lag("price").over(Window.partitionBy("fund_id").orderBy("date"))
-    moves = quotes.withColumn("before", F.coalesce(before, F.lit(0)))
+        "bought_more",
+        *[F.sum(b).over(by_holding.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias(h)
+          for b, h in (("bought", "held"), ("bought_more", "held_more"))],
+    )
+    by_fund = Window.partitionBy("fund_id").orderBy("date")
+    moves = quotes.withColumns({
+        "before": F.coalesce(F.lag("price").over(by_fund), F.lit(0)),
+        "before_more": F.coalesce(F.lag("price_more").over(by_fund), F.lit(0.0)),
+    })
     moved = join_dates_in_interval(
         holdings, moves, ["fund_id"], "start", "until", "date", heavy_keys(lots, ["fund_id"])
     )
@@ -126,24 +134,32 @@ def daily_returns(lots: DataFrame, prices: DataFrame, keys: Sequence[str]) -> Da
         "entered": exact.product_parts(F.col("bought"), F.col("before")),
         "flow": exact.product_parts(F.col("bought"), F.col("price")),
     }
+    def rest(shares: str, price: Column, price_more: Column) -> Column:
+        """The product of shares and price without the product of their millionths."""
+        whole = F.col(shares) / 1e6 + F.col(f"{shares}_more")
+        return whole * price_more + F.col(f"{shares}_more") * (price / 1e6)
+
+    change_more = rest("held", F.col("price") - F.col("before"), F.col("price_more") - F.col("before_more"))
+    entered_more = F.when(first_day, rest("bought", F.col("before"), F.col("before_more"))).otherwise(0.0)
     daily = moved.select(
         *keys,
         "date",
+        (change_more + entered_more).alias("change_more"),
+        F.when(first_day, rest("bought", F.col("price"), F.col("price_more"))).alias("flow_more"),
         *[(change + F.when(first_day, entered).otherwise(0)).alias(f"change{i}")
           for i, (change, entered) in enumerate(zip(parts["change"], parts["entered"]))],
         *[F.when(first_day, flow).alias(f"flow{i}") for i, flow in enumerate(parts["flow"])],
     ).groupBy(*keys, "date").agg(*[
         exact.product_total(*[F.sum(f"{name}{i}") for i in range(3)]).alias(name)
         for name in ("change", "flow")
-    ])
+    ], F.sum("change_more").alias("change_more"), F.coalesce(F.sum("flow_more"), F.lit(0.0)).alias("flow_more"))
     by_day = Window.partitionBy(*keys).orderBy("date")
+    until_day = by_day.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     valued = daily.select(
         *keys,
         "date",
-        F.sum("change").over(
-            by_day.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        ).cast("double").alias("market_value"),
-        F.coalesce(F.col("flow"), F.lit(0)).cast("double").alias("cash_flow"),
+        (F.sum("change").over(until_day).cast("double") + F.sum("change_more").over(until_day)).alias("market_value"),
+        (F.coalesce(F.col("flow"), F.lit(0)).cast("double") + F.col("flow_more")).alias("cash_flow"),
     )
     before = F.lag("market_value").over(by_day)
     return valued.withColumn(

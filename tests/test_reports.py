@@ -155,3 +155,15 @@ def test_slices(small_book, spark, tmp_path):
     stored = spark.read.parquet(str(tmp_path / "slices"))
     for key in keys:
         assert stored.filter(F.col("currency") == key).count() == series.slice_of(performance, "currency", key).count()
+
+
+def test_returns_keep_digits_beyond_millionths(book):
+    t = book(
+        fund_price=[{"fund_id": 1, "value_date": day("2020-01-02"), "price": 0.0000014},
+                    {"fund_id": 1, "value_date": day("2020-01-03"), "price": 0.0000016}],
+        fund_investment_transaction=[
+            {"id": 1, "value_date": day("2020-01-02"), "share_amount": 3.0000005, "account_id": 1, "fund_id": 1}],
+    )
+    got = views.daily_returns(t.fund_investment_transaction, t.fund_price, ["account_id"]).orderBy("date").collect()
+    assert got[0]["market_value"] == pytest.approx(3.0000005 * 0.0000014, rel=1e-9)
+    assert got[1]["return"] == pytest.approx(0.142857, abs=1e-6)
