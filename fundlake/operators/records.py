@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fundlake.sources import tables
 from fundlake.sources.tables import Tables
@@ -143,12 +144,33 @@ def add_investment(records: DataFrame, t: Tables) -> Entered:
     )
 
 
-def with_ids(accepted: DataFrame, target: DataFrame) -> DataFrame:
-    """New ids above the largest of ``target``: distinct, not consecutive, numbered per task."""
-    last = F.coalesce(target.agg(F.max("id").alias("id")).scalar(), F.lit(0))
-    return accepted.withColumn("id", last + 1 + F.monotonically_increasing_id())
-
+def with_ids(rows: DataFrame, target: DataFrame) -> DataFrame:
+    """New ids above the largest of ``target``, distinct and of the type of the target's ids.
 
-def append_records(entered: Entered, target: DataFrame, name: str, directory: str) -> None:
+    Long ids are numbered per task and not consecutive. Tables with int ids (currencies, rates, portfolios) get a few
+    rows by hand; these are numbered one after another, so that they fit.
+    """
+    last = F.coalesce(target.agg(F.max("id").alias("id")).scalar(), F.lit(0))
+    if isinstance(target.schema["id"].dataType, T.IntegerType):
+        number = F.row_number().over(Window.orderBy(*rows.columns))
+        return rows.withColumn("id", (last + number).cast("int"))
+    return rows.withColumn("id", last + 1 + F.monotonically_increasing_id())
+
+
+def as_stored(rows: DataFrame, target: DataFrame, loaded_at: str | None = None) -> DataFrame:
+    """``rows`` with the columns and types of ``target``: new ids, the given or the current time as
+    ``last_modification``, NULL for other columns they lack."""
+    full = with_ids(rows, target) if "id" in target.columns else rows
+    if "last_modification" in target.columns:
+        stamp = F.lit(loaded_at).cast("timestamp") if loaded_at else F.current_timestamp()
+        full = full.withColumn("last_modification", stamp)
+    return full.select(*[
+        (F.col(f.name) if f.name in full.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+        for f in target.schema.fields
+    ])
+
+
+def append_records(entered: Entered, target: DataFrame, name: str, directory: str,
+                   loaded_at: str | None = None) -> None:
     """Append the accepted rows to the stored table; views are refreshed by the caller."""
-    tables.append(with_ids(entered.accepted, target), name, directory)
+    tables.append(as_stored(entered.accepted, target, loaded_at), name, directory)

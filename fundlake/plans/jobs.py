@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from fundlake.functions import cleaning
 from fundlake.operators import loads
+from fundlake.operators.records import as_stored
 from fundlake.plans.refresh import refresh_view
 from fundlake.sources import html, tables
 from fundlake.sources.tables import Tables, stored_tables
@@ -66,17 +67,7 @@ def store_rows(rows: DataFrame, t: Tables, name: str, directory: str,
                loaded_at: str | None = None) -> None:
     """Append ``rows`` to a stored table of the data model; columns they lack are filled: ``id`` with new
     numbers, ``last_modification`` with the given or the current time, others with NULL."""
-    stored = t[name]
-    full = rows
-    if "id" in stored.columns:
-        last = F.coalesce(stored.agg(F.max("id").alias("id")).scalar(), F.lit(0))
-        full = full.withColumn("id", last + 1 + F.monotonically_increasing_id())
-    if "last_modification" in stored.columns:
-        stamp = F.lit(loaded_at).cast("timestamp") if loaded_at else F.current_timestamp()
-        full = full.withColumn("last_modification", stamp)
-    columns = [(F.col(f.name) if f.name in full.columns else F.lit(None)).cast(f.dataType).alias(f.name)
-               for f in stored.schema.fields]
-    tables.append(full.select(*columns), name, directory)
+    tables.append(as_stored(rows, t[name], loaded_at), name, directory)
 
 
 def store_valuation_dates(spark: SparkSession, directory: str) -> None:

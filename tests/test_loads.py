@@ -167,6 +167,25 @@ def test_new_investment_shows_in_the_overview(spark, small_book, tmp_path):
     assert (last["market_value"], last["cash_flow"]) == (16.5, 4.0)
 
 
+def test_entered_records_are_read_back_through_the_checked_scan(spark, small_book, tmp_path):
+    folder = str(tmp_path)
+    given = {
+        "rate": records.add_rate(spark.createDataFrame(
+            [("A", "FX"), ("B", "interest"), ("C", "none")], "rate_name string, rate_type string").repartition(3)),
+        "account": records.add_account(spark.createDataFrame(
+            [("new", "Y", "15", "2", "2021-01-01"), ("bad", "Y", "15", "99", "2021-01-01")],
+            "account_name string, tax_applicable string, tax_rate_percent string, currency_id string, date_open string"), small_book),
+    }
+    for name, entered in given.items():
+        tables.append(small_book[name], name, folder)
+        before = tables.read(spark, name, folder)
+        records.append_records(entered, before, name, folder, "2024-01-01")
+        after = tables.read(spark, name, folder)
+        assert after.count() == before.count() + entered.accepted.count() == after.select("id").distinct().count()
+        assert after.where("last_modification = '2024-01-01'").count() == entered.accepted.count() > 0
+    assert sorted(r["id"] for r in tables.read(spark, "rate", folder).collect()) == [102, 201, 202, 203]
+
+
 def test_refresh_can_keep_untouched_partitions(spark, small_book, tmp_path):
     folder = str(tmp_path)
     everything = refresh.refresh_view(spark, "account_returns", small_book, folder, ["portfolio_id"])
