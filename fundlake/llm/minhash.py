@@ -283,12 +283,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
                                        "doc_id long, n_shingles long, digest binary, bands array<long>, sketch binary"))
     classes = stored(described.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id")))
     ids = classes.select("doc_id").distinct()
-    banded = split_join(described, ids, "doc_id", "left_semi").select("doc_id", F.explode("bands").alias("bucket")).distinct()
+    banded = split_join(described, ids, "doc_id", "left_semi", merge=True).select("doc_id", F.explode("bands").alias("bucket")).distinct()
     sketches = described.where("sketch is not null").select("doc_id", "sketch").dropDuplicates(["doc_id"])
     pairs = stored(_families(banded, sketches, family_matches(percent, bands * rows)))
 
     wanted = pairs.select(F.col("hub").alias("doc_id")).union(pairs.select("member")).distinct()
-    sets = (split_join(docs.where("doc_id is not null"), wanted, "doc_id", "left_semi")
+    sets = (split_join(docs.where("doc_id is not null"), wanted, "doc_id", "left_semi", merge=True)
             .mapInArrow(_gathered(words), "doc_id long, tokens binary"))
     sets = stored(sets.dropDuplicates(["doc_id"]))
     ours = split_join(pairs, sets.select(F.col("doc_id").alias("member"), "tokens"), "member")
