@@ -2,7 +2,7 @@
 
 Suffixes are ordered only through the first `window` bytes, most significant digits first, and only as far as they are
 still equal to another one: equal groups at full depth are exactly the windows that occur more than once. What is put
-in order is not each of the suffixes but one in about 128, chosen by content: a window's anchor is the least of the
+in order is not each of the suffixes but one in about 180, chosen by content: a window's anchor is the least of the
 hashed grams that start in its first `reach` bytes, so equal windows have their anchor at the same offset. All windows of one
 anchor at once make a block, and each pass deals out blocks by two digits:
 
@@ -11,7 +11,7 @@ anchor at once make a block, and each pass deals out blocks by two digits:
 
 Blocks with a repeated core and a single extent are cut into smaller blocks for the next pass, down to one window.
 Blocks with equal extents take part in the next pass as one, so a passage that a third of all documents share is
-counted, never gathered. Digits are 64-bit hashes, two of them to a comparison.
+counted, never gathered. A block's group is told by two 64-bit hashes, its extent by a third.
 
 Defined results: a null text has no bytes; texts shorter than the window lose nothing; repeated rows are copies of
 each other and lose all of their windows; rows with a null id keep their row; extra columns are ignored.
@@ -35,13 +35,14 @@ _PLACE_BITS = np.uint64(28)  # of the position in a slice, which is below 256 MB
 
 
 def reach_of(window: int) -> int:
-    """Number of grams that can be a window's anchor: a power of two, about two thirds of the window."""
-    return 1 << max(0, int(np.log2(max(1, window * 0.66))))
+    """Number of grams that can be a window's anchor: nearly the window, and so that blocks divide each other."""
+    most = int(window * 0.88)
+    return most // 32 * 32 if most >= 32 else 1 << max(0, most.bit_length() - 1)
 
 
 def _blocks(reach: int) -> list[int]:
     """Windows per block in each pass after the first."""
-    return sorted({max(1, reach // 4), max(1, reach // 32), 1}, reverse=True)
+    return sorted({reach // 4, 8, 1} if reach >= 32 else {1}, reverse=True)
 
 
 def anchors(sums: np.ndarray, offsets: np.ndarray, window: int, reach: int) -> tuple[np.ndarray, np.ndarray]:
@@ -54,10 +55,12 @@ def anchors(sums: np.ndarray, offsets: np.ndarray, window: int, reach: int) -> t
     hashes = H.stretch(sums, at, at + gram)
     # the least hash first, then the leftmost place
     least = (hashes >> _PLACE_BITS << _PLACE_BITS) | at.astype(np.uint64)
-    step = 1
-    while step < reach:
-        least = np.minimum(least[:-step], least[step:])
-        step *= 2
+    span = 1
+    while 2 * span <= reach:
+        least = np.minimum(least[:-span], least[span:])
+        span *= 2
+    if span < reach:  # two overlapping spans reach as far
+        least = np.minimum(least[:span - reach], least[reach - span:])
     valid = np.ones(n, bool)
     for a, b in zip(offsets[:-1], offsets[1:], strict=True):
         valid[max(a, b - window + 1):b] = False
@@ -123,7 +126,7 @@ def _contexts(window: int, reach: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
-            keys, grams, places, before, around = [], [], [], [], []
+            keys, grams, places, before, after, around = [], [], [], [], [], []
             for key, packed, marks in zip(batch.column("doc_key"), batch.column("packed"), batch.column("marks").to_pylist(), strict=True):
                 text = unpack.decompress(packed.as_py())
                 for mark in marks:
@@ -132,10 +135,11 @@ def _contexts(window: int, reach: int):
                     grams.append(mark["gram"])
                     places.append(at)
                     before.append(min(at, reach - 1))
+                    after.append(min(len(text) - at, window))
                     around.append(text[max(0, at - reach + 1):at + window])
             yield pa.RecordBatch.from_arrays([
                 pa.array(keys, pa.binary()), pa.array(grams, pa.int64()), pa.array(places, pa.int32()), pa.array(before, pa.int32()),
-                pa.array(around, pa.binary())], ["doc_key", "gram", "place", "before", "around"])
+                pa.array(after, pa.int32()), pa.array(around, pa.binary())], ["doc_key", "gram", "place", "before", "after", "around"])
 
     return run
 
@@ -162,14 +166,13 @@ def _digits(window: int, reach: int, block: int):
                 real = low <= high
                 owner, start, a, low, high = (x[real] for x in (owner, start, a, low, high))
                 core_low = a - start
-                core = H.stretch(sums, core_low, core_low - block + 1 + window) if block > 1 else H.stretch(sums, low, low + window)
+                core = H.stretch(sums, core_low, core_low - block + 1 + window)
                 extent = _extent_keys(sums, a, low, high + window)
-                place = part.column("place").to_numpy()[owner]
+                # the offset belongs to the core's digit: equal strings at other offsets are another anchor's
+                core = H.mix(core + start.astype(np.uint64))
                 yield pa.RecordBatch.from_arrays([
-                    part.column("doc_key").take(pa.array(owner)), part.column("gram").take(pa.array(owner)), pa.array(place.astype(np.int32)),
-                    pa.array(start.astype(np.int32)), pa.array(core.view(np.int64)), pa.array(extent.view(np.int64)),
-                    pa.array((place - (a - low)).astype(np.int64)), pa.array((place - (a - high) + window).astype(np.int64))],
-                    ["doc_key", "gram", "place", "start", "core", "extent", "a", "b"])
+                    part.column("context").take(pa.array(owner)), pa.array(start.astype(np.int32)), part.column("gram").take(pa.array(owner)),
+                    pa.array(core.view(np.int64)), pa.array(extent.view(np.int64))], ["context", "start", "gram", "core", "extent"])
 
     return run
 
@@ -208,15 +211,17 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
 
-def _dealt(rows: DataFrame, many: str, owner: list[str]) -> tuple[DataFrame, DataFrame]:
-    """One pass over rows (group, extent, owner...): (rows whose extent is repeated, one row for each other class of a
-    group that has several classes)."""
-    rows = rows.withColumn("whole", F.struct("group", "extent"))
-    classes = stored(rows.groupBy("whole").agg(F.sum(many).alias("n"), F.min(F.struct(*owner)).alias("owner")))
-    repeated = split_join(rows, classes.where("n > 1").select("whole"), "whole", "left_semi").drop("whole")
-    classes = classes.select(F.col("whole.group").alias("group"), "owner")
-    several = classes.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").select("group")
-    return repeated, split_join(classes, several, "group", "left_semi").select("owner.*")
+def _dealt(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One pass over rows (gram, core, extent, n, item, ...): (rows whose extent is repeated, (item) of one row for each
+    other class of a group that has several classes). A group is a gram with a core."""
+    rows = rows.withColumn("group", F.struct("gram", "core"))
+    twice = rows.groupBy("group").agg(F.sum("n").alias("m")).where("m > 1").select("group")
+    rows = stored(split_join(rows, twice, "group", "left_semi")).withColumn("whole", F.struct("gram", "core", "extent"))
+    classes = stored(rows.groupBy("gram", "core", "extent").agg(F.sum("n").alias("m"), F.min("item").alias("item")))
+    again = classes.where("m > 1").select(F.struct("gram", "core", "extent").alias("whole"))
+    several = classes.groupBy("gram", "core").agg(F.count("*").alias("k")).where("k > 1").select(F.struct("gram", "core").alias("group"))
+    rest = split_join(classes.select(F.struct("gram", "core").alias("group"), "item"), several, "group", "left_semi")
+    return split_join(rows, again, "whole", "left_semi"), rest.select("item")
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -224,27 +229,30 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     reach = reach_of(window)
     found = stored(docs.select("doc_key", "text").mapInArrow(
         _anchored(window, reach), "doc_key binary, gram long, extent long, places array<int>"))
-    found = found.withColumn("n", F.size("places"))
-    twice = found.groupBy("gram").agg(F.sum("n").alias("m")).where("m > 1").select("gram")
-    found = stored(split_join(found, twice, "gram", "left_semi").withColumnRenamed("gram", "group"))
-    repeated, rest = _dealt(found.withColumn("place", F.col("places")[0]), "n", ["doc_key", "group", "place"])
+    found = found.withColumns({"core": F.lit(0).cast("long"), "n": F.size("places"),
+                               "item": F.struct("doc_key", "gram", F.col("places")[0].alias("place"))})
+    repeated, rest = _dealt(found)
     spans = [repeated.select("doc_key", F.explode("places").alias("place")).select(
         "doc_key", (F.col("place") - reach + 1).cast("long").alias("a"), (F.col("place") + window).cast("long").alias("b"))]
 
-    marks = rest.groupBy("doc_key").agg(F.collect_set(F.struct(F.col("group").alias("gram"), "place")).alias("marks"))
-    texts = docs.mapInArrow(_packed(window), _packed_schema(docs)).where("packed is not null").select("doc_key", "packed").dropDuplicates(["doc_key"])
-    contexts = stored(split_join(texts, marks, "doc_key", merge=True).mapInArrow(
-        _contexts(window, reach), "doc_key binary, gram long, place int, before int, around binary"))
+    marks = rest.groupBy("item.doc_key").agg(F.collect_set(F.struct("item.gram", "item.place")).alias("marks"))
+    # a repeated row brings its contexts twice; as all of its windows are repeated, that marks nothing wrongly
+    texts = docs.mapInArrow(_packed(window), _packed_schema(docs)).where("packed is not null").select("doc_key", "packed")
+    contexts = split_join(texts, marks, "doc_key", merge=True).mapInArrow(
+        _contexts(window, reach), "doc_key binary, gram long, place int, before int, after int, around binary")
+    contexts = stored(contexts.withColumn("context", F.monotonically_increasing_id()))  # from here on read from files
     outer, todo = reach, contexts.withColumn("todo", F.array(F.lit(0)))
     for block in _blocks(reach):
-        digits = stored(todo.withColumn("outer", F.lit(outer)).mapInArrow(
-            _digits(window, reach, block), "doc_key binary, gram long, place int, start int, core long, extent long, a long, b long"))
-        digits = digits.withColumn("group", F.struct("gram", "start", "core"))
-        repeated, rest = _dealt(digits.withColumn("one", F.lit(1)), "one", ["doc_key", "gram", "place", "start"])
-        spans.append(repeated.select("doc_key", "a", "b"))
+        digits = stored(todo.select("context", "gram", "before", "around", "todo", F.lit(outer).alias("outer")).mapInArrow(
+            _digits(window, reach, block), "context long, start int, gram long, core long, extent long"))
+        repeated, rest = _dealt(digits.withColumns({"n": F.lit(1), "item": F.struct("context", "start")}))
+        # the windows of a block start `start` to `start + block - 1` bytes before the anchor, within the text
+        spans.append(split_join(repeated.select("context", "start"), contexts.select("context", "doc_key", "place", "before", "after"), "context").select(
+            "doc_key", (F.col("place") - F.least(F.col("before"), F.col("start") + block - 1)).cast("long").alias("a"),
+            (F.col("place") + F.least(F.col("after"), window - F.col("start"))).cast("long").alias("b")))
         if block > 1:
-            where = rest.groupBy(F.struct("doc_key", "place").alias("anchor")).agg(F.collect_set("start").alias("todo"))
-            todo = split_join(contexts.withColumn("anchor", F.struct("doc_key", "place")), where, "anchor").drop("anchor")
+            where = rest.groupBy("item.context").agg(F.collect_set("item.start").alias("todo"))
+            todo = split_join(contexts, where, "context")
             outer = block
     out = spans[0]
     for more in spans[1:]:
