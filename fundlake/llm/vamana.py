@@ -6,6 +6,10 @@ pruning keeps those that no kept neighbour already covers (a candidate is droppe
 kept one is below its distance from the vector). Back edges are pruned in the same way. A query is searched in every
 shard by beam search, and the shards' answers are merged to the k nearest.
 
+A graph's nodes are the distinct vectors of its shard (in single precision), since copies of a vector would cover each
+other and everything else in the pruning. A node found stands for all its rows: of rows equal in every component the
+k + 1 smallest ids are compared, more cannot be among the k nearest besides the query itself.
+
 Searches of many points run together: one step expands the best open candidate of each of them with numpy. Distances
 during a search are single precision; the returned ones are recomputed in double precision on the original vectors.
 
@@ -137,14 +141,25 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, np.float64) for v in column]) if len(column) else np.zeros((0, 1))
 
 
+def _copies(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first row of each distinct row, number of its distinct row for each row), numbered by first appearance."""
+    matrix = np.ascontiguousarray(matrix + 0.0)  # no negative zeros: rows are compared by their bytes
+    rows = matrix.view(np.dtype((np.void, matrix.shape[1] * matrix.itemsize))).ravel()
+    _, first, number = np.unique(rows, return_index=True, return_inverse=True)
+    order = np.argsort(first)
+    return first[order], np.argsort(order)[number.ravel()]
+
+
 def _indexed(degree: int, alpha: float, beam: int):
-    """The graph of one shard, one row per vector."""
+    """The graph of one shard, one row per vector; rows of equal vectors share a place."""
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("vec_id", ignore_index=True)
-        graph, entry = build(_matrix(group["vector"]).astype(np.float32), degree, alpha, beam)
-        group["place"] = np.arange(len(group), dtype=np.int32)
+        points = _matrix(group["vector"]).astype(np.float32)
+        first, place = _copies(points)
+        graph, entry = build(points[first], degree, alpha, beam)
+        group["place"] = place.astype(np.int32)
         group["entry"] = np.int32(entry)
-        group["neighbours"] = list(graph.astype(np.int32))
+        group["neighbours"] = list(graph[place].astype(np.int32))
         return group[["shard", "vec_id", "vector", "place", "entry", "neighbours"]]
 
     return run
@@ -156,20 +171,31 @@ def _searched(k: int, beam: int):
         none = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
         if not len(shard) or not len(queries):
             return none
-        shard = shard.sort_values("place", ignore_index=True)
+        shard = shard.sort_values(["place", "vec_id"], ignore_index=True)
+        _, copy = _copies(_matrix(shard["vector"]))
+        shard = shard[shard.groupby(copy).cumcount() <= k].reset_index(drop=True)
         exact, ids = _matrix(shard["vector"]), shard["vec_id"].to_numpy()
-        points, graph = exact.astype(np.float32), np.stack(shard["neighbours"].to_list()).astype(np.int64)
+        _, heads, many = np.unique(shard["place"].to_numpy(), return_index=True, return_counts=True)
+        points, graph = exact[heads].astype(np.float32), np.stack(shard["neighbours"].iloc[heads].to_list()).astype(np.int64)
         wanted, names = _matrix(queries["query_vector"]), queries["query_id"].to_numpy()
         out = []
         for at in range(0, len(wanted), 512):
             targets, named = wanted[at:at + 512], names[at:at + 512]
-            found, _ = beam_search(points, graph, int(shard["entry"].iloc[0]), targets.astype(np.float32), min(beam, max(len(points), 1)))
-            far = np.sqrt(np.maximum(_distances(exact, np.maximum(found, 0), targets), 0))
-            far[(found < 0) | (ids[np.maximum(found, 0)] == named[:, None])] = np.inf
-            order = np.lexsort((ids[np.maximum(found, 0)], far), axis=1)[:, :k]
-            rows, columns = np.nonzero(np.isfinite(np.take_along_axis(far, order, 1)))
-            picked = order[rows, columns]
-            out.append(pd.DataFrame({"query_id": named[rows], "vec_id": ids[found[rows, picked]], "score": far[rows, picked]}))
+            found, _ = beam_search(points, graph, int(shard["entry"].iloc[0]), targets.astype(np.float32), min(beam, len(points)))
+            # every row of the nodes found
+            asks, columns = np.nonzero(found >= 0)
+            nodes = found[asks, columns]
+            asks, sizes = np.repeat(asks, many[nodes]), many[nodes]
+            rows = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(heads[nodes], sizes)
+            other = ids[rows] != named[asks]
+            asks, rows = asks[other], rows[other]
+            far = np.concatenate([np.zeros(0), *(_distances(exact, rows[i:i + 32768, None], targets[asks[i:i + 32768]])[:, 0]
+                                                 for i in range(0, len(rows), 32768))])
+            far = np.sqrt(np.maximum(far, 0))
+            order = np.lexsort((ids[rows], far, asks))
+            asks, rows, far = asks[order], rows[order], far[order]
+            top = np.arange(len(asks)) - np.searchsorted(asks, asks) < k
+            out.append(pd.DataFrame({"query_id": named[asks[top]], "vec_id": ids[rows[top]], "score": far[top]}))
         return pd.concat([none, *out], ignore_index=True)
 
     return run

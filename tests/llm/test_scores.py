@@ -159,3 +159,22 @@ def test_neighbours_of_odd_rows(spark):
     got = [(r.query_id, r.rank, r.vec_id, r.score) for r in vamana.search_embeddings(table).orderBy("rank").collect()]
     assert got == [(0, 1, 1, 0.5), (0, 2, 2, 0.5)]
     assert vamana.search_embeddings(table.limit(0)).count() == 0
+
+
+def test_neighbours_among_equal_rows(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(12, 8))
+    vectors = [centres[0].tolist() if i % 3 == 0 else [0.5] * 8 if i % 50 == 1 else (centres[i % 12] + rng.normal(size=8) / 3).tolist() for i in range(900)]
+    table = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>")
+    graphs = vamana.index(table, shard=300)
+    assert graphs.count() == 900
+    rows = vamana.nearest(graphs, graphs.where("vec_id % 10 = 0 or vec_id % 50 = 1").select("vec_id", "vector")).collect()
+    queries = [i for i in range(900) if i % 10 == 0 or i % 50 == 1]
+    assert len(rows) == 10 * len(queries)
+    hits = 0
+    for query in queries:
+        got = [r.vec_id for r in sorted(rows, key=lambda r: r.rank) if r.query_id == query]
+        want = [i for _, i in brute_nearest(range(900), np.array(vectors), query, 10)]
+        assert got == want or query % 3 and query % 50 != 1  # copies of the query, by the smallest ids
+        hits += len(set(got) & set(want))
+    assert hits >= 0.97 * len(rows)
