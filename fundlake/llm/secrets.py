@@ -5,7 +5,8 @@ judges them by length, character transitions, dictionary coverage, likeness to a
 grown from labelled findings: FINDINGS as written, and as many drawn by rule from a seed for each kind of true and false
 finding (`labelled_findings`).
 
-A finding never carries the value, only its place, length and SHA-256.
+A finding never carries the value, only its place, length and SHA-256. All three are those of the whole value, however
+long: a PEM key runs to its END line or, where none follows, over its base64 lines.
 
 Defined results: a null or empty text has no findings; texts of any length are scanned whole; repeated rows have equal
 findings; a null id is kept on its findings; extra columns are ignored.
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -44,15 +46,19 @@ DICTIONARY = tuple("""about access account action active admin after agent alpha
     theme this thread time title token tool top total trace track tree trigger true type under unit update upload url user util valid
     value version view wait web week width window with word work world wrap write year""".split())
 FORMATS = {
-    "aws": r"(?:AKIA|ASIA)[0-9A-Z]{16}", "github": r"gh[pousr]_[A-Za-z0-9]{36}", "slack": r"xox[abprs]-[A-Za-z0-9-]{10,72}",
+    "aws": r"(?:AKIA|ASIA)[0-9A-Z]{16}", "github": r"gh[pousr]_[A-Za-z0-9]{36,}", "slack": r"xox[abprs]-[A-Za-z0-9-]{10,}",
     "google": r"AIza[0-9A-Za-z_-]{35}", "jwt": r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
     "stripe": r"[sr]k_live_[0-9A-Za-z]{24,}", "pem": r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----",
 }
 _FORMAT = re.compile("|".join(f"(?P<{k}>(?<![A-Za-z0-9]){p})" for k, p in FORMATS.items() if k != "pem"))
 _LONG = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=.-]{15,}")
-_ASSIGNED = re.compile(r"[:=]")
+_PEM_BODY = re.compile(r"(?:(?:\s|\\[rn])*+[A-Za-z0-9+/=]{32,}+)*+(?:(?:\s|\\[rn])*+[A-Za-z0-9+/]++={1,2}+)?")
+_PEM_END = re.compile(r"-----END [A-Z ]{0,20}PRIVATE KEY-----")
+_ASSIGNED = re.compile(r":=|=>|={1,3}|:")
 _BEFORE = re.compile(r"([A-Za-z][A-Za-z0-9_.-]{1,63})[\"'\]]{0,2}[ \t]{0,4}$")
-_VALUE = re.compile(r"[ \t]{0,4}[\"']?([^\s\"'<>,;]{6,200})")
+_SPACE = re.compile(r"[ \t]{0,4}[\"']?")
+_VALUE = re.compile(r"[^\s\"'<>,;]*+")
+_PIECE = 200  # characters of a value that are described together
 _WORD = re.compile(r"[A-Za-z0-9]+")
 FEATURES = ("length", "digits", "uppers", "others", "class_changes", "case_changes", "letter_pairs", "distinct", "hexadecimal", "dictionary",
             "longest_word", "path", "name_before", "name_other", "placeholder", "assigned", "format")
@@ -69,6 +75,18 @@ class Candidate:
     after: str
 
 
+def _pem_keys(text: str) -> list[tuple[int, int, str]]:
+    """The private keys in PEM, each from its BEGIN line to the END line before the next one begins."""
+    heads, ends = list(re.finditer(FORMATS["pem"], text)), list(_PEM_END.finditer(text))
+    found, at = [], 0
+    for head, following in zip(heads, [*(h.start() for h in heads[1:]), len(text)], strict=True):
+        while at < len(ends) and ends[at].start() < head.end():
+            at += 1
+        closed = at < len(ends) and ends[at].end() <= following
+        found.append((head.start(), ends[at].end() if closed else _PEM_BODY.match(text, head.end(), following).end(), "pem"))
+    return found
+
+
 def candidates(text: str) -> list[Candidate]:
     """Candidates in order of place; of several that overlap, the one of the first rule (format, assigned, long)."""
     found: list[tuple[int, int, str]] = []
@@ -76,23 +94,27 @@ def candidates(text: str) -> list[Candidate]:
     for run in runs:  # every format but the last lies within such a run
         found += [(m.start(), m.end(), m.lastgroup) for m in _FORMAT.finditer(text, run.start(), run.end())]
     if "-----BEGIN" in text:
-        found += [(m.start(), m.end(), "pem") for m in re.finditer(FORMATS["pem"], text)]
+        found += _pem_keys(text)
+    end = 0
     for match in _ASSIGNED.finditer(text):
         at = match.start()
         name = _BEFORE.search(text, max(0, at - 72), at)
         if name and any(n in name[1].lower() for n in NAMES):
-            value = _VALUE.match(text, at + 1)
-            if value:
-                found.append((value.start(1), value.end(1), "assigned"))
+            start = _SPACE.match(text, match.end()).end()
+            if start >= end:  # a value that starts within the last one ends with it
+                end = _VALUE.match(text, start).end()
+            if end - start >= 6:
+                found.append((start, end, "assigned"))
     for match in runs:
         value = match[0].rstrip(".=-")
         if len(value) >= 20 and any(c.isdigit() for c in value):
             found.append((match.start(), match.start() + len(value), "long"))
     taken: list[tuple[int, int, str]] = []
     for start, end, rule in found:  # rules in order of precedence; spans of one rule do not overlap
-        if not any(a < end and start < b for a, b, _ in taken):
-            taken.append((start, end, rule))
-    return [Candidate(a, text[a:b], rule, text[max(0, a - 48):a], text[b:b + 24]) for a, b, rule in sorted(taken)]
+        i = bisect_left(taken, (start,))
+        if (not i or taken[i - 1][1] <= start) and (i == len(taken) or taken[i][0] >= end):
+            insort(taken, (start, end, rule))
+    return [Candidate(a, text[a:b], rule, text[max(0, a - 48):a], text[b:b + 24]) for a, b, rule in taken]
 
 
 def _kind(c: str) -> int:
@@ -109,8 +131,21 @@ def _coverage(value: str, dictionary: frozenset[str]) -> tuple[float, int]:
 
 
 def features(c: Candidate, dictionary: frozenset[str] = frozenset(DICTIONARY)) -> list[float]:
-    """FEATURES of a candidate."""
-    value, n = c.value, max(len(c.value), 1)
+    """FEATURES of a candidate. A long assigned value or token is described by the medians over its pieces, since what is
+    counted, such as slashes or short words, occurs in every long value by chance; a PEM key by what its lines enclose."""
+    value = c.value
+    if c.rule == "pem":
+        value = "".join(re.sub(r"-----[A-Z ]+-----|\\[rn]", "", value).split()) or value
+    if c.rule == "long" or len(value) <= _PIECE:
+        return _features(c, value, dictionary)
+    many = -(-len(value) // _PIECE)
+    cuts = [i * len(value) // many for i in range(many + 1)]
+    described = [_features(c, value[a:b], dictionary) for a, b in zip(cuts, cuts[1:], strict=False)]
+    return [float(_PIECE), *np.median(np.array(described)[:, 1:], axis=0).tolist()]
+
+
+def _features(c: Candidate, value: str, dictionary: frozenset[str]) -> list[float]:
+    n = max(len(value), 1)
     kinds = [_kind(x) for x in value]
     pairs = [(a, b) for a, b in zip(value.lower(), value.lower()[1:], strict=False) if a.isalpha() and b.isalpha()]
     vowels = "aeiouyäöüéèáíóú"
