@@ -15,7 +15,9 @@ values different ones, and whoever has the key can undo it.
 | iban | mod 97 | account part, each character within its class | country, spacing; check digits are computed anew |
 | date | calendar | the day within its 400 years (1800 to 2199, ...) | order of the parts, separators |
 
-Dates with slashes are read month first, and day first where that is no date. A number that fails its validation is
+Dates with slashes are read month first, and day first where that is no date. A date with a one-digit day or month gets
+one without leading zeros; however it is written, a day becomes the same day. North American numbers may be written with
+any or no gaps after a +1 or around an area code in parentheses, otherwise with gaps. A number that fails its validation is
 not personal data of that kind and stays.
 
 Defined results: a null text stays null, an empty one empty; other columns and rows, repeated ones and null ids
@@ -34,12 +36,13 @@ ROUNDS = 8
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: Kinds in the order in which they are tried at a place.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}(?![A-Za-z0-9@])",
+    "email": r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}(?![A-Za-z0-9@])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "phone": r"(?<![A-Za-z0-9+])(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[.-])[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9])",
-    "world": r"(?<![A-Za-z0-9+])\+[2-9][0-9]{0,2}(?:[ .-]?\(?[0-9]{1,4}\)?){2,4}(?![0-9])",
-    "date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}[.][0-9]{2}[.][0-9]{4}"
-            r"|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9]|[/-][0-9]|[.][0-9])",
+    "phone": r"(?<![A-Za-z0-9+])(?:(?:\+1[ .-]?(?:\([2-9][0-9]{2}\)|[2-9][0-9]{2})|(?:1[ .-]?)?\([2-9][0-9]{2}\))[ .-]?[2-9][0-9]{2}[ .-]?[0-9]{4}"
+             r"|(?:1[ .-]?)?[2-9][0-9]{2}[ .-][2-9][0-9]{2}[ .-][0-9]{4})(?![0-9])",
+    "world": r"(?<![A-Za-z0-9+])\+[2-9](?:[ .()-]{0,2}[0-9]){8,14}(?![0-9])",
+    "date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}|[0-9]{1,2}[.][0-9]{1,2}[.][0-9]{4}"
+            r"|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4})(?![0-9]|[/-][0-9]|[.][0-9])",
     "ip": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])",
     "ssn": r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9]|-[0-9])",
     "card": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?<gap>[ -])[0-9]{4}\k<gap>[0-9]{4}\k<gap>[0-9]{1,4}(?:\k<gap>[0-9]{1,3})?"
@@ -232,14 +235,15 @@ def _date(key: str, value: Column) -> Column:
 
         return F.when(real, _let(_long(F.datediff(F.make_date(year, month, day), start)), moved))
 
-    def read(order: str, form: str) -> Column:
-        at = {c: order.index(c) + 1 for c in "ymd"}
-        year, month, day = (F.substring(value, at[c], 4 if c == "y" else 2).cast("int") for c in "ymd")
-        return F.date_format(shifted(year, month, day), form)
+    def read(order: str, sign: str) -> Column:
+        year, month, day = (F.get(F.split(value, "[./-]"), order.index(c)).cast("int") for c in "ymd")
+        full, short = (sign.join(forms[c] for c in order) for forms in ({"y": "yyyy", "m": "MM", "d": "dd"}, {"y": "yyyy", "m": "M", "d": "d"}))
+        return _let(shifted(year, month, day), lambda new: F.when(
+            value.rlike("(?<![0-9])[0-9](?![0-9])"), F.date_format(new, short)).otherwise(F.date_format(new, full)))
 
-    month_first = F.coalesce(read("mm/dd/yyyy", "MM/dd/yyyy"), read("dd/mm/yyyy", "dd/MM/yyyy"))
-    new = (F.when(value.rlike("^[0-9]{4}-"), read("yyyy-mm-dd", "yyyy-MM-dd")).when(value.rlike("^[0-9]{4}/"), read("yyyy/mm/dd", "yyyy/MM/dd"))
-           .when(value.contains("."), read("dd.mm.yyyy", "dd.MM.yyyy")).otherwise(month_first))
+    month_first = F.coalesce(read("mdy", "/"), read("dmy", "/"))
+    new = (F.when(value.rlike("^[0-9]{4}-"), read("ymd", "-")).when(value.rlike("^[0-9]{4}/"), read("ymd", "/"))
+           .when(value.contains("."), read("dmy", ".")).otherwise(month_first))
     return F.coalesce(new, value)
 
 

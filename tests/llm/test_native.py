@@ -96,6 +96,27 @@ def test_what_is_not_personal_stays(spark):
     assert got[:-1] == texts[:-1] and got[-1] != texts[-1] and got[-1].startswith("x" * 200_000)
 
 
+def test_layouts_of_personal_values(spark):
+    phones = ["+12125550123", "+1 212 555 0123", "212 555 0123", "+1-212-555-0123", "+1.212.555.0123", "1 212 555 0123", "(212)555-0123", "(212) 555 0123",
+              "(212)5550123", "+1(212)5550123", "+1 (212) 555-0123", "212-555-0123", "212.555.0123"]
+    world = ["+33 1 42 68 53 00", "+442071234567", "+44 (0)20 7123 4567", "+49-30-1234567"]
+    mails = ["_jo.doe@x.com_", "-jo.doe@x.com", ".jo.doe@x.com", "+jo.doe@x.com", "%jo.doe@x.com", "<jo.doe@x.com>"]
+    dates = ["1/5/1990", "1/05/1990", "01/05/1990", "5.1.1990", "05.01.1990", "1990-1-5", "1990/1/5", "1990-01-05"]
+    values = phones + world + mails + dates
+    got = masked(spark, [f"see {v} there" for v in values])
+    assert [v for v, g in zip(values, got, strict=True) if v in g] == []
+    assert all(g.startswith("see ") and g.endswith(" there") for g in got)
+    new = dict(zip(values, (g[4:-6] for g in got), strict=True))
+    assert all(re.sub("[0-9]", "0", new[v]) == re.sub("[0-9]", "0", v) for v in phones + world)
+    assert len({re.sub("[^0-9]", "", new[v])[-10:] for v in phones}) == 1
+    assert all(new[v].replace(new[mails[5]][1:-1], "jo.doe@x.com") == v for v in mails)
+    days = {(int(y), int(m), int(d)) for v in dates for y, m, d in [
+        (lambda p: (p[2], p[0], p[1]) if "/" in v and len(p[2]) == 4 else (p[2], p[1], p[0]) if "." in v else p)(re.split("[-./]", new[v]))]}
+    assert len(days) == 1 and new["1990-01-05"] == "{:04d}-{:02d}-{:02d}".format(*next(iter(days)))
+    assert not re.search(r"(?<![0-9])0[0-9]", new["1/5/1990"] + new["5.1.1990"] + new["1990-1-5"])
+    assert masked(spark, ["+44 20 7123 4567 2024"])[0].endswith(" 2024") and "7123 4567" not in masked(spark, ["+44 20 7123 4567 2024"])[0]
+
+
 def test_permutation_of_a_whole_domain(spark):
     rows = spark.range(1000).select(pseudonyms._digits_permuted("k", "t", F.lpad(F.col("id").cast("string"), 3, "0")).alias("x"))
     assert sorted(r.x for r in rows.collect()) == [f"{i:03d}" for i in range(1000)]
