@@ -20,6 +20,7 @@ import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from heapq import heapify, heappop, heapreplace
 
 import numpy as np
 import pyarrow as pa
@@ -167,13 +168,12 @@ def _logistic(x: np.ndarray, y: np.ndarray, strength: float = 1e-2) -> tuple[flo
 
 def learn(rows: DataFrame) -> Lexicon:
     """A lexicon from (text, y). The rows are the bounded sample; so is what comes to the driver."""
-    rows = rows.select("text", F.col("y").cast("int").alias("y"))
+    # copies of a text are one text here, or a large group of them would make all its words toxic
+    rows = rows.select("text", F.col("y").cast("int").alias("y")).dropDuplicates(["text", "y"])
     n = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     lexicon = seed_lexicon()
     if not n.get(0) or not n.get(1):
         return lexicon
-    # copies of a text are one text here, or a large group of them would make all its words toxic
-    rows = rows.dropDuplicates(["text", "y"])
     counted = (rows.mapInArrow(_counted, "entry string, n_clean long, n_toxic long")
                .groupBy("entry").agg(F.sum("n_clean").alias("n_clean"), F.sum("n_toxic").alias("n_toxic")))
     n_toxic, n_clean = n[1], n[0]
@@ -197,20 +197,21 @@ def learn(rows: DataFrame) -> Lexicon:
 def _greedy(holding: dict[str, list[int]], least: float) -> list[str]:
     """Entries by the toxic texts they newly explain, until none explains enough."""
     worth = defaultdict(lambda: 1.0)
-    gains = {e: float(len(rows)) for e, rows in holding.items()}
+    heap = [(-float(len(rows)), -len(e), e) for e, rows in holding.items()]
+    heapify(heap)
     chosen = []
-    while gains:
+    while heap:
         # gains only fall, so an entry whose fresh gain is still the best is the best
-        top = sorted(gains, key=lambda e: (-gains[e], -len(e), e))
-        taken = None
-        for entry in top[:200]:
-            gains[entry] = sum(worth[i] for i in holding[entry])
-        taken = min(top[:200], key=lambda e: (-gains[e], -len(e), e))
-        if gains[taken] < least:
+        _, size, entry = heap[0]
+        fresh = (-sum(worth[i] for i in holding[entry]), size, entry)
+        if fresh != heap[0]:
+            heapreplace(heap, fresh)
+            continue
+        if -fresh[0] < least:
             break
-        chosen.append(taken)
-        del gains[taken]
-        for i in holding[taken]:
+        heappop(heap)
+        chosen.append(entry)
+        for i in holding[entry]:
             worth[i] *= 0.5
     return chosen
 

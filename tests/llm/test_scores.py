@@ -85,6 +85,20 @@ def test_held_out_toxicity_in_english(small):
     assert not any(r.predicted and not r.toxic for r in rows)
 
 
+def test_a_large_family_does_not_end_the_learning():
+    family = {f" f{i:04d}": list(range(1000)) for i in range(1600)}
+    words = {f" w{i}": list(range(1000 + 300 * i, 1300 + 300 * i)) for i in range(5)}
+    chosen = toxicity._greedy({**family, **words}, 12.0)
+    assert set(words) <= set(chosen) and len(chosen) == 5 + 7  # a family of 1000 is worth 12 seven times
+
+
+def test_copies_are_one_text_in_learning(spark):
+    toxic, clean = [f"blorg w{i}x" for i in range(8)], [f"fine day v{i}x" for i in range(8)]
+    rows = [(t, 1) for t in toxic + toxic[:1] * 5000] + [(t, 0) for t in clean]
+    once = toxicity.learn(spark.createDataFrame([(t, 1) for t in toxic] + [(t, 0) for t in clean], "text string, y int"))
+    assert toxicity.learn(spark.createDataFrame(rows, "text string, y int")).weights == once.weights and " blorg " in once.weights
+
+
 def test_toxicity_of_odd_rows(spark):
     rows = toxicity.learned_toxicity(odd(spark), no_labels(spark)).collect()
     assert len(rows) == len(ODD)
