@@ -4,6 +4,10 @@ A page is cut into blocks at its block-level tags. A block is described by its n
 inside links, the same of the blocks before and after it, and the kinds of containers around it. The tree is grown from
 TABLE, which describes the blocks of a few typical pages, and says of each block whether it belongs to the article.
 
+A container that is boilerplate by its class or id alone, or a form, counts as plain where it wraps the page: outside any
+article, if it holds the main element, or else if it holds more than half of the words outside navigation and no article
+element stands outside it (comments and related pages never wrap it in this second way).
+
 Markup may be broken: unclosed elements end with their parents, stray end tags are ignored, an unclosed comment or
 script runs to the end of the page, a "<" that starts no tag is text.
 
@@ -43,12 +47,14 @@ _BAD_NAMES = frozenset(
     "navigation breadcrumb breadcrumbs footer header masthead topbar cookie cookies consent gdpr notice notices alert popup modal overlay "
     "newsletter subscribe subscription share sharing social related recommended recommendations widget comment comments commentlist "
     "disqus discussion respond reply replies login signup search pagination pager copyright legal disclaimer toolbar skip teaser paywall".split())
+_ASIDE_NAMES = frozenset("related recommended recommendations comment comments commentlist disqus discussion respond reply replies".split())
+_SOFT = ("named", "aside", "form")
 _GOOD_NAMES = frozenset("article content post entry story main maintext body text".split())
 _NAME = re.compile(r"[a-z]+")
 
 
 def _kind(name: str, attributes: str, in_article: bool) -> str:
-    """What a container is: silent, boilerplate, form, article or plain."""
+    """What a container is: silent, boilerplate, named or aside (boilerplate by class or id alone), form, article or plain."""
     if name in _SILENT:
         return "silent"
     if name in ("html", "body"):
@@ -73,7 +79,7 @@ def _kind(name: str, attributes: str, in_article: bool) -> str:
     if name == "header" or name in _INLINE:
         return "plain"
     if any(n in _BAD_NAMES for n in names) and not (name in ("article", "main") and "header" not in names and "comment" not in names):
-        return "boilerplate"
+        return "aside" if any(n in _ASIDE_NAMES for n in names) else "named"
     if name in ("article", "main") or role in ("main", "article") or any(n in _GOOD_NAMES for n in names):
         return "article"
     return "plain"
@@ -93,11 +99,41 @@ class Block:
     item: bool
 
 
+def _unwrap(found: list[Block], places: list[tuple[int, bool]], soft: list[list]) -> None:
+    """Sets the flags of blocks inside named containers and forms, unless these wrap the page.
+
+    places: (innermost such container or -1, inside an article element) of each block; soft: [outer container or -1, kind,
+    inside an article, holds main], outer ones first.
+    """
+    words, marked = [0] * len(soft), [0] * len(soft)
+    total = total_marked = 0
+    for b, (at, element) in zip(found, places, strict=True):
+        if not b.boilerplate:
+            total, total_marked = total + b.words, total_marked + b.words * element
+            if at >= 0:
+                words[at], marked[at] = words[at] + b.words, marked[at] + b.words * element
+    for i in range(len(soft) - 1, -1, -1):
+        outer = soft[i][0]
+        if outer >= 0:
+            words[outer], marked[outer], soft[outer][3] = words[outer] + words[i], marked[outer] + marked[i], soft[outer][3] or soft[i][3]
+    flags: list[tuple[bool, bool]] = []
+    for (outer, kind, in_article, main), n, m in zip(soft, words, marked, strict=True):
+        bad, form = flags[outer] if outer >= 0 else (False, False)
+        wraps = not in_article and (main or kind != "aside" and 2 * n > total and m == total_marked)
+        flags.append((bad or not wraps and kind != "form", form or not wraps and kind == "form"))
+    for b, (at, _) in zip(found, places, strict=True):
+        if at >= 0:
+            b.boilerplate, b.form = b.boilerplate or flags[at][0], flags[at][1]
+
+
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page in order."""
     found: list[Block] = []
     stack: list[tuple[str, str]] = []
-    counts = {"silent": 0, "boilerplate": 0, "form": 0, "article": 0, "plain": 0}
+    counts = {"silent": 0, "boilerplate": 0, "form": 0, "named": 0, "aside": 0, "article": 0, "plain": 0}
+    places: list[tuple[int, bool]] = []
+    soft: list[list] = []
+    inner, elements = [-1], 0  # the open ones of `soft`, and the number of open article elements
     links, pieces = 0, []
     opened = {"a": 0, "heading": 0, "item": 0}
 
@@ -108,16 +144,21 @@ def blocks(page: str) -> list[Block]:
             linked = sum(len(p.split()) for p, in_link in pieces if in_link)
             words = len(text.split())
             found.append(Block(text, words, min(linked, words), counts["article"] > 0, counts["boilerplate"] > 0,
-                               counts["form"] > 0, opened["heading"] > 0, opened["item"] > 0))
+                               False, opened["heading"] > 0, opened["item"] > 0))
+            places.append((inner[-1], elements > 0))
         pieces = []
 
     def group(name: str) -> str:
         return "a" if name == "a" else "heading" if re.fullmatch("h[1-6]", name) else "item" if name in ("li", "dt", "dd", "td", "th") else ""
 
     def close(depth: int) -> None:
+        nonlocal elements
         while len(stack) > depth:
             name, kind = stack.pop()
             counts[kind] -= 1
+            elements -= kind == "article" and name in ("article", "main")
+            if kind in _SOFT:
+                inner.pop()
             if group(name):
                 opened[group(name)] -= 1
 
@@ -157,11 +198,18 @@ def blocks(page: str) -> list[Block]:
             if stack and stack[-1][0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "dt", "dd") or stack and stack[-1][0] == name and name in ("li", "td", "th", "tr"):
                 close(len(stack) - 1)
         kind = _kind(name, match["attributes"], counts["article"] > 0)
+        if kind in _SOFT:
+            soft.append([inner[-1], kind, counts["article"] > 0, False])
+            inner.append(len(soft) - 1)
+        elif name == "main" and kind == "article" and not counts["boilerplate"] and inner[-1] >= 0:
+            soft[inner[-1]][3] = True
         stack.append((name, kind))
         counts[kind] += 1
+        elements += kind == "article" and name in ("article", "main")
         if group(name):
             opened[group(name)] += 1
     flush()
+    _unwrap(found, places, soft)
     return found
 
 

@@ -173,6 +173,22 @@ def test_page_text(spark):
     assert [r.text for r in rows if r.page_id == 1] == ["", ""]
 
 
+def test_wrappers_of_whole_pages():
+    tree = boilerplate.trained()
+    text = "These are the words of the article itself, which go on for some time. " * 4
+    article, want = f"<h1>A head</h1><p>{text}</p>", f"A head {text.strip()}"
+    rest = "<nav><a href=1>Home</a></nav>", "<div class='ad'>Buy this very good thing now please.</div><footer>(c) 2020</footer>"
+    for opened, closed in (("<div class='layout-sidebar-right'>", "</div>"), ("<div class='sticky-header'>", "</div>"), ("<div id='page-nav'>", "</div>"),
+                           ("<div class='no ad'>", "</div>"), ("<form id='aspnetForm'>", "</form>"), ("<form><div class='page-nav'>", "</div></form>")):
+        for element in ("article", "main"):
+            page = f"<body>{opened}{rest[0]}<{element}>{article}</{element}>{rest[1]}{closed}</body>"
+            assert boilerplate.main_text(page, tree) == want
+        assert text.strip() in boilerplate.main_text(f"<body>{opened}{rest[0]}<p>{text}</p>{rest[1]}{closed}</body>", tree)
+    comments = f"<div class='comments'><article><p>{text * 3}</p></article></div><form><p>{text * 3}</p></form>"
+    assert boilerplate.main_text(f"<body><article>{article}</article>{comments}</body>", tree) == want
+    boilerplate.blocks("<div class=ad>x" * 20_000)
+
+
 def brute_nearest(ids, vectors, query, k):
     far = np.sqrt(((vectors - vectors[list(ids).index(query)]) ** 2).sum(1))
     order = sorted((f, i) for f, i in zip(far, ids, strict=True) if i != query)
