@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fundlake.llm import boilerplate, decontaminate, minhash, mixing, pseudonyms, quality, secrets, suffixes, toxicity, vamana
+from fundlake.llm import (
+    boilerplate, conversations, decontaminate, hard_negatives, minhash, mixing, pseudonyms, quality, secrets, simhash, suffixes, toxicity, vamana,
+)
 from fundlake.llm.common import table
 
 
@@ -63,11 +65,26 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boilerplate.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of 3-word shingles of all documents, linked at three differing bits."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3).select("doc_id", "fingerprint", "component_id")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, damaged by rule and repaired by the least cheapest edits."""
+    return conversations.repair(table(spark, sf_dir, "conversations"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five hard negatives for each of the five positives of every hundredth embedding, among all rows."""
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
 #: Not a secret: real runs pass their own key.
 KEY = "check-key"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_secret_scan, op2_graph_neighbours, op3_suffix_dedup, op4_decontamination, op5_pii_pseudonyms, op6_quality_trees, op7_source_mixing, op8_minhash_near_dedup, op9_toxicity_lexicon,
-        op10_html_extraction)
+        op10_html_extraction, op11_simhash_near_dedup, op12_conversation_repair, op13_hard_negatives)
 }
 ORACLES: dict[str, str] = {"op4_decontamination": decontaminate.ORACLE, "op7_source_mixing": mixing.ORACLE}
