@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from fundlake.functions import exact, money
 from fundlake.operators.range_join import join_dates_in_interval
-from fundlake.operators.skew import heavy_keys
 from fundlake.sources.tables import Tables
 
 
@@ -125,7 +124,7 @@ def daily_returns(lots: DataFrame, prices: DataFrame, keys: Sequence[str]) -> Da
         "before_more": F.coalesce(F.lag("price_more").over(by_fund), F.lit(0.0)),
     })
     moved = join_dates_in_interval(
-        holdings, moves, ["fund_id"], "start", "until", "date", heavy_keys(lots, ["fund_id"])
+        holdings, moves, ["fund_id"], "start", "until", "date"
     )
     # On its day a purchase brings in the value of its shares at the price before that day's move.
     first_day = F.col("date") == F.col("start")

@@ -76,6 +76,13 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """The rows written to the shared scratch folder and read back, so that they are computed once."""
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class Tables(Mapping[str, DataFrame]):
     """Lazily opened tables, each DataFrame built once: ``t.fund_price`` or ``t["fund_price"]``."""
 

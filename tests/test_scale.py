@@ -10,7 +10,6 @@ from fundlake import fixtures, registry
 from fundlake.operators.loads import load_fund_price_dedup
 from fundlake.operators.range_join import join_dates_in_interval
 from fundlake.operators.repeat import repeat_rows
-from fundlake.operators.skew import heavy_keys
 from fundlake.plans import series, statements, views
 
 
@@ -18,8 +17,8 @@ def some_day(rng):
     return datetime.date(2019, 11, 1) + datetime.timedelta(rng.randrange(900))
 
 
-@pytest.mark.parametrize("min_rows", [3, 10_000])
-def test_range_join_equals_brute_force(spark, min_rows):
+@pytest.mark.parametrize("limit", [500, 20_000_000])
+def test_range_join_equals_brute_force(spark, limit):
     rng = random.Random(7)
     intervals = []
     for i in range(120):
@@ -29,18 +28,37 @@ def test_range_join_equals_brute_force(spark, min_rows):
     points = [(k, d, float(i)) for i, (k, d) in enumerate({(rng.randrange(5), some_day(rng)) for _ in range(400)})]
     left = spark.createDataFrame(intervals, "i int, k int, a date, b date")
     right = spark.createDataFrame(points, "k int, d date, v double")
-    heavy = heavy_keys(left, ["k"], max_heavy=20, min_rows=min_rows)
-    assert (heavy.count() > 0) == (min_rows == 3)
-    got = join_dates_in_interval(left, right, ["k"], "a", "b", "d", heavy).select("i", "d", "v")
+    got = join_dates_in_interval(left, right, ["k"], "a", "b", "d", limit).select("i", "d", "v")
     want = {(i, d, v) for i, k, a, b in intervals for q, d, v in points if k == q and a <= d < b}
     rows = [tuple(r) for r in got.collect()]
     assert len(rows) == len(want) and set(rows) == want
 
 
-def test_heavy_keys_are_bounded(spark):
-    rows = spark.range(10_000).withColumn("k", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")))
-    heavy = heavy_keys(rows, ["k"], max_heavy=50, min_rows=1).collect()
-    assert [(r["k"], r["_parts"]) for r in heavy] == [(0, 17)]
+def test_range_join_of_nothing(spark):
+    left = spark.createDataFrame([(1, 2, datetime.date(2020, 1, 1), datetime.date(2020, 1, 1))], "i int, k int, a date, b date")
+    right = spark.createDataFrame([(2, datetime.date(2020, 1, 1), 1.0)], "k int, d date, v double")
+    assert join_dates_in_interval(left, right, ["k"], "a", "b", "d").count() == 0
+    assert join_dates_in_interval(left.limit(0), right.limit(0), ["k"], "a", "b", "d").count() == 0
+
+
+def test_a_hot_fund_is_cut_by_joined_rows(spark):
+    """Half of all intervals are on one fund: no task joins more rows than allowed, and nothing is broadcast."""
+    limit, day = 60_000, F.lit(datetime.date(2020, 1, 1))
+    fund = F.when(F.col("id") % 2 == 0, 1).otherwise(F.col("id") % 50)
+    held = spark.range(4_000).select("id", fund.alias("k"), F.date_add(day, (F.col("id") % 300).cast("int")).alias("a"),
+                                     F.date_add(day, (F.col("id") % 300 + 200).cast("int")).alias("b"))
+    prices = spark.range(50).select(F.col("id").alias("k"), F.explode(F.sequence(day, F.date_add(day, 600))).alias("d"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = join_dates_in_interval(held, prices, ["k"], "a", "b", "d", limit)
+        tasks = joined.groupBy(F.spark_partition_id()).count().collect()
+        text = plan(joined)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert sum(r["count"] for r in tasks) == 4_000 * 200
+    assert max(r["count"] for r in tasks) <= limit and len(tasks) >= 14
+    assert "Broadcast" not in text and "CartesianProduct" not in text
 
 
 @pytest.mark.parametrize("chunk", [1, 7, 10_000])
@@ -154,10 +172,8 @@ def test_a_hot_account_is_split(spark, small_book):
 
 
 def test_reports_do_not_change_when_keys_are_split(spark, sf_dir, monkeypatch):
-    from fundlake.operators import skew
-
     t = fixtures.tables(spark, sf_dir)
     plain = views.portfolio_returns(t).collect()
-    monkeypatch.setattr(skew.heavy_keys, "__defaults__", (40, 10))
+    monkeypatch.setattr(join_dates_in_interval, "__defaults__", (20_000,))
     split = views.portfolio_returns(fixtures.tables(spark, sf_dir)).collect()
     assert sorted(map(tuple, plain), key=repr) == sorted(map(tuple, split), key=repr)
