@@ -118,13 +118,14 @@ ENTRIES: dict[str, Entry] = {
     ),
     "portfolio_statement": Entry(
         on_tables(lambda t: rounded(statements.portfolio_statement(t), "annualized_yield")),
-        f"""select s.portfolio, s.currency, s.invested_amount, s.market_value, s.profit_loss,
-               round(r.ann_yield_pct/100,6) annualized_yield
-        from (select p.id, p.name portfolio, currency, {_STATEMENT}
-              from {{portfolio}} p join {{portfolio_x_account_rltnp}} m on m.portfolio_id=p.id
-                   join {{valued_lot}} l on l.account_id=m.account_id
-              group by p.id, p.name, currency) s
-             left join {{recent_return}} r on r.portfolio=s.portfolio""",
+        f"""select name portfolio, currency, {label('paid', 'currency')} invested_amount,
+               {label('present', 'currency')} market_value, {label('gain', 'currency')} profit_loss,
+               (select round(ann_yield_pct/100,6) from {{recent_return}} where portfolio=name) annualized_yield
+        from (select portfolio_id, currency, sum(paid) paid, sum(present) present, sum(gain) gain
+              from (select account_id, currency, sum(cost) paid, sum(worth) present, sum(worth-cost) gain
+                    from {{valued_lot}} group by all) by_account
+                   natural join {{portfolio_x_account_rltnp}} group by all) by_portfolio
+             join {{portfolio}} on id=portfolio_id""",
     ),
     "portfolio_distribution": Entry(
         on_tables(lambda t: rounded(statements.portfolio_distribution(t), "val", digits=2)),

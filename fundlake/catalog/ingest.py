@@ -10,11 +10,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fundlake import fixtures, schemas
-from fundlake.catalog import Entry, on_tables
+from fundlake.catalog import Entry, analytics, on_tables, rounded
 from fundlake.functions import cleaning
 from fundlake.operators import loads
 from fundlake.plans import jobs, refresh
-from fundlake.sources import html, positional, requests, tables
+from fundlake.sources import html, monthly, positional, requests, tables
 from fundlake.sources.tables import Tables
 from fundlake.streaming.ingest import stream_ingest
 
@@ -175,9 +175,9 @@ def _old_curve(t: Tables) -> DataFrame:
 def _append(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored prices up to the cut, then the staged rows appended; the table read back."""
     t, folder = fixtures.tables(spark, sf_dir), tables.scratch(spark, "append")
-    tables.append(_old_prices(t).select(*_PRICE), "fund_price", folder)
+    tables.append(_old_prices(t).select(*_PRICE), "fund_price", folder, schemas.PRICE_ROW)
     stored = tables.read(spark, "fund_price", folder, schemas.PRICE_ROW)
-    tables.append(loads.load_fund_price_dedup(t.ld_fund_price, stored), "fund_price", folder)
+    tables.append(loads.load_fund_price_dedup(t.ld_fund_price, stored), "fund_price", folder, schemas.PRICE_ROW)
     return tables.read(spark, "fund_price", folder, schemas.PRICE_ROW)
 
 
@@ -211,29 +211,85 @@ def _known_batch(t: Tables) -> tuple[DataFrame, DataFrame]:
 
 
 def _refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The small stored views refreshed twice; their rows after the second time, counted."""
+    """All stored views, refreshed whole and once more without anything new; their rows, counted."""
     t, folder = fixtures.tables(spark, sf_dir), tables.scratch(spark, "views")
-    counts = []
-    for name in ("portfolio_returns", "yield_curve_current", "interest_series"):
-        parts = ["portfolio_id"] if name == "portfolio_returns" else []
-        refresh.refresh_view(spark, name, t, folder, parts)
-        stored = refresh.refresh_view(spark, name, t, folder, parts)
-        counts.append(stored.agg(F.count("*").alias("rows")).select(F.lit(name).alias("view"), "rows"))
-    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+    refresh.refresh_views(spark, folder, t)
+    stored = refresh.refresh_views(spark, folder, t, {})
+    counts = [stored.read(name, t).agg(F.count("*").alias("rows")).select(F.lit(name).alias("view"), "rows") for name in refresh.VIEWS]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2]).unionByName(counts[3])
+
+
+# Days at which the refreshes of the incremental queries end; rows of some earlier days come in late.
+_REFRESHED = ("2001-09-15", "2001-10-20", "9999-12-31")
+
+
+def _late(t: Tables) -> dict[str, Column]:
+    """Which rows come in late, by table."""
+    return {
+        "fund_price": (F.dayofmonth("value_date") == BAD_DAY) & (F.col("value_date") >= "2001-07-01"),
+        "fund_investment_transaction": (F.col("id") % 97 == 0) & (F.col("value_date") >= "2001-05-01"),
+        "yield_curve": F.dayofmonth("value_date") == BAD_DAY,
+        "rate_value": F.dayofmonth("value_date") == BAD_DAY,
+    }
+
+
+def _refreshed(view: str, needs: list[str]):
+    """The view after a whole refresh, one that also meets late rows, and one more."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t, folder = fixtures.tables(spark, sf_dir), tables.scratch(spark, "views")
+        late = _late(t)
+        until = {day: {n: t[n].filter(F.col("value_date") < day) for n in needs} for day in _REFRESHED}
+        first, second, third = (until[day] for day in _REFRESHED)
+        stored = refresh.StoredViews(spark, folder)
+        stored.refresh(view, t.replace(**{n: df.filter(~late[n]) for n, df in first.items()}))
+        new = {n: second[n].filter(late[n] | (F.col("value_date") >= _REFRESHED[0])) for n in needs}
+        stored.refresh(view, t.replace(**second), new)
+        stored.refresh(view, t.replace(**third), {n: df.filter(F.col("value_date") >= _REFRESHED[1]) for n, df in third.items()})
+        return stored.read(view, t)
+
+    return run
+
+
+def _refreshed_returns(view: str):
+    run = _refreshed(view, ["fund_price", "fund_investment_transaction"])
+    return lambda spark, sf_dir: rounded(rounded(run(spark, sf_dir), "return"), "market_value", "cash_flow", digits=2)
+
+
+def _refreshed_valuation_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Valuation dates from the state of the returns, after a whole refresh and a later one."""
+    t, folder = fixtures.tables(spark, sf_dir), tables.scratch(spark, "views")
+    stored = refresh.StoredViews(spark, folder)
+    stored.refresh("portfolio_returns", t.replace(fund_price=_old_prices(t)))
+    stored.refresh("portfolio_returns", t, {})
+    return stored.valuation_dates(t)
+
+
+_PRICE_KEY = ["fund_id", "value_date"]
+
+
+def _streamed(spark: SparkSession, folder: str, landed, parse, files: int) -> DataFrame:
+    """All landed files ingested, twice; the table after that."""
+    for _ in range(2):
+        stream_ingest(spark, f"{folder}/landing", landed, parse, _PRICE_KEY, "fund_price", folder, schemas.PRICE_ROW,
+                      f"{folder}/checkpoint", files_per_batch=files)
+    return monthly.read(spark, "fund_price", folder, schemas.PRICE_ROW).drop(monthly.MONTH)
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Staged prices land as files and are ingested, twice; the table after that."""
+    """Staged prices land as files next to an earlier load and are ingested."""
     t, folder = fixtures.tables(spark, sf_dir), tables.scratch(spark, "stream")
-    tables.append(_old_prices(t).select(*_PRICE), "fund_price", folder)
+    monthly.write(_old_prices(t).select(*_PRICE), "fund_price", folder, "first", schema=schemas.PRICE_ROW)
     t.ld_fund_price.repartition(3).write.parquet(f"{folder}/landing")
-    for _ in range(2):
-        stream_ingest(
-            spark, f"{folder}/landing", schemas.MODEL["ld_fund_price"],
-            lambda batch, target: loads.load_fund_price_dedup(batch, target, dedup_batch=True),
-            "fund_price", folder, f"{folder}/checkpoint", files_per_batch=2,
-        )
-    return tables.read(spark, "fund_price", folder, schemas.PRICE_ROW)
+    return _streamed(spark, folder, schemas.MODEL["ld_fund_price"], loads.typed_fund_prices, 2)
+
+
+def _stream_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw pages land as files, some of them twice, and are cut into price rows as they are ingested."""
+    t, folder = fixtures.tables(spark, sf_dir), tables.scratch(spark, "stream")
+    pages = _seventh_table_pages(t).drop("year")
+    again = pages.filter(F.pmod(F.hash("fund_id"), F.lit(10)) == 0)
+    pages.unionByName(again).repartition(4).write.parquet(f"{folder}/landing")
+    return _streamed(spark, folder, pages.schema, lambda rows: loads.typed_fund_prices(jobs.fetched_fund_prices(rows)), 2)
 
 
 _ANTI_RATE = f"(select * from {{rate_value}} where value_date < date '{fixtures.RATE_VALUE_CUT}')"
@@ -243,12 +299,13 @@ _LAST_PRICE = "(select fund_id, max(value_date) value_date from {fund_price} gro
 _FUND_CONTROL = f"""select f.id fund_id, f.isin, f.fund_name, f.source_id,
     coalesce(fpv.value_date, f.inception_date-1)+1 import_date_from
     from {{fund}} f left join {_LAST_PRICE} fpv on f.id=fpv.fund_id"""
-_FX_CONTROL = """select c.iso_code, x.id, max(v.value_date)+1 import_date, min(a.date_open) date_open_min,
-    max(v.value_date) last_fx_rate_value
-    from {rate_fx} x join {currency} c on c.id=x.from_currency_id
-         join {currency} home on home.id=x.to_currency_id and home.iso_code='HUF'
-         join {account} a on a.currency_id=c.id join {rate_value} v on v.rate_id=x.id
-    where c.iso_code<>'HUF' group by c.iso_code, x.id"""
+_FX_CONTROL = """select iso_code, id, last_fx_rate_value+1 import_date, date_open_min, last_fx_rate_value
+    from (select p.id,
+                 (select iso_code from {currency} where id=p.from_currency_id) iso_code,
+                 (select min(date_open) from {account} where currency_id=p.from_currency_id) date_open_min,
+                 (select max(value_date) from {rate_value} where rate_id=p.id) last_fx_rate_value
+          from {rate_fx} p where p.to_currency_id in (select id from {currency} where iso_code='HUF')) pair
+    where iso_code not in ('HUF') and date_open_min is not null and last_fx_rate_value is not null"""
 _INTEREST_CONTROL = """select id, rate_name, date_open, coalesce(last_day+1, date_open) import_date
     from (select r.id, r.rate_name,
                  (select min(value_date) from {deposit} d where d.reference_rate_id=r.id) date_open,
@@ -392,6 +449,9 @@ ENTRIES: dict[str, Entry] = {
         _refresh,
         """select 'portfolio_returns' "view", count(*) "rows" from {portfolio_return}
         union all
+        select 'account_returns', count(*)
+        from {account_return} r join {portfolio_x_account_rltnp} x on x.account_id=r.key_id
+        union all
         select 'yield_curve_current', count(*) from {yield_curve} c
         where value_date=(select max(value_date) from {yield_curve} x
                           where x.currency_id=c.currency_id and x."type"=c."type")
@@ -399,6 +459,11 @@ ENTRIES: dict[str, Entry] = {
         select 'interest_series', count(*) from {rate_value} v join {rate} r on v.rate_id=r.id
         where r.rate_type='interest'""",
     ),
+    "refresh_portfolio_returns": Entry(_refreshed_returns("portfolio_returns"), analytics.ENTRIES["portfolio_returns"].sql),
+    "refresh_account_returns": Entry(_refreshed_returns("account_returns"), analytics.ENTRIES["account_returns"].sql),
+    "refresh_yield_curve_current": Entry(_refreshed("yield_curve_current", ["yield_curve"]), analytics.ENTRIES["yield_curve_current"].sql),
+    "refresh_interest_series": Entry(_refreshed("interest_series", ["rate_value"]), analytics.ENTRIES["interest_series"].sql),
+    "refresh_valuation_dates": Entry(_refreshed_valuation_dates, analytics.ENTRIES["update_valuation_date"].sql),
     "fund_price_import": Entry(
         on_tables(lambda t: jobs.fund_prices_by_isin(
             _seventh_table_pages(t).drop("year"), t.replace(fund_price=_old_prices(t)))),
@@ -406,5 +471,6 @@ ENTRIES: dict[str, Entry] = {
         from {{fund_price}} p left join {_ANTI_PRICE} o on p.fund_id=o.fund_id and p.value_date=o.value_date
         where o.fund_id is null""",
     ),
+    "stream_pages": Entry(_stream_pages, f"select p.fund_id, p.value_date, {_FUND_ROW} from {{fund_price}} p"),
     "stream_ingest": Entry(_stream, "select fund_id, value_date, price from {fund_price}"),
 }

@@ -49,17 +49,20 @@ VIEWS: dict[str, str] = {
                               join {recent_vw} r on r.fund_id=x.fund_id
                          where m.portfolio_id=p.id), last_valuation_date) last_valuation_date
         from {portfolio} p""",
-    "performance": f"""
-        select portfolio_id, portfolio, date, currency, cast(sum(worth-cost) as double) accumulated_yield,
-               cast(sum(cost) as double) cumulative_balance
-        from (select p.id portfolio_id, p.name portfolio, q.value_date date, l.currency,
+    # Gain and cost of every account and price day, all lots bought by then.
+    "account_gain": f"""
+        select account_id, currency, day, sum(worth-cost) gain, sum(cost) paid
+        from (select l.account_id, l.currency, q.value_date as day,
                      {amount('l.tr_value', 'l.currency')} cost,
                      {amount('q.price*l.share_amount', 'l.currency')} worth
-              from {{lot_vw}} l join {{fund_price}} q on q.fund_id=l.fund_id
-                   join {{portfolio_x_account_rltnp}} m on m.account_id=l.account_id
-                   join {{portfolio_now}} p on p.id=m.portfolio_id
-              where q.value_date between l.value_date and p.last_valuation_date) lot_day
-        group by portfolio_id, portfolio, date, currency""",
+              from {{lot_vw}} l join {{fund_price}} q on q.fund_id=l.fund_id and q.value_date>=l.value_date) held
+        group by all""",
+    "performance": """
+        select g.portfolio_id, now.name portfolio, g.day date, g.currency,
+               cast(g.gain as double) accumulated_yield, cast(g.paid as double) cumulative_balance
+        from (select portfolio_id, currency, day, sum(gain) gain, sum(paid) paid
+              from {account_gain} natural join {portfolio_x_account_rltnp} group by all) g
+             join {portfolio_now} now on now.id=g.portfolio_id and now.last_valuation_date>=g.day""",
     # Market value on every day one of the held funds has a price: shares and price as of that day.
     "portfolio_day": """
         select portfolio_id key_id, fund_id, value_date, sum(share_amount) shares

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from fundlake.functions import money
 from fundlake.plans import views
-from fundlake.sources.tables import Tables
+from fundlake.sources import monthly
+from fundlake.sources.tables import Tables, stored
 
 ISO_DATE = "yyyy-MM-dd"
 
@@ -92,22 +93,38 @@ def new_rows(batch: DataFrame, target: DataFrame, keys: Sequence[str], date: str
              dedup_batch: bool = False) -> DataFrame:
     """The rows of ``batch`` whose ``keys`` are absent from ``target``; a NULL key is never present.
 
-    The target is read from the batch's first date on only: earlier rows cannot match. Duplicates within
-    the batch stay unless ``dedup_batch``.
+    The batch is staged once, so its pages are parsed once. The target is scanned from the batch's first date
+    on only, since earlier rows cannot match; one kept by month has only these months' files read. Duplicates within
+    the batch stay unless ``dedup_batch``, which keeps the least row of each key.
     """
     keys = list(keys)
-    first = batch.agg(F.min(date).alias("first")).scalar()
-    known = target.filter(F.col(date) >= first).select(*keys)
-    fresh = batch.join(known, keys, "left_anti")
-    return fresh.dropDuplicates(keys) if dedup_batch else fresh
+    staged = stored(batch, "batch")
+    first = staged.agg(F.min(date)).first()[0]
+    known = monthly.since(target, first, date).select(*keys)
+    fresh = staged.join(known, keys, "left_anti")
+    if not dedup_batch:
+        return fresh
+    others = [c for c in batch.columns if c not in keys]
+    least = fresh.groupBy(*keys).agg(F.min(F.struct(*others)).alias("_row"))
+    return least.select(*[F.col(c) if c in keys else F.col(f"_row.{c}") for c in batch.columns])
 
 
 def exclude_known_dates(batch: DataFrame, target: DataFrame, entity: str = "fund_id",
                         date: str = "date", target_date: str = "value_date") -> DataFrame:
-    """Drop fetched rows whose date is stored for the same entity; a NULL date equals a NULL date."""
-    known = target.select(F.col(entity).alias("_entity"), F.col(target_date).alias("_date"))
+    """Drop fetched rows whose date is stored for the same entity; a NULL date equals a NULL date.
+
+    The batch is staged once; of the target only rows without a date or from the batch's first date on are scanned.
+    """
+    staged = stored(batch, "batch")
+    first = staged.agg(F.min(date)).first()[0]
+    wanted = F.col(target_date).isNull()
+    if first is not None:
+        wanted = wanted | (F.col(target_date) >= F.lit(first))
+        if monthly.MONTH in target.columns:
+            target = target.filter((F.col(monthly.MONTH) >= first.strftime("%Y-%m")) | (F.col(monthly.MONTH) == monthly.NO_MONTH))
+    known = target.filter(wanted).select(F.col(entity).alias("_entity"), F.col(target_date).alias("_date"))
     same = (F.col(entity) == F.col("_entity")) & F.col(date).eqNullSafe(F.col("_date"))
-    return batch.join(known, same, "left_anti")
+    return staged.join(known, same, "left_anti")
 
 
 def _staged_rates(staging: DataFrame) -> DataFrame:
@@ -141,12 +158,16 @@ def load_index_dedup(staging: DataFrame, t: Tables, dedup_batch: bool = False) -
 def load_fund_price_dedup(staging: DataFrame, fund_price: DataFrame,
                           dedup_batch: bool = False) -> DataFrame:
     """Staged fund prices -> new rows for ``fund_price`` by (fund, date)."""
-    batch = staging.select(
+    return new_rows(typed_fund_prices(staging), fund_price, ["fund_id", "value_date"], dedup_batch=dedup_batch)
+
+
+def typed_fund_prices(staging: DataFrame) -> DataFrame:
+    """Staged texts as fund_id, value_date, price; bad text becomes NULL."""
+    return staging.select(
         F.col("fund_id").try_cast("bigint").alias("fund_id"),
         F.try_to_date("date", ISO_DATE).alias("value_date"),
         F.col("price").try_cast("double").alias("price"),
     )
-    return new_rows(batch, fund_price, ["fund_id", "value_date"], dedup_batch=dedup_batch)
 
 
 def load_yield_curve_dedup(staging: DataFrame, yield_curve: DataFrame,

@@ -5,7 +5,7 @@ Fetched pages of all entities come as one DataFrame; nothing loops over funds or
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from fundlake.functions import cleaning
 from fundlake.operators import loads
 from fundlake.operators.records import as_stored
-from fundlake.plans.refresh import refresh_view
+from fundlake.plans.refresh import VIEWS, StoredViews, refresh_views
 from fundlake.sources import html, tables
 from fundlake.sources.tables import Tables, stored_tables
 
@@ -52,9 +52,13 @@ def benchmark_curve(sheet: DataFrame, t: Tables) -> DataFrame:
 def fund_prices_by_isin(pages: DataFrame, t: Tables) -> DataFrame:
     """Pages (fund_id, fund_name, html), the first row of the table being titles -> new rows for
     ``fund_price``; dates stored for the fund are dropped before staging."""
+    return loads.load_fund_price_dedup(loads.exclude_known_dates(fetched_fund_prices(pages), t.fund_price), t.fund_price)
+
+
+def fetched_fund_prices(pages: DataFrame) -> DataFrame:
+    """Pages (fund_id, fund_name, html) -> cleansed rows: date, fund_id, fund_name, price."""
     rows = html.extract_html_table(pages, FUND_TABLE, ["fund_id", "fund_name"], FUND_CELLS)
-    fetched = cleaning.clean_fund_price_rows(rows.filter(F.col("row_no") > 1))
-    return loads.load_fund_price_dedup(loads.exclude_known_dates(fetched, t.fund_price), t.fund_price)
+    return cleaning.clean_fund_price_rows(rows.filter(F.col("row_no") > 1))
 
 
 def fund_prices_by_history(pages: DataFrame, t: Tables) -> DataFrame:
@@ -71,15 +75,17 @@ def store_rows(rows: DataFrame, t: Tables, name: str, directory: str,
 
 
 def store_valuation_dates(spark: SparkSession, directory: str) -> None:
-    """Replace the stored ``portfolio`` by one with current valuation dates, by way of a scratch copy."""
-    copy = tables.scratch(spark, "portfolio")
-    loads.update_valuation_date(stored_tables(spark, directory)).write.parquet(copy)
-    tables.stage(spark.read.parquet(copy), "portfolio", directory)
-
-
-def after_fund_prices(spark: SparkSession, directory: str, views_directory: str,
-                      views: Sequence[str] = ("portfolio_returns", "account_returns")) -> None:
-    """What follows new prices: valuation dates, then the stored return views."""
-    store_valuation_dates(spark, directory)
-    for name in views:
-        refresh_view(spark, name, stored_tables(spark, directory), views_directory)
+    """Replace the stored ``portfolio`` by one with current valuation dates."""
+    tables.stage(loads.update_valuation_date(stored_tables(spark, directory)), "portfolio", directory)
+
+
+def after_new_rows(spark: SparkSession, directory: str, views_directory: str, new: Mapping[str, DataFrame] | None = None,
+                   names: Sequence[str] = VIEWS) -> StoredViews:
+    """What follows new prices, purchases, rates or curve points: the stored views, then valuation dates from their state.
+
+    ``new`` has the stored rows that came in, by table; without it everything is computed anew.
+    """
+    stored = refresh_views(spark, views_directory, stored_tables(spark, directory), new, names)
+    if "portfolio_returns" in names:
+        tables.stage(stored.valuation_dates(stored_tables(spark, directory)), "portfolio", directory)
+    return stored

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -81,8 +82,41 @@ def yield_curve_current(yield_curve: DataFrame) -> DataFrame:
     )
 
 
-def daily_returns(lots: DataFrame, prices: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Time-weighted daily return of the holdings of each ``keys`` group.
+class Opening(NamedTuple):
+    """What a series needs to go on from a day: all before it is summed up in one row per holding and key.
+
+    ``since``: keys and the first day to compute; ``holdings``: keys, fund_id, held, held_more before that day;
+    ``values``: keys, value, value_more at the end of the last day before it; ``quotes``: fund_id, price,
+    price_more, the last price of each fund before the prices given.
+    """
+
+    since: DataFrame
+    holdings: DataFrame
+    values: DataFrame
+    quotes: DataFrame
+
+
+def quotes_of(prices: DataFrame) -> DataFrame:
+    """Prices as millionths and what they have beyond: fund_id, date, price, price_more."""
+    return prices.select(
+        "fund_id", F.col("value_date").alias("date"), exact.millionths(F.col("price")).alias("price"),
+        exact.beyond(F.col("price")).alias("price_more"),
+    )
+
+
+def bought_shares(lots: DataFrame, quotes: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Shares bought per key, fund and day, on days with a price: bought, bought_more."""
+    return (
+        lots.groupBy(*keys, "fund_id", F.col("value_date").alias("date"))
+        .agg(F.sum(exact.millionths(F.col("share_amount"))).alias("bought"),
+             F.sum(exact.beyond(F.col("share_amount"))).alias("bought_more"))
+        .join(quotes.select("fund_id", "date"), ["fund_id", "date"], "left_semi")
+    )
+
+
+def daily_values(lots: DataFrame, prices: DataFrame, keys: Sequence[str], opening: Opening | None = None) -> DataFrame:
+    """Market value of the holdings of each ``keys`` group per price day: value (exact), value_more, market_value,
+    cash_flow, return.
 
     ``return`` is (market value - purchases of the day) / market value of the day before - 1, where market
     value is shares held times last known price, summed over funds. The first day has no return.
@@ -94,24 +128,29 @@ def daily_returns(lots: DataFrame, prices: DataFrame, keys: Sequence[str]) -> Da
 
     Products of millionths are summed exactly; what prices and shares have beyond them goes along in double
     (the columns ending in ``_more``, zero for up to six decimals).
+
+    With an ``opening`` the rows are those from each key's first day on, equal to those of a whole computation;
+    lots and prices before it need not be given, but for the price before a fund's first given one.
     """
     keys = list(keys)
-    quotes = prices.select(
-        "fund_id", F.col("value_date").alias("date"), exact.millionths(F.col("price")).alias("price"),
-        exact.beyond(F.col("price")).alias("price_more"),
-    )
-    bought = (
-        lots.groupBy(*keys, "fund_id", F.col("value_date").alias("date"))
-        .agg(F.sum(exact.millionths(F.col("share_amount"))).alias("bought"),
-             F.sum(exact.beyond(F.col("share_amount"))).alias("bought_more"))
-        .join(quotes.select("fund_id", "date"), ["fund_id", "date"], "left_semi")
-    )
+    quotes = quotes_of(prices)
+    bought = bought_shares(lots, quotes, keys)
+    if opening is not None:
+        # holdings enter as a purchase before the first day that moves no cash
+        entered_before = opening.holdings.join(opening.since, keys).select(
+            *keys, "fund_id", F.date_sub("since", 1).alias("date"), F.col("held").alias("bought"),
+            F.col("held_more").alias("bought_more"), "since")
+        bought = (bought.join(opening.since, keys, "left").filter(F.col("since").isNull() | (F.col("date") >= F.col("since")))
+                  .withColumn("since", F.lit(None).cast("date")).unionByName(entered_before))
+    else:
+        bought = bought.withColumn("since", F.lit(None).cast("date"))
     by_holding = Window.partitionBy(*keys, "fund_id").orderBy("date")
     last_day = prices.agg(F.max("value_date").alias("last")).scalar()
     holdings = bought.select(
         *keys,
         "fund_id",
-        F.col("date").alias("start"),
+        F.coalesce("since", "date").alias("start"),
+        F.col("since").isNotNull().alias("opened"),
         F.coalesce(F.lead("date").over(by_holding), F.date_add(last_day, 1)).alias("until"),
         "bought",
         "bought_more",
@@ -119,15 +158,15 @@ def daily_returns(lots: DataFrame, prices: DataFrame, keys: Sequence[str]) -> Da
           for b, h in (("bought", "held"), ("bought_more", "held_more"))],
     )
     by_fund = Window.partitionBy("fund_id").orderBy("date")
+    if opening is not None:
+        quotes = quotes.unionByName(opening.quotes.withColumn("date", F.lit(None).cast("date")))  # sorted first
     moves = quotes.withColumns({
         "before": F.coalesce(F.lag("price").over(by_fund), F.lit(0)),
         "before_more": F.coalesce(F.lag("price_more").over(by_fund), F.lit(0.0)),
-    })
-    moved = join_dates_in_interval(
-        holdings, moves, ["fund_id"], "start", "until", "date"
-    )
+    }).filter(F.col("date").isNotNull())
+    moved = join_dates_in_interval(holdings, moves, ["fund_id"], "start", "until", "date")
     # On its day a purchase brings in the value of its shares at the price before that day's move.
-    first_day = F.col("date") == F.col("start")
+    first_day = (F.col("date") == F.col("start")) & ~F.col("opened")
     parts = {
         "change": exact.product_parts(F.col("held"), F.col("price") - F.col("before")),
         "entered": exact.product_parts(F.col("bought"), F.col("before")),
@@ -152,18 +191,28 @@ def daily_returns(lots: DataFrame, prices: DataFrame, keys: Sequence[str]) -> Da
         exact.product_total(*[F.sum(f"{name}{i}") for i in range(3)]).alias(name)
         for name in ("change", "flow")
     ], F.sum("change_more").alias("change_more"), F.coalesce(F.sum("flow_more"), F.lit(0.0)).alias("flow_more"))
+    if opening is not None:
+        daily = daily.unionByName(opening.values.select(
+            *keys, F.lit(None).cast("date").alias("date"), F.col("value_more").alias("change_more"),
+            F.col("value").alias("change"), F.lit(0).cast(exact.PRODUCT).alias("flow"), F.lit(0.0).alias("flow_more")))
     by_day = Window.partitionBy(*keys).orderBy("date")
     until_day = by_day.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     valued = daily.select(
         *keys,
         "date",
-        (F.sum("change").over(until_day).cast("double") + F.sum("change_more").over(until_day)).alias("market_value"),
+        F.sum("change").over(until_day).cast(exact.PRODUCT).alias("value"),
+        F.sum("change_more").over(until_day).alias("value_more"),
         (F.coalesce(F.col("flow"), F.lit(0)).cast("double") + F.col("flow_more")).alias("cash_flow"),
-    )
+    ).withColumn("market_value", F.col("value").cast("double") + F.col("value_more"))
     before = F.lag("market_value").over(by_day)
     return valued.withColumn(
         "return", F.try_divide(F.col("market_value") - F.col("cash_flow"), before) - 1
-    )
+    ).filter(F.col("date").isNotNull())
+
+
+def daily_returns(lots: DataFrame, prices: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Time-weighted daily return of the holdings of each ``keys`` group: keys, date, market_value, cash_flow, return."""
+    return daily_values(lots, prices, keys).drop("value", "value_more")
 
 
 def portfolio_lots(t: Tables) -> DataFrame:
@@ -175,8 +224,12 @@ def portfolio_lots(t: Tables) -> DataFrame:
 
 def portfolio_returns(t: Tables) -> DataFrame:
     """Daily returns per portfolio: portfolio_id, portfolio, date, market_value, cash_flow, return."""
+    return named_portfolio_returns(t, daily_returns(portfolio_lots(t), t.fund_price, ["portfolio_id"]))
+
+
+def named_portfolio_returns(t: Tables, returns: DataFrame) -> DataFrame:
+    """Series by portfolio_id with the portfolios' names."""
     name = t.portfolio.select(F.col("id").alias("portfolio_id"), F.col("name").alias("portfolio"))
-    returns = daily_returns(portfolio_lots(t), t.fund_price, ["portfolio_id"])
     return returns.join(name, "portfolio_id").select(
         "portfolio_id", "portfolio", "date", "market_value", "cash_flow", "return"
     )
@@ -188,7 +241,11 @@ def account_returns(t: Tables) -> DataFrame:
     An account's series does not depend on the portfolio, so it is computed once and then repeated for
     every portfolio that holds the account.
     """
-    returns = daily_returns(t.fund_investment_transaction, t.fund_price, ["account_id"])
+    return returns_by_member(t, daily_returns(t.fund_investment_transaction, t.fund_price, ["account_id"]))
+
+
+def returns_by_member(t: Tables, returns: DataFrame) -> DataFrame:
+    """Series by account_id, repeated for every portfolio that holds the account."""
     return returns.join(t.portfolio_x_account_rltnp, "account_id").select(
         "portfolio_id", "account_id", "date", "market_value", "cash_flow", "return"
     )

@@ -53,14 +53,64 @@ def read_jdbc(spark: SparkSession, name: str, options: Mapping[str, str],
     return check_schema(df, schema or schemas.MODEL[name], name)
 
 
-def append(df: DataFrame, name: str, directory: str) -> None:
-    """Add the rows of ``df`` to table ``name``; existing rows stay."""
-    df.write.mode("append").parquet(f"{directory}/{name}")
+def _hadoop(spark: SparkSession, path: str):
+    """The file system of the path, and the path as it names it."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder."""
+    system, at = _hadoop(spark, path)
+    return system.exists(at)
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    """The folder and those above it."""
+    system, at = _hadoop(spark, path)
+    system.mkdirs(at)
+
+
+def switch(spark: SparkSession, new: str, path: str) -> None:
+    """Put the folder ``new`` in the place of ``path``; the old folder goes only after that."""
+    system, target = _hadoop(spark, path)
+    _, fresh = _hadoop(spark, new)
+    _, old = _hadoop(spark, f"{path}-{uuid.uuid4().hex}-old")
+    had = system.exists(target)
+    if had and not system.rename(target, old):
+        raise OSError(f"{path} cannot be moved")
+    if not system.rename(fresh, target):
+        if had:
+            system.rename(old, target)
+        raise OSError(f"{new} cannot be moved to {path}")
+    if had:
+        system.delete(old, True)
+
+
+def checked(df: DataFrame, name: str, schema: T.StructType | None = None) -> DataFrame:
+    """``df`` as table ``name`` declares it: raises before anything is written when a column is missing, of
+    another type, or not declared. A table that is not declared is taken as it is."""
+    expected = schema or schemas.MODEL.get(name)
+    if expected is None:
+        return df
+    unknown = sorted(set(df.columns) - set(expected.fieldNames()))
+    if unknown:
+        raise SchemaMismatch(f"table {name}: {', '.join(unknown)}: not declared")
+    return check_schema(df, expected, name)
+
+
+def append(df: DataFrame, name: str, directory: str, schema: T.StructType | None = None) -> None:
+    """Add the rows of ``df`` to table ``name``; existing rows stay. The frame is checked first."""
+    checked(df, name, schema).write.mode("append").parquet(f"{directory}/{name}")
 
 
-def stage(df: DataFrame, name: str, directory: str) -> None:
-    """Clear staging table ``name`` and fill it with ``df``."""
-    df.write.mode("overwrite").parquet(f"{directory}/{name}")
+def stage(df: DataFrame, name: str, directory: str, schema: T.StructType | None = None) -> None:
+    """Replace table ``name`` by ``df``: checked, written beside it, then switched. ``df`` may read the table itself."""
+    path = f"{directory}/{name}"
+    new = f"{path}-{uuid.uuid4().hex}-new"
+    checked(df, name, schema).write.parquet(new)
+    switch(df.sparkSession, new, path)
 
 
 def scratch(spark: SparkSession, label: str) -> str:
