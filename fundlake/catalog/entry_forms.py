@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fundlake import fixtures
+from fundlake import fixtures, schemas
 from fundlake.catalog import Entry, on_tables
 from fundlake.operators import records
-from fundlake.operators.records import Entered
 from fundlake.plans import review, views
-from fundlake.sources.tables import Tables
+from fundlake.sources.tables import Tables, append, read, scratch
 
 # Entered records in the common SQL, some of them wrong.
 RECORDS = {
@@ -55,16 +54,43 @@ RECORDS = {
 }
 
 
-def _decided(entered: Entered) -> DataFrame:
-    """Accepted and rejected rows in one table of text, with the reason of a rejection."""
-    accepted = entered.accepted.select(
-        *[F.col(c).cast("string") for c in entered.accepted.columns], F.lit(None).cast("string").alias("reason")
-    )
-    return accepted.unionByName(entered.rejected)
+#: The stored table of each form.
+TABLES = {"new_account": "account", "new_deposit": "deposit", "new_fund": "fund", "new_rate": "rate", "new_currency": "currency",
+          "new_investment": "fund_investment_transaction"}
+
+
+def _text(name: str, kind: str) -> Column:
+    """A stored value as text."""
+    return (F.col(name).cast("decimal(28,6)") if kind == "double" else F.col(name)).cast("string").alias(name)
+
+
+def _sql_text(name: str, kind: str) -> str:
+    typed = name if kind == "string" else f"try_cast({name} as {kind})"
+    return f"cast({f'cast({typed} as decimal(28,6))' if kind == 'double' else typed} as varchar)"
+
+
+def _entry(form: str, add, sql: str) -> Entry:
+    """Records entered into a stored copy of their table: the whole table read back, and the rejected rows as entered."""
+    table = TABLES[form]
+    target = schemas.MODEL[table]
+    kinds = {f.name: f.dataType.simpleString() for f in target.fields if f.name not in ("id", "last_modification")}
 
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t, folder = fixtures.tables(spark, sf_dir), scratch(spark, "entry")
+        append(t[table].select(*target.fieldNames()), table, folder)
+        last = read(spark, table, folder).agg(F.max("id")).first()[0]
+        entered = add(fixtures.derive(t, RECORDS[form]), t)
+        records.append_records(entered, table, folder, fixtures.LOADED_AT)
+        state = F.when(F.col("id") <= F.lit(last), "stored").otherwise("accepted").alias("state")
+        back = read(spark, table, folder).select(*[_text(c, k) for c, k in kinds.items()], state, F.lit(None).cast("string").alias("reason"))
+        return back.unionByName(entered.rejected.withColumn("state", F.lit("rejected")))
 
-def _entry(name: str, add, sql: str) -> Entry:
-    return Entry(on_tables(lambda t: _decided(add(fixtures.derive(t, RECORDS[name]), t))), sql)
+    shown = ", ".join(f"case when reason is null then {_sql_text(c, k)} else {c} end {c}" for c, k in kinds.items())
+    plain = ", ".join(f"{_sql_text(c, k)} {c}" for c, k in kinds.items())
+    return Entry(run, f"""select {shown}, case when reason is null then 'accepted' else 'rejected' end state, reason
+        from ({sql}) entered
+        union all
+        select {plain}, 'stored', null from {{{table}}}""")
 
 
 def _unknown(table: str, key: str, kind: str) -> str:

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fundlake import schemas
 from fundlake.sources import tables
 from fundlake.sources.tables import Tables
 
@@ -74,27 +75,28 @@ def _one_of(name: str, *choices: str) -> Field:
 
 
 def enter(records: DataFrame, fields: Sequence[Field], references: Sequence[Reference] = ()) -> Entered:
-    """Split ``records`` (text columns); the first failing check gives the reason."""
+    """Split ``records`` (text columns); the first failing check gives the reason.
+
+    Each reference is one left join with the keys of the other table, and the decided rows are kept in scratch, so that neither
+    accepted nor rejected rows compute them again.
+    """
     entered = F.struct(*[F.col(f.name) for f in fields])
     failures = [F.when(~f.valid, F.lit(f.reason)) for f in fields]
-    typed = records.select(
+    decided = records.select(
         entered.alias("_entered"), F.coalesce(*failures).alias("reason"),
         *[f.value.alias(f.name) for f in fields],
     )
     for field, keys in references:
-        unknown = (
-            typed.select(field).distinct()
-            .join(keys.toDF("_key"), F.col(field) == F.col("_key"), "left_anti")
-            .withColumn("_unknown", F.lit(f"{field} is unknown"))
-        )
-        typed = (
-            typed.join(unknown, field, "left")
-            .withColumn("reason", F.coalesce("reason", "_unknown"))
-            .drop("_unknown")
+        known = keys.toDF("_key").distinct().withColumn("_known", F.lit(True))
+        unknown = F.col(field).isNotNull() & F.col("_known").isNull()
+        decided = (
+            decided.join(known, F.col(field) == F.col("_key"), "left")
+            .withColumn("reason", F.coalesce("reason", F.when(unknown, F.lit(f"{field} is unknown"))))
+            .drop("_key", "_known")
         )
-    names = [f.name for f in fields]
-    accepted = typed.filter(F.col("reason").isNull()).select(*names)
-    rejected = typed.filter(F.col("reason").isNotNull()).select("_entered.*", "reason")
+    decided = tables.stored(decided, "entered")
+    accepted = decided.filter(F.col("reason").isNull()).select(*[f.name for f in fields])
+    rejected = decided.filter(F.col("reason").isNotNull()).select("_entered.*", "reason")
     return Entered(accepted, rejected)
 
 
@@ -144,33 +146,66 @@ def add_investment(records: DataFrame, t: Tables) -> Entered:
     )
 
 
-def with_ids(rows: DataFrame, target: DataFrame) -> DataFrame:
-    """New ids above the largest of ``target``, distinct and of the type of the target's ids.
+def numbered(rows: DataFrame, first: int) -> DataFrame:
+    """The rows with ids ``first``, ``first`` + 1 and so on, without a gap.
 
-    Long ids are numbered per task and not consecutive. Tables with int ids (currencies, rates, portfolios) get a few
-    rows by hand; these are numbered one after another, so that they fit.
+    Each task numbers its own rows and writes them with its number; the counts of the tasks, one row each, give
+    the offsets. No row is moved or sorted.
     """
-    last = F.coalesce(target.agg(F.max("id").alias("id")).scalar(), F.lit(0))
-    if isinstance(target.schema["id"].dataType, T.IntegerType):
-        number = F.row_number().over(Window.orderBy(*rows.columns))
-        return rows.withColumn("id", (last + number).cast("int"))
-    return rows.withColumn("id", last + 1 + F.monotonically_increasing_id())
-
-
-def as_stored(rows: DataFrame, target: DataFrame, loaded_at: str | None = None) -> DataFrame:
-    """``rows`` with the columns and types of ``target``: new ids, the given or the current time as
-    ``last_modification``, NULL for other columns they lack."""
-    full = with_ids(rows, target) if "id" in target.columns else rows
-    if "last_modification" in target.columns:
+    place = F.monotonically_increasing_id()  # the task's number above 33 bits that count its rows
+    kept = tables.stored(rows.select("*", F.shiftright(place, 33).alias("_task"), place.bitwiseAND((1 << 33) - 1).alias("_row")), "numbered")
+    counts = kept.groupBy("_task").agg(F.count("*").alias("n")).orderBy("_task").collect()
+    offsets, total = [], first
+    for task in counts:
+        offsets.append((task["_task"], total))
+        total += task["n"]
+    starts = rows.sparkSession.createDataFrame(offsets, "_task bigint, _first bigint")
+    return kept.join(F.broadcast(starts), "_task").withColumn("id", F.col("_first") + F.col("_row")).drop("_task", "_row", "_first")
+
+
+def reserve_ids(spark: SparkSession, name: str, directory: str, n: int) -> int:
+    """The first of ``n`` new ids of a stored table.
+
+    The table ``name_ids`` holds the last id given out, one row per reservation. Only when it is missing the largest id of
+    the table is looked up. The reservation is written before the rows: a failure leaves a gap, never an id twice.
+    """
+    path = f"{directory}/{name}_ids"
+    if tables.exists(spark, path):
+        last = spark.read.schema("last bigint").parquet(path).agg(F.max("last")).first()[0]
+    elif tables.exists(spark, f"{directory}/{name}"):
+        last = spark.read.parquet(f"{directory}/{name}").agg(F.max("id")).first()[0]
+    else:
+        last = None
+    last = int(last or 0)
+    spark.createDataFrame([(last + n,)], "last bigint").coalesce(1).write.mode("append").parquet(path)
+    return last + 1
+
+
+def as_stored(rows: DataFrame, target: T.StructType, loaded_at: str | None = None) -> DataFrame:
+    """``rows`` with the columns and types of ``target``: the given or the current time as ``last_modification``, NULL
+    for other columns they lack."""
+    if "last_modification" in target.fieldNames():
         stamp = F.lit(loaded_at).cast("timestamp") if loaded_at else F.current_timestamp()
-        full = full.withColumn("last_modification", stamp)
-    return full.select(*[
-        (F.col(f.name) if f.name in full.columns else F.lit(None)).cast(f.dataType).alias(f.name)
-        for f in target.schema.fields
+        rows = rows.withColumn("last_modification", stamp)
+    return rows.select(*[
+        (F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+        for f in target.fields
     ])
 
 
-def append_records(entered: Entered, target: DataFrame, name: str, directory: str,
-                   loaded_at: str | None = None) -> None:
-    """Append the accepted rows to the stored table; views are refreshed by the caller."""
-    tables.append(as_stored(entered.accepted, target, loaded_at), name, directory)
+def store(rows: DataFrame, name: str, directory: str, loaded_at: str | None = None, target: T.StructType | None = None) -> DataFrame:
+    """Append ``rows`` to a stored table with new ids and a time stamp, and return what was appended."""
+    target = target or schemas.MODEL[name]
+    if "id" in target.fieldNames():
+        kept = tables.stored(rows, name)
+        rows = numbered(kept, reserve_ids(rows.sparkSession, name, directory, kept.count()))
+    full = tables.stored(as_stored(rows, target, loaded_at), name)
+    tables.append(full, name, directory, target)
+    return full
+
+
+def append_records(entered: Entered, name: str, directory: str, loaded_at: str | None = None,
+                   target: T.StructType | None = None) -> DataFrame:
+    """Append the accepted rows to the stored table and return them as stored; views are refreshed with these
+    rows by the caller."""
+    return store(entered.accepted, name, directory, loaded_at, target)

@@ -11,8 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fundlake.functions import cleaning
-from fundlake.operators import loads
-from fundlake.operators.records import as_stored
+from fundlake.operators import loads, records
 from fundlake.plans.refresh import VIEWS, StoredViews, refresh_views
 from fundlake.sources import html, tables
 from fundlake.sources.tables import Tables, stored_tables
@@ -67,11 +66,10 @@ def fund_prices_by_history(pages: DataFrame, t: Tables) -> DataFrame:
     return loads.load_fund_price_dedup(cleaning.clean_cs_price_rows(rows), t.fund_price)
 
 
-def store_rows(rows: DataFrame, t: Tables, name: str, directory: str,
-               loaded_at: str | None = None) -> None:
-    """Append ``rows`` to a stored table of the data model; columns they lack are filled: ``id`` with new
-    numbers, ``last_modification`` with the given or the current time, others with NULL."""
-    tables.append(as_stored(rows, t[name], loaded_at), name, directory)
+def store_rows(rows: DataFrame, name: str, directory: str, loaded_at: str | None = None) -> DataFrame:
+    """Append ``rows`` to a stored table of the data model and return them as stored; columns they lack are filled: ``id``
+    with new numbers, ``last_modification`` with the given or the current time, others with NULL."""
+    return records.store(rows, name, directory, loaded_at)
 
 
 def store_valuation_dates(spark: SparkSession, directory: str) -> None:
