@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from fundlake.catalog import Entry, on_tables, rounded
 from fundlake.catalog.oracle import label
 from fundlake.operators.loads import update_valuation_date, with_valuation_dates
 from fundlake.plans import series, statements, views
-from fundlake.sources.tables import Tables
+from fundlake.sources.tables import Tables, scratch
 
 
 _STATEMENT = ", ".join(
@@ -27,17 +29,23 @@ def _series_keys(t: Tables) -> DataFrame:
     """The slices of all split series: currency of the performance series, portfolio of the
     distribution, fund of the price development."""
     parts = [
-        ("currency", series.slice_keys(
-            series.portfolio_performance_ts(with_valuation_dates(t), ordered=False), "currency")),
-        ("portfolio", series.slice_keys(
-            statements.portfolio_distribution(t, ordered=False), "portfolio_id")),
-        ("fund", series.slice_keys(series.fund_price_development(t), "id")),
+        ("currency", series.performance_currencies(with_valuation_dates(t))),
+        ("portfolio", series.slice_keys(statements.portfolio_distribution(t, ordered=False), "portfolio_id")),
+        ("fund", series.developed_funds(t)),
     ]
     frames = [df.select(F.lit(kind).alias("kind"), F.col(df.columns[0]).cast("string").alias("slice"))
               for kind, df in parts]
     return frames[0].unionByName(frames[1]).unionByName(frames[2])
 
 
+def _slices(t: Tables) -> DataFrame:
+    """The performance series written once by currency; the rows of every slice read back by itself."""
+    dated = with_valuation_dates(t)
+    performance, path = series.portfolio_performance_ts(dated, ordered=False), scratch(t.portfolio.sparkSession, "slices")
+    series.write_slices(performance, "currency", path)
+    keys = sorted(r[0] for r in series.performance_currencies(dated).collect())  # currencies, a list people choose from
+    slices = [series.slice_of(series.read_slices(performance, path), "currency", key) for key in keys]
+    return functools.reduce(DataFrame.unionByName, slices, performance.limit(0))
 
 def _converted(x: str) -> str:
     """A lot's amount in whole home units."""
@@ -185,6 +193,7 @@ ENTRIES: dict[str, Entry] = {
              join {{account}} a on a.id=x.account_id join {{currency}} c on c.id=a.currency_id
         group by m.reporting_period, a.id, a.account_name, c.iso_code""",
     ),
+    "series_slices": Entry(on_tables(_slices), "select * from {performance}"),
     "series_split_by_currency": Entry(
         on_tables(_series_keys),
         """select distinct 'currency' kind, currency slice from {performance}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fundlake import fixtures, schemas
 from fundlake.catalog import Entry, on_tables
 from fundlake.operators import records
+from fundlake.operators.paging import rows_in_order
 from fundlake.plans import review, views
 from fundlake.sources.tables import Tables, append, read, scratch
 
@@ -103,7 +104,13 @@ _STAMP = "strftime(last_modification,'%Y-%m-%d %H:%M:%S') \"LastModification\""
 
 def _page(t: Tables) -> DataFrame:
     prices = review.review_fund_prices(t.fund_price)
-    return review.table_page(prices, [F.desc("FundPrice"), "PriceID"], page=2, search="-07")
+    return review.table_page(prices, ["-FundPrice", "PriceID"], page=2, search="-07")
+
+
+def _deep_page(t: Tables) -> DataFrame:
+    """Rows 3001 to 3010 of all purchases, of which one range is sorted."""
+    lots = t.fund_investment_transaction.select("id", "value_date", "share_amount", "account_id", "fund_id")
+    return rows_in_order(lots, ["-value_date", "share_amount", "id"], 3000, 10, sort_rows=500)
 
 
 def _formats(t: Tables) -> DataFrame:
@@ -178,6 +185,11 @@ ENTRIES: dict[str, Entry] = {
               or strftime(last_modification,'%Y-%m-%d %H:%M:%S') like '%-07%'
         order by price desc, id limit 10 offset 10""",
     ),
+    "table_page_deep": Entry(
+        on_tables(_deep_page),
+        """select id, value_date, share_amount, account_id, fund_id from {fund_investment_transaction}
+        order by value_date desc, share_amount, id limit 10 offset 3000""",
+    ),
     "format_percent_and_thousands": Entry(
         on_tables(_formats),
         """select account_id, fund_id, value_date, share_amount,

@@ -210,6 +210,31 @@ def _known_batch(t: Tables) -> tuple[DataFrame, DataFrame]:
     return batch, _old_prices(t).select("fund_id", dated.alias("value_date"))
 
 
+def _rate_pages(t: Tables, names: DataFrame, key: str, suffix: str) -> DataFrame:
+    """Pages of rate rows (long date, value) for each name, one per year."""
+    rows = t.rate_value.join(names, "rate_id").select(
+        key, "value_date",
+        _spoilt("value_date", BAD_DAY, F.date_format("value_date", "d MMMM yyyy"), "n/a").alias("date"),
+        _spoilt("value_date", OTHER_BAD_DAY, F.concat(F.col("value").cast("string"), F.lit(suffix)), "-").alias("value"))
+    return _pages(rows, [key], ["date", "value"], "<table>", "</table>").drop("year")
+
+
+def _fx_pages(t: Tables) -> DataFrame:
+    currency = t.currency.select(F.col("id").alias("from_currency_id"), "iso_code")
+    names = t.rate_fx.select(F.col("id").alias("rate_id"), "from_currency_id").join(currency, "from_currency_id")
+    return _rate_pages(t, names, "iso_code", "")
+
+
+def _interest_pages(t: Tables) -> DataFrame:
+    names = t.rate.filter(F.col("rate_type") == "interest").select(F.col("id").alias("rate_id"), "rate_name")
+    return _rate_pages(t, names, "rate_name", "%")
+
+
+def _curve_before(t: Tables, curve: str) -> Tables:
+    """The stored curve up to the cut, as points of the given curve."""
+    return t.replace(yield_curve=_old_curve(t).withColumn("type", F.lit(curve)))
+
+
 def _refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stored views, refreshed whole and once more without anything new; their rows, counted."""
     t, folder = fixtures.tables(spark, sf_dir), tables.scratch(spark, "views")
@@ -471,6 +496,37 @@ ENTRIES: dict[str, Entry] = {
         from {{fund_price}} p left join {_ANTI_PRICE} o on p.fund_id=o.fund_id and p.value_date=o.value_date
         where o.fund_id is null""",
     ),
+    "fx_import": Entry(
+        on_tables(lambda t: jobs.fx_rates(_fx_pages(t), t)),
+        f"""select v.rate_id, {_good('v.value_date', BAD_DAY, 'v.value_date')} value_date,
+               {_good('v.value_date', OTHER_BAD_DAY, 'v.value')} value
+        from {{rate_value}} v where v.rate_id in (select id from {{rate_fx}})""",
+    ),
+    "interest_import": Entry(
+        on_tables(lambda t: jobs.interest_rates(_interest_pages(t), t)),
+        f"""select v.rate_id, {_good('v.value_date', BAD_DAY, 'v.value_date')} value_date,
+               {_good('v.value_date', OTHER_BAD_DAY, 'v.value')} value
+        from {{rate_value}} v where v.rate_id in (select id from {{rate}} where rate_type='interest')""",
+    ),
+    "index_import": Entry(
+        on_tables(lambda t: jobs.index_values(_index_sheet(t), t.replace(rate_value=_old_rates(t)))),
+        f"""select rate_id, value_date, value from {{rate_value}}
+        where day(value_date)<>{BAD_DAY} and value_date >= date '{fixtures.RATE_VALUE_CUT}'""",
+    ),
+    "zero_coupon_import": Entry(
+        on_tables(lambda t: jobs.zero_coupon_curve(_curve_sheet(t), _curve_before(t, cleaning.ZERO_COUPON))),
+        f"""select currency_id, tenor, 'HUF Zero Coupon' "type", value_date, yield from {{yield_curve}}
+        where day(value_date)<>{BAD_DAY} and value_date >= date '{fixtures.RATE_VALUE_CUT}'""",
+    ),
+    "benchmark_import": Entry(
+        on_tables(lambda t: jobs.benchmark_curve(_benchmark_sheet(t), _curve_before(t, cleaning.BENCHMARK))),
+        f"""select currency_id, nullif(tenor,3650) tenor, 'HUF Benchmark Rates' "type", value_date, yield
+        from {{yield_curve}} where tenor=3650 or value_date >= date '{fixtures.RATE_VALUE_CUT}'""",
+    ),
+    "fund_history_import": Entry(
+        on_tables(lambda t: jobs.fund_prices_by_history(_titled_pages(t).drop("year"), t.replace(fund_price=_old_prices(t)))),
+        f"select fund_id, value_date, price from {{fund_price}} where value_date >= date '{fixtures.FUND_PRICE_CUT}'",
+    ),
     "stream_pages": Entry(_stream_pages, f"select p.fund_id, p.value_date, {_FUND_ROW} from {{fund_price}} p"),
     "stream_ingest": Entry(_stream, "select fund_id, value_date, price from {fund_price}"),
 }

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fundlake.functions import money
+from fundlake.operators.paging import rows_in_order
 from fundlake.sources.tables import Tables
 
 PROMPT = "please select.."
@@ -108,17 +109,18 @@ def review_investments(transaction: DataFrame) -> DataFrame:
     )
 
 
-def table_page(df: DataFrame, order_by: Sequence[str | Column], page: int = 1, search: str = "",
+def table_page(df: DataFrame, order_by: Sequence[str], page: int = 1, search: str = "",
                rows: int = PAGE_ROWS) -> DataFrame:
     """One page of a table: rows with ``search`` in any column, ignoring case, in the given order.
 
-    End ``order_by`` with a unique column, or pages may overlap.
+    A name in ``order_by`` with a leading minus sign is descending. End it with a unique column, or pages may
+    overlap. However deep the page, only the range of rows that holds it is sorted.
     """
     if search:
         wanted = search.lower()
         hits = [F.contains(F.lower(F.col(c).cast("string")), F.lit(wanted)) for c in df.columns]
         df = df.filter(F.coalesce(F.greatest(*[F.coalesce(h, F.lit(False)) for h in hits]), F.lit(False)))
-    return df.orderBy(*order_by).offset((page - 1) * rows).limit(rows)
+    return rows_in_order(df, order_by, (page - 1) * rows, rows)
 
 
 def format_percent_and_thousands(df: DataFrame, percents: Sequence[str] = (),

@@ -199,11 +199,39 @@ def slice_keys(df: DataFrame, column: str) -> DataFrame:
     return df.select(column).distinct()
 
 
+def performance_currencies(t: Tables) -> DataFrame:
+    """The currencies of the performance series, found before prices multiply the lots: those of which some fund
+    has a price between its first purchase and the valuation date of a portfolio."""
+    portfolio = t.portfolio.select(F.col("id").alias("portfolio_id"), F.col("last_valuation_date").alias("last"))
+    members = t.portfolio_x_account_rltnp.join(portfolio.filter(F.col("last").isNotNull()), "portfolio_id").join(
+        views.account_currency(t).select("account_id", "currency"), "account_id")
+    fund = t.fund.select(F.col("id").alias("fund_id"))
+    held = (t.fund_investment_transaction.join(members, "account_id").join(fund, "fund_id", "left_semi")
+            .groupBy("fund_id", "currency", "last").agg(F.min("value_date").alias("first")))
+    quote = t.fund_price.select(F.col("fund_id").alias("_fund"), F.col("value_date").alias("_date"))
+    priced = (F.col("fund_id") == F.col("_fund")) & (F.col("_date") >= F.col("first")) & (F.col("_date") <= F.col("last"))
+    return held.join(quote, priced, "left_semi").select("currency").distinct()
+
+
+def developed_funds(t: Tables) -> DataFrame:
+    """The funds of the price development: those with a price on or after their first purchase."""
+    first = t.fund_investment_transaction.groupBy("fund_id").agg(F.min("value_date").alias("first"))
+    last = t.fund_price.groupBy(F.col("fund_id").alias("_fund")).agg(F.max("value_date").alias("last"))
+    fund = t.fund.select(F.col("id").alias("fund_id"))
+    found = first.join(last, (F.col("fund_id") == F.col("_fund")) & (F.col("last") >= F.col("first")))
+    return found.join(fund, "fund_id", "left_semi").select(F.col("fund_id").alias("id"))
+
+
 def slice_of(df: DataFrame, column: str, value: object) -> DataFrame:
-    """One slice of a series."""
+    """One slice of a series; of a stored one only that folder is read."""
     return df.filter(F.col(column) == value)
 
 
 def write_slices(df: DataFrame, column: str, path: str) -> None:
-    """All slices at once, one folder per value."""
-    df.write.mode("overwrite").partitionBy(column).parquet(path)
+    """All slices in one write, one folder per value; each value's rows are dealt to as few tasks as they need."""
+    df.hint("rebalance", column).write.mode("overwrite").partitionBy(column).parquet(path)
+
+
+def read_slices(df: DataFrame, path: str) -> DataFrame:
+    """The stored slices of a series with the columns of ``df``."""
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)

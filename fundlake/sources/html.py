@@ -1,7 +1,8 @@
 """Rows of an HTML table as DataFrame rows.
 
-Patterns work on the text of one page at a time, inside the JVM; pages are spread over the tasks.
-Tables inside tables and rows without an end tag are not supported.
+Patterns work on the text of one page at a time, inside the JVM; pages are spread over the tasks. Tables are counted by
+their start tags, those inside others too; the rows of a table are its own, without those of tables in its cells. Rows
+without an end tag are not supported.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ _TABLE = r"(?is)<table\b[^>]*>(.*?)</table\s*>"
 _ROW = r"(?is)<tr\b[^>]*>(.*?)</tr\s*>"
 _CELL = r"(?is)<t[dh]\b[^>]*>(.*?)</t[dh]\s*>"
 _TAG = r"(?s)<[^>]*>"
+_START = r"(?i)<table\b"
 
 # Character references and their text; the ampersand comes last.
 _REFERENCES = (("&nbsp;", " "), ("&#160;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'),
@@ -35,6 +37,30 @@ def cell_text(cell: Column) -> Column:
     return F.btrim(F.when(F.contains(text, F.lit("&")), replaced).otherwise(text), F.lit(_BLANKS))
 
 
+def table_text(html: Column, table_no: int) -> Column:
+    """What the ``table_no``-th table of a page holds, without the tables inside it; NULL if there is none.
+
+    Without nested tables this is a match of the pattern. Else the page is cut at its table tags, and one pass over the
+    pieces keeps the number of tables begun, the depth, and the depth of the wanted table while it is open.
+    """
+    flat = _all(html, _TABLE)
+    nested = F.exists(flat, lambda inner: F.rlike(inner, F.lit(_START)))
+    nothing = F.struct(F.lit(0).alias("begun"), F.lit(0).alias("depth"), F.lit(-1).alias("wanted"), F.lit("").alias("text"))
+
+    def step(state: Column, piece: Column) -> Column:
+        opens, closes = F.rlike(piece, F.lit(r"(?i)^<table\b")), F.rlike(piece, F.lit(r"(?i)^</table\b"))
+        begun = state["begun"] + opens.cast("int")
+        depth = F.when(opens, state["depth"] + 1).when(closes, F.greatest(state["depth"] - 1, F.lit(0))).otherwise(state["depth"])
+        wanted = (F.when(opens & (begun == table_no), depth)
+                  .when(closes & (state["depth"] == state["wanted"]) & (state["wanted"] > 0), F.lit(-1)).otherwise(state["wanted"]))
+        rest = F.regexp_replace(piece, r"(?is)^</?table\b[^>]*>", "")
+        text = F.when(depth == wanted, F.concat(state["text"], rest)).otherwise(state["text"])
+        return F.struct(begun.alias("begun"), depth.alias("depth"), wanted.alias("wanted"), text.alias("text"))
+
+    end = F.aggregate(F.split(html, r"(?i)(?=</?table\b)"), nothing, step)
+    return F.when(nested, F.when(end["begun"] >= table_no, end["text"])).otherwise(F.get(flat, F.lit(table_no - 1)))
+
+
 def extract_html_table(pages: DataFrame, table_no: int, key_cols: Sequence[str],
                        columns: Sequence[str], html: str = "html") -> DataFrame:
     """Rows of the ``table_no``-th table of each page: keys, row_no (from 1) and the first cells.
@@ -42,7 +68,7 @@ def extract_html_table(pages: DataFrame, table_no: int, key_cols: Sequence[str],
     No row is taken for a header. A cell the row does not have is NULL; pages without that table give no
     rows.
     """
-    table = F.get(_all(F.col(html), _TABLE), F.lit(table_no - 1))
+    table = table_text(F.col(html), table_no)
     rows = pages.select(*key_cols, F.posexplode(_all(table, _ROW)).alias("_pos", "_row"))
     cells = rows.select(*key_cols, (F.col("_pos") + 1).alias("row_no"), _all(F.col("_row"), _CELL).alias("_cells"))
     return cells.select(
@@ -58,7 +84,7 @@ def extract_titled_table(pages: DataFrame, table_no: int, key_cols: Sequence[str
     Rows with fewer than two cells are captions and drop out, and of the others the first one, which
     repeats the titles.
     """
-    table = F.get(_all(F.col(html), _TABLE), F.lit(table_no - 1))
+    table = table_text(F.col(html), table_no)
     found = pages.select(*key_cols, _all(table, _ROW).alias("_rows"))
     titles = F.transform(_all(F.get("_rows", F.lit(header_row - 1)), _CELL), cell_text)
     several = F.filter("_rows", lambda row: F.regexp_count(row, F.lit(_CELL)) >= 2)

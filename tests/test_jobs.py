@@ -30,18 +30,22 @@ def test_fund_prices_end_to_end(spark, stored, tmp_path):
                              ["2021.01.05.", "5.5", "1,000", "0"], before=6)),
         (11, "fund 11", page(["Date", "Price", "NAV", "Div"], ["2021.01.06.", "3", "1,000", "0"], before=6)),
     ], "fund_id bigint, fund_name string, html string")
+    folder = str(tmp_path / "views")
+    jobs.after_new_rows(spark, stored, folder)
     for _ in range(2):  # the second run finds nothing new
-        t = stored_tables(spark, stored)
-        jobs.store_rows(jobs.fund_prices_by_isin(pages, t), t, "fund_price", stored, "2021-01-07 00:00:00")
+        fresh = jobs.store_rows(jobs.fund_prices_by_isin(pages, stored_tables(spark, stored)), "fund_price", stored, "2021-01-07 00:00:00")
+        views = jobs.after_new_rows(spark, stored, folder, {"fund_price": fresh})
     t = stored_tables(spark, stored)
     assert t.fund_price.count() == 7
     assert t.fund_price.filter("last_modification is not null").select("id").distinct().count() == 2
+    assert [c.kind for c in views.commits("portfolio_returns")] == ["whole", "later"]
 
-    jobs.after_fund_prices(spark, stored, str(tmp_path / "views"))
+    dates = {1: day("2021-01-05"), 2: day("2021-01-05"), 3: day("2019-01-01")}
+    assert {r["id"]: r["last_valuation_date"] for r in t.portfolio.collect()} == dates
+    jobs.store_valuation_dates(spark, stored)
+    assert {r["id"]: r["last_valuation_date"] for r in stored_tables(spark, stored).portfolio.collect()} == dates
     t = stored_tables(spark, stored)
-    assert {r["id"]: r["last_valuation_date"] for r in t.portfolio.collect()} == {
-        1: day("2021-01-05"), 2: day("2021-01-05"), 3: day("2019-01-01")}
-    returns = spark.read.parquet(str(tmp_path / "views" / "portfolio_returns"))
+    returns = views.read("portfolio_returns", t)
     assert returns.filter("portfolio_id = 1 and date = '2021-01-06'").first()["market_value"] == 19.5
     assert rows(statements.portfolio_statement(t, returns=returns)) == rows(statements.portfolio_statement(t))
 

@@ -1,13 +1,15 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import day
 from fundlake import schemas
 from fundlake.functions import cleaning
-from fundlake.operators import loads, records
-from fundlake.plans import refresh, review, views
-from fundlake.sources import html, positional, requests, tables
-from fundlake.streaming.ingest import stream_ingest
+from fundlake.operators import loads, paging, records
+from fundlake.plans import jobs, refresh, review, views
+from fundlake.sources import html, monthly, positional, requests, tables
+from fundlake.streaming.ingest import stream_ingest, take_batch
 
 
 def rows(df):
@@ -133,6 +135,31 @@ def test_tables_round_trip(spark, tmp_path):
         tables.read(spark, "p", folder, schemas.MODEL["fund_price"])
 
 
+def test_a_wrong_frame_is_not_written(spark, tmp_path):
+    folder = str(tmp_path)
+    frame = spark.createDataFrame([(1, day("2020-01-01"), 2.0)], schemas.PRICE_ROW)
+    tables.stage(frame, "p", folder, schemas.PRICE_ROW)
+    for wrong in (frame.drop("price"), frame.withColumn("price", F.lit("2")), frame.withColumn("more", F.lit(1))):
+        for put in (tables.append, tables.stage):
+            with pytest.raises(tables.SchemaMismatch):
+                put(wrong, "p", folder, schemas.PRICE_ROW)
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["p"]
+    # a table may be replaced by rows made from itself
+    tables.stage(tables.read(spark, "p", folder, schemas.PRICE_ROW).withColumn("price", F.col("price") + 1), "p", folder, schemas.PRICE_ROW)
+    assert rows(tables.read(spark, "p", folder, schemas.PRICE_ROW).select("price")) == [(3.0,)]
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["p"]
+
+
+def test_a_failed_write_keeps_the_table(spark, tmp_path):
+    folder = str(tmp_path)
+    frame = spark.createDataFrame([(1, day("2020-01-01"), 2.0)], schemas.PRICE_ROW)
+    tables.stage(frame, "p", folder, schemas.PRICE_ROW)
+    failing = frame.withColumn("price", F.raise_error(F.lit("broken")).cast("double"))
+    with pytest.raises(Exception, match="broken"):
+        tables.stage(failing, "p", folder, schemas.PRICE_ROW)
+    assert tables.read(spark, "p", folder, schemas.PRICE_ROW).count() == 1
+
+
 def test_records(spark, small_book, tmp_path):
     entered = records.add_deposit(spark.createDataFrame(
         [("1", "2020-01-01", "5", "2020-02-01", "", "fixed", "", None),
@@ -146,25 +173,38 @@ def test_records(spark, small_book, tmp_path):
         (0.0, None, 0.0), (2.0, 201, 0.5)]
     assert sorted(r["reason"] for r in entered.rejected.collect()) == [
         "account_id is unknown", "reference_rate_id is unknown", "value_date is no date"]
-    target = spark.createDataFrame([(41,)], "id bigint")
-    ids = [r["id"] for r in records.with_ids(entered.accepted, target).collect()]
-    assert len(set(ids)) == 2 and min(ids) > 41
+
+
+def test_ids_are_dense_over_tasks_and_entries(spark, tmp_path):
+    folder = str(tmp_path)
+    schema = schemas.MODEL["rate"]
+    tables.append(spark.createDataFrame([(41, "old", "FX", None)], schema), "rate", folder)
+    for n, parts in ((50, 7), (0, 2), (9, 3)):
+        fresh = spark.range(n).repartition(parts).select(F.concat(F.lit("r"), "id").alias("rate_name"), F.lit("FX").alias("rate_type"))
+        back = records.store(fresh, "rate", folder, "2024-01-01")
+        assert back.count() == n and back.schema["id"].dataType == schema["id"].dataType
+    assert sorted(r["id"] for r in tables.read(spark, "rate", folder).collect()) == list(range(41, 101))
+    # the last id comes from the table of reservations, not from the rows
+    assert records.reserve_ids(spark, "rate", folder, 5) == 101 and records.reserve_ids(spark, "rate", folder, 1) == 106
+    assert records.reserve_ids(spark, "new", folder, 1) == 1
 
 
 def test_new_investment_shows_in_the_overview(spark, small_book, tmp_path):
-    names = ["id", "value_date", "share_amount", "account_id", "fund_id"]
     folder = str(tmp_path)
-    tables.append(small_book.fund_investment_transaction.select(*names), "tx", folder)
-    stored = spark.read.parquet(f"{folder}/tx")
+    name = "fund_investment_transaction"
+    tables.append(small_book[name], name, folder)
+    views_ = refresh.refresh_views(spark, f"{folder}/views", small_book)
     entered = records.add_investment(
         spark.createDataFrame([("2020-01-06", "2", "2", "11")],
                               "value_date string, share_amount string, account_id string, fund_id string"),
         small_book)
-    records.append_records(entered, stored, "tx", folder)
-    t = small_book.replace(fund_investment_transaction=spark.read.parquet(f"{folder}/tx"))
-    refresh.refresh_view(spark, "portfolio_returns", t, folder, ["portfolio_id"])
-    last = spark.read.parquet(f"{folder}/portfolio_returns").filter("portfolio_id = 1 and date = '2020-01-06'").first()
+    fresh = records.append_records(entered, name, folder)
+    t = small_book.replace(fund_investment_transaction=tables.read(spark, name, folder))
+    views_.refresh("portfolio_returns", t, {name: fresh})
+    assert [c.kind for c in views_.commits("portfolio_returns")] == ["whole", "again"]
+    last = views_.read("portfolio_returns", t).filter("portfolio_id = 1 and date = '2020-01-06'").first()
     assert (last["market_value"], last["cash_flow"]) == (16.5, 4.0)
+    assert rows(views_.read("portfolio_returns", t)) == rows(views.portfolio_returns(t))
 
 
 def test_entered_records_are_read_back_through_the_checked_scan(spark, small_book, tmp_path):
@@ -178,47 +218,113 @@ def test_entered_records_are_read_back_through_the_checked_scan(spark, small_boo
     }
     for name, entered in given.items():
         tables.append(small_book[name], name, folder)
-        before = tables.read(spark, name, folder)
-        records.append_records(entered, before, name, folder, "2024-01-01")
+        before = tables.read(spark, name, folder).count()
+        records.append_records(entered, name, folder, "2024-01-01")
         after = tables.read(spark, name, folder)
-        assert after.count() == before.count() + entered.accepted.count() == after.select("id").distinct().count()
+        assert after.count() == before + entered.accepted.count() == after.select("id").distinct().count()
         assert after.where("last_modification = '2024-01-01'").count() == entered.accepted.count() > 0
     assert sorted(r["id"] for r in tables.read(spark, "rate", folder).collect()) == [102, 201, 202, 203]
 
 
-def test_refresh_can_keep_untouched_partitions(spark, small_book, tmp_path):
-    folder = str(tmp_path)
-    everything = refresh.refresh_view(spark, "account_returns", small_book, folder, ["portfolio_id"])
-    before = everything.count()
-    one = small_book.replace(
-        portfolio_x_account_rltnp=small_book.portfolio_x_account_rltnp.filter("portfolio_id = 2"))
-    again = refresh.refresh_view(spark, "account_returns", one, folder, ["portfolio_id"], only_written=True)
-    assert again.count() == before
-    assert set(refresh.STORED_VIEWS) == {"portfolio_returns", "account_returns", "yield_curve_current", "interest_series"}
+def landed(spark, landing, *staged):
+    spark.createDataFrame(list(staged), PRICES).coalesce(1).write.mode("append").option("header", "true").csv(landing)
+
+
+KEY = ["fund_id", "value_date"]
 
 
 def test_stream_takes_each_file_once_and_later_files_too(spark, small_book, tmp_path):
     folder, landing = str(tmp_path), str(tmp_path / "landing")
-    target = small_book.fund_price.select("fund_id", "value_date", "price")
-    tables.append(target, "fund_price", folder)
-
-    def land(*staged):
-        spark.createDataFrame(list(staged), PRICES).coalesce(1).write.mode("append").option("header", "true").csv(landing)
+    monthly.write(small_book.fund_price.select(*KEY, "price"), "fund_price", folder, "first", schema=schemas.PRICE_ROW)
 
     def run():
-        stream_ingest(
-            spark, landing, schemas.MODEL["ld_fund_price"],
-            lambda batch, stored: loads.load_fund_price_dedup(batch, stored, dedup_batch=True),
-            "fund_price", folder, f"{folder}/checkpoint", fmt="csv", header="true")
-        return spark.read.parquet(f"{folder}/fund_price").count()
+        stream_ingest(spark, landing, schemas.MODEL["ld_fund_price"], loads.typed_fund_prices, KEY, "fund_price", folder,
+                      schemas.PRICE_ROW, f"{folder}/checkpoint", fmt="csv", header="true")
+        return monthly.read(spark, "fund_price", folder, schemas.PRICE_ROW).count()
 
-    land(("2020-01-03", "10", "f", "9"), ("2020-02-03", "10", "f", "1"), ("2020-02-03", "10", "f", "1"))
+    landed(spark, landing, ("2020-01-03", "10", "f", "9"), ("2020-02-03", "10", "f", "1"), ("2020-02-03", "10", "f", "1"))
     assert run() == 6
     assert run() == 6
-    land(("2020-02-03", "10", "f", "1"), ("2020-02-04", "10", "f", "1"))
+    landed(spark, landing, ("2020-02-03", "10", "f", "1"), ("2020-02-04", "10", "f", "1"))
     assert run() == 7
 
 
+def test_a_repeated_batch_adds_nothing(spark, small_book, tmp_path):
+    """Rows without a key, and duplicates that differ in price, in another order each time."""
+    folder = str(tmp_path)
+    staged = [("2020-02-03", "10", "f", "5"), ("2020-02-03", "10", "f", "1"), (None, "10", "f", "7"), ("2020-03-01", "x", "f", "8"),
+              ("2020-03-04", "11", "f", "2"), (None, "10", "f", "7")]
+
+    def take(given, load):
+        take_batch(spark.createDataFrame(given, PRICES), load, loads.typed_fund_prices, KEY, "fund_price", folder, schemas.PRICE_ROW)
+        return (rows(monthly.read(spark, "fund_price", folder, schemas.PRICE_ROW)),
+                rows(monthly.read(spark, "fund_price_rejected", folder, schemas.PRICE_ROW)))
+
+    first = take(staged, "a-1")
+    assert [r[:3] for r in first[0]] == [(10, day("2020-02-03"), 1.0), (11, day("2020-03-04"), 2.0)]
+    assert len(first[1]) == 3
+    assert take(staged[::-1], "a-1") == first
+    more = take([("2020-03-04", "11", "f", "1"), ("2020-03-05", "11", "f", "4")], "a-2")
+    assert len(more[0]) == 3 and more[1] == first[1]
+    assert take(staged, "a-1") == more
+
+
+def test_months_that_a_load_does_not_touch_are_not_read(spark, tmp_path):
+    folder = str(tmp_path)
+    old = spark.createDataFrame([(10, day("2019-05-03"), 1.0), (10, day("2020-03-03"), 1.0), (10, None, 3.0)], schemas.PRICE_ROW)
+    monthly.write(old, "fund_price", folder, "first", schema=schemas.PRICE_ROW)
+    broken = list((tmp_path / "fund_price" / "load=first" / "month=2019-05").glob("*.parquet"))
+    assert broken
+    for path in broken:  # reading this month would fail
+        path.write_bytes(b"no parquet")
+    target = monthly.read(spark, "fund_price", folder, schemas.PRICE_ROW)
+    staged = spark.createDataFrame([("2020-03-03", "10", "f", "1"), ("2020-03-04", "10", "f", "1")], PRICES)
+    assert rows(loads.load_fund_price_dedup(staged, target)) == [(10, day("2020-03-04"), 1.0)]
+    fetched = spark.createDataFrame([(10, day("2020-03-03")), (10, None), (11, None)], "fund_id bigint, date date")
+    assert rows(loads.exclude_known_dates(fetched, target)) == [(11, None)]
+
+
+def test_pages_of_a_load_are_parsed_once(spark, small_book, tmp_path):
+    """The plan that is left after staging neither has patterns nor a second scan of the target."""
+    prices = str(tmp_path / "prices")
+    small_book.fund_price.write.parquet(prices)
+    pages = spark.createDataFrame([(10, "f", "<table></table>" * 6 + "<table><tr><td>d</td></tr><tr><td>2021.01.05.</td><td>5</td></tr></table>")],
+                                  "fund_id bigint, fund_name string, html string")
+    batch = jobs.fetched_fund_prices(pages)
+    fresh = loads.load_fund_price_dedup(batch, spark.read.parquet(prices))
+    text = fresh._jdf.queryExecution().executedPlan().toString()
+    assert "regexp" not in text and text.count(f"{prices}") == 1 and "GreaterThanOrEqual(value_date,2021-01-05)" in text
+    assert rows(fresh) == [(10, day("2021-01-05"), 5.0)]
+
+
+def test_deep_pages(spark):
+    rng = random.Random(3)
+    data = [(i, rng.choice([None, *range(6)]), rng.choice([None, "a", "b", "c"]) if i % 3 else "a") for i in range(900)]
+    df = spark.createDataFrame(data, "id int, x int, y string").repartition(5)
+    order = sorted(data, key=lambda r: (r[1] is None, -(r[1] or 0), r[2] is not None, r[2] or "", r[0]))
+    for skip in (0, 95, 430, 890, 2000):
+        got = [tuple(r) for r in paging.rows_in_order(df, ["-x", "y", "id"], skip, 10, sort_rows=40).collect()]
+        assert got == order[skip:skip + 10]
+    # rows with equal keys cannot be parted, but a page is whole
+    assert len(paging.rows_in_order(df, ["-x"], 200, 10, sort_rows=40).collect()) == 10
+    assert paging.rows_in_order(df.limit(0), ["id"], 200, 10, sort_rows=40).count() == 0
+
+
+def test_nested_tables(spark):
+    cell = "<tr><td>{}</td><td>x</td></tr>"
+    inner = "<table>" + cell.format("inner") + "</table>"
+    seventh = "<TABLE class='t'>" + cell.format("first") + "<tr><td>a" + inner + "b</td></tr>" + cell.format("last") + "</TABLE>"
+    page = "<table>" * 1 + "<tr><td>" + inner * 5 + seventh + "</td></tr></table>" + "<table>" + cell.format("ninth") + "</table>"
+    pages = spark.createDataFrame([(1, page), (2, "no table"), (3, None), (4, inner * 7)], "id int, html string")
+
+    def cells(number):
+        return [tuple(r) for r in html.extract_html_table(pages, number, ["id"], ["c"]).orderBy("id", "row_no").collect()]
+
+    assert cells(7) == [(1, 1, "first"), (1, 2, "ab"), (1, 3, "last"), (4, 1, "inner")]
+    assert cells(9) == [(1, 1, "ninth")]
+    assert cells(8) == [(1, 1, "inner")] and cells(10) == []
+
+
 def test_paging_and_selectors(small_book):
     page = review.table_page(small_book.fund.select("id", "fund_name"), ["id"], page=2, search="FUND", rows=2)
     assert rows(page) == [(12, "fund 12")]
