@@ -1,20 +1,24 @@
 """Removal of repeated byte strings by a depth-limited radix sort of suffixes.
 
-Suffixes are ordered only through the first `window` bytes, most significant digits first, and only as far as they are
-still equal to another one: equal groups at full depth are exactly the windows that occur more than once. What is put
-in order is not each of the suffixes but one in about 180, chosen by content: a window's anchor is the least of the
-hashed grams that start in its first `reach` bytes, so equal windows have their anchor at the same offset. All windows of one
-anchor at once make a block, and each pass deals out blocks by two digits:
+Suffixes are told apart only through their first `window` bytes, most significant digits first, and only as far as they are
+still equal to another one: equal groups at full depth are exactly the windows that occur more than once. What is dealt
+out is not each of the suffixes but one in about 180, chosen by content: a window's anchor is the least of the
+hashed grams that start in its first `reach` bytes, so equal windows have their anchor at the same offset. The windows of an
+anchor are cut into blocks, and each pass deals out blocks by two digits:
 
 * the core, which all windows of the block contain: if it occurs once, none of the windows is repeated;
 * the extent, which contains all of them: if it occurs more than once, all of them are.
 
-Blocks with a repeated core and a single extent are cut into smaller blocks for the next pass, down to one window.
-Blocks with equal extents take part in the next pass as one, so a passage that a third of all documents share is
-counted, never gathered. A block's group is told by two 64-bit hashes, its extent by a third.
+A pass's digits are longer stretches than those of the pass before (for 400 bytes: cores of 225, 379 and 400). Blocks with a
+repeated core and a single extent are cut into smaller blocks for the next pass, down to one window. Blocks with equal
+extents take part in the next pass as one, so a passage that a third of all documents share is counted, never gathered.
+
+A core's digit is a 64-bit hash that only proposes: a collision costs work. What is removed is decided by extents alone,
+and these are told by 128-bit BLAKE2 digests of their bytes.
 
 Defined results: a null text has no bytes; texts shorter than the window lose nothing; repeated rows are copies of
-each other and lose all of their windows; rows with a null id keep their row; extra columns are ignored.
+each other and lose all of their windows; rows with a null id keep their row; a very long text is worked on in
+stretches of STRETCH bytes; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,14 +28,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fundlake.llm import hashing as H
-from fundlake.llm.common import flat_bytes, row_key, slices, split_join, stored
+from fundlake.llm.common import flat_bytes, slices, split_join, stored
 
 WINDOW = 400
-_PLACE_BITS = np.uint64(28)  # of the position in a slice, which is below 256 MB
+STRETCH = 1 << 24  # bytes of a long text whose anchors are sought at once
+_PLACE_BITS = np.uint64(28)  # of the position in a stretch with its margins
 
 
 def reach_of(window: int) -> int:
@@ -41,8 +46,19 @@ def reach_of(window: int) -> int:
 
 
 def _blocks(reach: int) -> list[int]:
-    """Windows per block in each pass after the first."""
-    return sorted({reach // 4, 8, 1} if reach >= 32 else {1}, reverse=True)
+    """Windows per block in each pass."""
+    return sorted({reach // 2, reach // 16, 1} if reach >= 32 else {1}, reverse=True)
+
+
+def _keys(id_column: str, text_column: str) -> Column:
+    """128 bits that stand for a row's id and whole text: the same on every read of the table.
+
+    Rows equal in both share the key, which is harmless as they get the same result; a null id is told from any other.
+    """
+    name = F.col(id_column).cast("string")
+    told = F.concat(F.coalesce(F.length(name).cast("string"), F.lit("-")), F.lit(":"), F.coalesce(name, F.lit("")),
+                    F.coalesce(F.col(text_column), F.lit("")))
+    return F.unhex(F.md5(told))
 
 
 def anchors(sums: np.ndarray, offsets: np.ndarray, window: int, reach: int) -> tuple[np.ndarray, np.ndarray]:
@@ -70,31 +86,69 @@ def anchors(sums: np.ndarray, offsets: np.ndarray, window: int, reach: int) -> t
     return at, hashes[at]
 
 
-def _extent_keys(sums: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """Hashes of data[low:high] together with where the anchor stands in it."""
-    return H.mix(H.stretch(sums, low, high) ^ H.mix(((at - low) * 4096 + (high - at)).astype(np.uint64)))
+def _extent_keys(data: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Digests of data[low:high] together with where the anchor stands in it, 16 bytes each."""
+    flat, digest = data.tobytes(), hashlib.blake2b
+    out = [digest(flat[b:c], digest_size=16, salt=(a - b).to_bytes(8, "little")).digest()
+           for a, b, c in zip(at.tolist(), low.tolist(), high.tolist(), strict=True)]
+    return np.frombuffer(b"".join(out), "S16") if out else np.zeros(0, "S16")
+
+
+def _as_binary(digests: np.ndarray) -> pa.Array:
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(digests), [None, pa.py_buffer(digests.tobytes())]).cast(pa.binary())
 
 
-def _anchored(window: int, reach: int):
+def _cut(sums: np.ndarray, data: np.ndarray, at: np.ndarray, first: np.ndarray, last: np.ndarray, start: np.ndarray, block: int,
+         window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(which blocks are real, cores, extents): the block of windows that start at - d, start <= d < start + block, within
+    the text first to last."""
+    low, high = np.maximum(first, at - start - block + 1), np.minimum(at - start, last - window)
+    real = low <= high
+    at, start, low, high, first, last = (x[real] for x in (at, start, low, high, first, last))
+    # what all windows of the block contain, those beyond the text's ends too: it lies within every real one
+    core = H.stretch(sums, at - start, at - start - block + 1 + window)
+    # the offset belongs to the core's digit: equal strings at other offsets are another anchor's
+    core = H.mix(core + start.astype(np.uint64))
+    return real, core, _extent_keys(data, at, low, high + window)
+
+
+def _stretches(column: pa.Array, window: int, reach: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, int, int, int]]:
+    """(first row, bytes, offsets, base, from, to): runs of short texts, or stretches of a long one with margins; windows
+    that start at from to `to` - 1 are this stretch's, base is the place of its first byte in the text."""
+    margin = window + reach
+    for row, _, data, offsets in slices(column):
+        if len(data) <= STRETCH + 2 * margin:
+            yield row, data, offsets, 0, 0, len(data)
+            continue
+        for begin in range(0, len(data), STRETCH):
+            a, b = max(0, begin - margin), min(len(data), begin + STRETCH + margin)
+            yield row, data[a:b], np.array([0, b - a]), a, begin - a, min(begin + STRETCH, len(data)) - a
+
+
+def _anchored(window: int, reach: int, block: int):
+    """One row for each block of an anchor; blocks of one text that are equal are one row with several places."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, _, data, offsets in slices(batch.column("text")):
+            for row, data, offsets, base, begin, end in _stretches(batch.column("text"), window, reach):
                 sums = H.prefix(data)
-                at, gram = anchors(sums, offsets, window, reach)
+                at, _ = anchors(sums, offsets, window, reach)
+                at = at[(at >= begin) & (at < end)]
                 if not len(at):
                     continue
+                many = reach // block
+                at, start = np.repeat(at, many), np.tile(np.arange(many) * block, len(at))
                 of = np.searchsorted(offsets, at, "right") - 1
-                first, last = offsets[of], offsets[of + 1]
-                extent = _extent_keys(sums, at, np.maximum(first, at - reach + 1), np.minimum(last, at + window))
-                # places of one document that are equal through their extents are one row
-                order = np.lexsort((at, extent, gram, of))
-                of, at, gram, extent, first = (x[order] for x in (of, at, gram, extent, first))
-                new = np.concatenate([[True], (of[1:] != of[:-1]) | (gram[1:] != gram[:-1]) | (extent[1:] != extent[:-1])])
+                real, core, extent = _cut(sums, data, at, offsets[of], offsets[of + 1], start, block, window)
+                of, at, start = of[real], at[real], start[real]
+                order = np.lexsort((at, extent, core, of))
+                of, at, start, core, extent = (x[order] for x in (of, at, start, core, extent))
+                new = np.concatenate([[True], (of[1:] != of[:-1]) | (core[1:] != core[:-1]) | (extent[1:] != extent[:-1])])
                 heads = np.flatnonzero(new)
-                places = pa.ListArray.from_arrays(pa.array(np.append(heads, len(at)).astype(np.int32)), pa.array((at - first).astype(np.int32)))
+                places = pa.ListArray.from_arrays(pa.array(np.append(heads, len(at)).astype(np.int32)),
+                                                  pa.array((at - offsets[of] + base).astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([
-                    batch.column("doc_key").take(pa.array(of[heads] + row)), pa.array(gram[heads].view(np.int64)),
-                    pa.array(extent[heads].view(np.int64)), places], ["doc_key", "gram", "extent", "places"])
+                    batch.column("doc_key").take(pa.array(of[heads] + row)), pa.array(start[heads].astype(np.int32)),
+                    pa.array(core[heads].view(np.int64)), _as_binary(extent[heads]), places], ["doc_key", "start", "core", "extent", "places"])
 
     return run
 
@@ -126,20 +180,20 @@ def _contexts(window: int, reach: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
-            keys, grams, places, before, after, around = [], [], [], [], [], []
+            keys, places, todo, before, after, around = [], [], [], [], [], []
             for key, packed, marks in zip(batch.column("doc_key"), batch.column("packed"), batch.column("marks").to_pylist(), strict=True):
                 text = unpack.decompress(packed.as_py())
                 for mark in marks:
                     at = mark["place"]
                     keys.append(key.as_py())
-                    grams.append(mark["gram"])
                     places.append(at)
+                    todo.append(mark["todo"])
                     before.append(min(at, reach - 1))
                     after.append(min(len(text) - at, window))
                     around.append(text[max(0, at - reach + 1):at + window])
             yield pa.RecordBatch.from_arrays([
-                pa.array(keys, pa.binary()), pa.array(grams, pa.int64()), pa.array(places, pa.int32()), pa.array(before, pa.int32()),
-                pa.array(after, pa.int32()), pa.array(around, pa.binary())], ["doc_key", "gram", "place", "before", "after", "around"])
+                pa.array(keys, pa.binary()), pa.array(places, pa.int32()), pa.array(todo, pa.list_(pa.int32())), pa.array(before, pa.int32()),
+                pa.array(after, pa.int32()), pa.array(around, pa.binary())], ["doc_key", "place", "todo", "before", "after", "around"])
 
     return run
 
@@ -160,19 +214,10 @@ def _digits(window: int, reach: int, block: int):
                 many = outer // block
                 owner, start = np.repeat(owner, many), np.repeat(start, many)
                 start = start + block * (np.arange(len(start)) - np.repeat(np.cumsum(many) - many, many))
-                a, s, e = at[owner], first[owner], last[owner]
-                # windows start at a - d for start <= d < start + block, within the text
-                low, high = np.maximum(s, a - start - block + 1), np.minimum(a - start, e - window)
-                real = low <= high
-                owner, start, a, low, high = (x[real] for x in (owner, start, a, low, high))
-                core_low = a - start
-                core = H.stretch(sums, core_low, core_low - block + 1 + window)
-                extent = _extent_keys(sums, a, low, high + window)
-                # the offset belongs to the core's digit: equal strings at other offsets are another anchor's
-                core = H.mix(core + start.astype(np.uint64))
+                real, core, extent = _cut(sums, data, at[owner], first[owner], last[owner], start, block, window)
                 yield pa.RecordBatch.from_arrays([
-                    part.column("context").take(pa.array(owner)), pa.array(start.astype(np.int32)), part.column("gram").take(pa.array(owner)),
-                    pa.array(core.view(np.int64)), pa.array(extent.view(np.int64))], ["context", "start", "gram", "core", "extent"])
+                    part.column("context").take(pa.array(owner[real])), pa.array(start[real].astype(np.int32)),
+                    pa.array(core.view(np.int64)), _as_binary(extent)], ["context", "start", "core", "extent"])
 
     return run
 
@@ -212,44 +257,48 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _dealt(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """One pass over rows (gram, core, extent, n, item, ...): (rows whose extent is repeated, (item) of one row for each
-    other class of a group that has several classes). A group is a gram with a core."""
-    rows = rows.withColumn("group", F.struct("gram", "core"))
-    twice = rows.groupBy("group").agg(F.sum("n").alias("m")).where("m > 1").select("group")
-    rows = stored(split_join(rows, twice, "group", "left_semi")).withColumn("whole", F.struct("gram", "core", "extent"))
-    classes = stored(rows.groupBy("gram", "core", "extent").agg(F.sum("n").alias("m"), F.min("item").alias("item")))
-    again = classes.where("m > 1").select(F.struct("gram", "core", "extent").alias("whole"))
-    several = classes.groupBy("gram", "core").agg(F.count("*").alias("k")).where("k > 1").select(F.struct("gram", "core").alias("group"))
-    rest = split_join(classes.select(F.struct("gram", "core").alias("group"), "item"), several, "group", "left_semi")
+    """One pass over rows (core, extent, n, item, ...): (rows whose extent is repeated, (item) of one row for each
+    class of a core that has several classes)."""
+    twice = rows.groupBy("core").agg(F.sum("n").alias("m")).where("m > 1").select("core")
+    rows = stored(split_join(rows, twice, "core", "left_semi", merge=True).withColumn("whole", F.struct("core", "extent")), free=True)
+    classes = stored(rows.groupBy("core", "extent").agg(F.sum("n").alias("m"), F.min("item").alias("item")), free=True)
+    again = classes.where("m > 1").select(F.struct("core", "extent").alias("whole"))
+    several = classes.groupBy("core").agg(F.count("*").alias("k")).where("k > 1").select("core")
+    rest = split_join(classes.select("core", "item"), several, "core", "left_semi")
     return split_join(rows, again, "whole", "left_semi"), rest.select("item")
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_key, a, b): spans of bytes, overlapping ones too, that repeated windows cover. docs: doc_key, doc_id, text."""
     reach = reach_of(window)
-    found = stored(docs.select("doc_key", "text").mapInArrow(
-        _anchored(window, reach), "doc_key binary, gram long, extent long, places array<int>"))
-    found = found.withColumns({"core": F.lit(0).cast("long"), "n": F.size("places"),
-                               "item": F.struct("doc_key", "gram", F.col("places")[0].alias("place"))})
+    outer, *blocks = _blocks(reach)
+    found = docs.select("doc_key", "text").where(F.octet_length("text") >= window).mapInArrow(
+        _anchored(window, reach, outer), "doc_key binary, start int, core long, extent binary, places array<int>")
+    found = found.withColumns({"n": F.size("places"), "item": F.struct("doc_key", F.col("places")[0].alias("place"), "start")})
     repeated, rest = _dealt(found)
-    spans = [repeated.select("doc_key", F.explode("places").alias("place")).select(
-        "doc_key", (F.col("place") - reach + 1).cast("long").alias("a"), (F.col("place") + window).cast("long").alias("b"))]
-
-    marks = rest.groupBy("item.doc_key").agg(F.collect_set(F.struct("item.gram", "item.place")).alias("marks"))
+    # a block's windows start `start` to `start + block - 1` bytes before the anchor; beyond the text's ends they are cut later
+    spans = [stored(repeated.select("doc_key", "start", F.explode("places").alias("place")).select(
+        "doc_key", F.greatest(F.lit(0), F.col("place") - F.col("start") - outer + 1).cast("long").alias("a"),
+        (F.col("place") - F.col("start") + window).cast("long").alias("b")), free=True)]
+    if not blocks:
+        return spans[0]
+
+    marks = (rest.groupBy("item.doc_key", "item.place").agg(F.collect_set("item.start").alias("todo"))
+             .groupBy("doc_key").agg(F.collect_list(F.struct("place", "todo")).alias("marks")))
     # a repeated row brings its contexts twice; as all of its windows are repeated, that marks nothing wrongly
     texts = docs.mapInArrow(_packed(window), _packed_schema(docs)).where("packed is not null").select("doc_key", "packed")
     contexts = split_join(texts, marks, "doc_key", merge=True).mapInArrow(
-        _contexts(window, reach), "doc_key binary, gram long, place int, before int, after int, around binary")
-    contexts = stored(contexts.withColumn("context", F.monotonically_increasing_id()))  # from here on read from files
-    outer, todo = reach, contexts.withColumn("todo", F.array(F.lit(0)))
-    for block in _blocks(reach):
-        digits = stored(todo.select("context", "gram", "before", "around", "todo", F.lit(outer).alias("outer")).mapInArrow(
-            _digits(window, reach, block), "context long, start int, gram long, core long, extent long"))
+        _contexts(window, reach), "doc_key binary, place int, todo array<int>, before int, after int, around binary")
+    contexts = stored(contexts.withColumn("context", F.monotonically_increasing_id()), free=True)  # from here on read from files
+    todo, contexts = contexts, contexts.drop("todo")
+    for block in blocks:
+        digits = stored(todo.select("context", "before", "around", "todo", F.lit(outer).alias("outer")).mapInArrow(
+            _digits(window, reach, block), "context long, start int, core long, extent binary"), free=True)
         repeated, rest = _dealt(digits.withColumns({"n": F.lit(1), "item": F.struct("context", "start")}))
         # the windows of a block start `start` to `start + block - 1` bytes before the anchor, within the text
-        spans.append(split_join(repeated.select("context", "start"), contexts.select("context", "doc_key", "place", "before", "after"), "context").select(
+        spans.append(stored(split_join(repeated.select("context", "start"), contexts.select("context", "doc_key", "place", "before", "after"), "context").select(
             "doc_key", (F.col("place") - F.least(F.col("before"), F.col("start") + block - 1)).cast("long").alias("a"),
-            (F.col("place") + F.least(F.col("after"), window - F.col("start"))).cast("long").alias("b")))
+            (F.col("place") + F.least(F.col("after"), window - F.col("start"))).cast("long").alias("b")), free=True))
         if block > 1:
             where = rest.groupBy("item.context").agg(F.collect_set("item.start").alias("todo"))
             todo = split_join(contexts, where, "context")
@@ -266,7 +315,7 @@ def _packed_schema(docs: DataFrame) -> str:
 
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (the removed runs of bytes)."""
-    keyed = docs.select(row_key("doc_id", "text").alias("doc_key"), "doc_id", "text")
+    keyed = docs.select(_keys("doc_id", "text").alias("doc_key"), "doc_id", "text")
     spans = repeated_spans(keyed, window).groupBy("doc_key").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
     texts = keyed.mapInArrow(_packed(window), _packed_schema(keyed))
     kind = docs.schema["doc_id"].dataType.simpleString()

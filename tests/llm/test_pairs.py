@@ -9,6 +9,7 @@ import duckdb
 import pytest
 
 from fundlake.llm import decontaminate, minhash, suffixes
+from fundlake.llm.common import slices
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, hub string, bucket string, component long"
@@ -115,6 +116,41 @@ def test_repeats_equal_brute_force(spark, window):
     assert got == brute_repeats(rows, window)
 
 
+def thue_morse(n, a, b):
+    return "".join(a if bin(i).count("1") % 2 == 0 else b for i in range(n))
+
+
+def test_strings_on_which_weak_hashes_collide_are_kept(spark):
+    rng = random.Random(8)
+    shared = "".join(rng.choice("abcdefg ") for _ in range(150))
+    rows = [(i, shared + thue_morse(256, *pair)) for i, pair in enumerate([")J", "J)", "ab", "ba"])]
+    rows += [(10, thue_morse(1024, "x", "y")), (11, thue_morse(1024, "y", "x"))]
+    got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.without_repeats(documents(
+        spark, [t for _, t in rows], [i for i, _ in rows]), 400).collect()), key=repr)
+    assert got == brute_repeats(rows, 400)
+    assert all(r[2] == 0 for r in got if r[0] < 10)
+
+
+def test_ids_that_hold_the_separator(spark):
+    shared = "".join(random.Random(1).choice("abcdefgh") for _ in range(90))
+    rows = [("1", "2|" + shared + "x"), ("1|2", shared + "x"), (None, "null" + shared), ("null", shared), ("1:2", "z" * 49), ("", "y" * 60)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.without_repeats(docs, 50).collect()), key=repr)
+    assert got == brute_repeats(rows, 50)
+
+
+def test_long_texts_in_stretches(spark, monkeypatch):
+    """Anchors of a long text are sought stretch by stretch; repeats across the stretches' ends are found."""
+    monkeypatch.setattr(suffixes, "STRETCH", 500)
+    monkeypatch.setattr(suffixes, "slices", lambda column, size=300: slices(column, 300))
+    rng = random.Random(6)
+    base = "".join(rng.choice("abcd") for _ in range(4000))
+    rows = [(1, base), (2, "x" + base[450:1300] + "y"), (3, base[900:1000]), (4, base[3300:] + base[:100]), (5, "é" * 700)]
+    docs = documents(spark, [t for _, t in rows], [i for i, _ in rows])
+    got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.without_repeats(docs, 50).collect()), key=repr)
+    assert got == brute_repeats(rows, 50)
+
+
 def test_repeats_in_an_empty_table(spark):
     assert suffixes.without_repeats(documents(spark, [])).count() == 0
 
