@@ -47,7 +47,17 @@ def stored(df: DataFrame, free: bool = False) -> DataFrame:
     finally:
         if free:
             spark.conf.unset(_FREE) if before is None else spark.conf.set(_FREE, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*stores: DataFrame) -> None:
+    """Delete stores of `stored` that nothing reads any more: what was made from them is stored itself."""
+    for df in stores:
+        context = df.sparkSession.sparkContext
+        at = context._jvm.org.apache.hadoop.fs.Path(df.__dict__["stored_at"])
+        at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def row_key(id_column: str, text_column: str) -> Column:

@@ -2,14 +2,14 @@
 
 Suffixes are told apart only through their first `window` bytes, most significant digits first, and only as far as they are
 still equal to another one: equal groups at full depth are exactly the windows that occur more than once. What is dealt
-out is not each of the suffixes but one in about 180, chosen by content: a window's anchor is the least of the
+out is not each of the suffixes but one in about 160, chosen by content: a window's anchor is the least of the
 hashed grams that start in its first `reach` bytes, so equal windows have their anchor at the same offset. The windows of an
 anchor are cut into blocks, and each pass deals out blocks by two digits:
 
 * the core, which all windows of the block contain: if it occurs once, none of the windows is repeated;
 * the extent, which contains all of them: if it occurs more than once, all of them are.
 
-A pass's digits are longer stretches than those of the pass before (for 400 bytes: cores of 225, 379 and 400). Blocks with a
+A pass's digits are longer stretches than those of the pass before (for 400 bytes: cores of 241, 361, 393 and 400). Blocks with a
 repeated core and a single extent are cut into smaller blocks for the next pass, down to one window. Blocks with equal
 extents take part in the next pass as one, so a passage that a third of all documents share is counted, never gathered.
 
@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fundlake.llm import hashing as H
-from fundlake.llm.common import flat_bytes, slices, split_join, stored
+from fundlake.llm.common import discard, flat_bytes, slices, split_join, stored
 
 WINDOW = 400
 STRETCH = 1 << 24  # bytes of a long text whose anchors are sought at once
@@ -42,12 +42,12 @@ _PLACE_BITS = np.uint64(28)  # of the position in a stretch with its margins
 def reach_of(window: int) -> int:
     """Number of grams that can be a window's anchor: nearly the window, and so that blocks divide each other."""
     most = int(window * 0.88)
-    return most // 32 * 32 if most >= 32 else 1 << max(0, most.bit_length() - 1)
+    return most // 40 * 40 if most >= 40 else 1 << max(0, most.bit_length() - 1)
 
 
 def _blocks(reach: int) -> list[int]:
-    """Windows per block in each pass."""
-    return sorted({reach // 2, reach // 16, 1} if reach >= 32 else {1}, reverse=True)
+    """Windows per block in each pass: few enough new blocks for each one that is cut."""
+    return sorted({reach // 2, reach // 8, reach // 40, 1} if reach >= 40 else {1}, reverse=True)
 
 
 def _keys(id_column: str, text_column: str) -> Column:
@@ -89,9 +89,10 @@ def anchors(sums: np.ndarray, offsets: np.ndarray, window: int, reach: int) -> t
 def _extent_keys(data: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """Digests of data[low:high] together with where the anchor stands in it, 16 bytes each."""
     flat, digest = data.tobytes(), hashlib.blake2b
-    out = [digest(flat[b:c], digest_size=16, salt=(a - b).to_bytes(8, "little")).digest()
-           for a, b, c in zip(at.tolist(), low.tolist(), high.tolist(), strict=True)]
-    return np.frombuffer(b"".join(out), "S16") if out else np.zeros(0, "S16")
+    found = b"".join([digest(flat[a:b], digest_size=16).digest() for a, b in zip(low.tolist(), high.tolist(), strict=True)])
+    told = np.frombuffer(found, np.uint64).reshape(-1, 2).copy()
+    told[:, 0] ^= H.mix((at - low).astype(np.uint64))
+    return told.view("V16").reshape(-1)
 
 
 def _as_binary(digests: np.ndarray) -> pa.Array:
@@ -140,9 +141,10 @@ def _anchored(window: int, reach: int, block: int):
                 of = np.searchsorted(offsets, at, "right") - 1
                 real, core, extent = _cut(sums, data, at, offsets[of], offsets[of + 1], start, block, window)
                 of, at, start = of[real], at[real], start[real]
-                order = np.lexsort((at, extent, core, of))
-                of, at, start, core, extent = (x[order] for x in (of, at, start, core, extent))
-                new = np.concatenate([[True], (of[1:] != of[:-1]) | (core[1:] != core[:-1]) | (extent[1:] != extent[:-1])])
+                told = extent.view(np.uint64).reshape(-1, 2)
+                order = np.lexsort((at, told[:, 1], told[:, 0], core, of))
+                of, at, start, core, extent, told = (x[order] for x in (of, at, start, core, extent, told))
+                new = np.concatenate([[True], (of[1:] != of[:-1]) | (core[1:] != core[:-1]) | (told[1:] != told[:-1]).any(1)])
                 heads = np.flatnonzero(new)
                 places = pa.ListArray.from_arrays(pa.array(np.append(heads, len(at)).astype(np.int32)),
                                                   pa.array((at - offsets[of] + base).astype(np.int32)))
@@ -256,16 +258,16 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
 
-def _dealt(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """One pass over rows (core, extent, n, item, ...): (rows whose extent is repeated, (item) of one row for each
-    class of a core that has several classes)."""
-    twice = rows.groupBy("core").agg(F.sum("n").alias("m")).where("m > 1").select("core")
-    rows = stored(split_join(rows, twice, "core", "left_semi", merge=True).withColumn("whole", F.struct("core", "extent")), free=True)
-    classes = stored(rows.groupBy("core", "extent").agg(F.sum("n").alias("m"), F.min("item").alias("item")), free=True)
+def _dealt(rows: DataFrame, n: Column, item: Column) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """One pass over rows (core, extent, ...), each of which stands for n blocks and is named by its item: (rows whose extent
+    is repeated, (item) of one row for each class of a core that has several classes, stores that these two read)."""
+    twice = rows.groupBy("core").agg(F.sum(n).alias("m")).where("m > 1").select("core")
+    rows = stored(split_join(rows, twice, "core", "left_semi", merge=True), free=True)
+    classes = stored(rows.groupBy("core", "extent").agg(F.sum(n).alias("m"), F.min(item).alias("item")), free=True)
     again = classes.where("m > 1").select(F.struct("core", "extent").alias("whole"))
     several = classes.groupBy("core").agg(F.count("*").alias("k")).where("k > 1").select("core")
     rest = split_join(classes.select("core", "item"), several, "core", "left_semi")
-    return split_join(rows, again, "whole", "left_semi"), rest.select("item")
+    return split_join(rows.withColumn("whole", F.struct("core", "extent")), again, "whole", "left_semi"), rest.select("item"), [rows, classes]
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -274,8 +276,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     outer, *blocks = _blocks(reach)
     found = docs.select("doc_key", "text").where(F.octet_length("text") >= window).mapInArrow(
         _anchored(window, reach, outer), "doc_key binary, start int, core long, extent binary, places array<int>")
-    found = found.withColumns({"n": F.size("places"), "item": F.struct("doc_key", F.col("places")[0].alias("place"), "start")})
-    repeated, rest = _dealt(found)
+    found = stored(found, free=True)
+    repeated, rest, done = _dealt(found, F.size("places"), F.struct("doc_key", F.col("places")[0].alias("place"), "start"))
     # a block's windows start `start` to `start + block - 1` bytes before the anchor; beyond the text's ends they are cut later
     spans = [stored(repeated.select("doc_key", "start", F.explode("places").alias("place")).select(
         "doc_key", F.greatest(F.lit(0), F.col("place") - F.col("start") - outer + 1).cast("long").alias("a"),
@@ -290,19 +292,21 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     contexts = split_join(texts, marks, "doc_key", merge=True).mapInArrow(
         _contexts(window, reach), "doc_key binary, place int, todo array<int>, before int, after int, around binary")
     contexts = stored(contexts.withColumn("context", F.monotonically_increasing_id()), free=True)  # from here on read from files
-    todo, contexts = contexts, contexts.drop("todo")
+    discard(found, *done)
+    todo = contexts
     for block in blocks:
         digits = stored(todo.select("context", "before", "around", "todo", F.lit(outer).alias("outer")).mapInArrow(
             _digits(window, reach, block), "context long, start int, core long, extent binary"), free=True)
-        repeated, rest = _dealt(digits.withColumns({"n": F.lit(1), "item": F.struct("context", "start")}))
+        repeated, rest, done = _dealt(digits, F.lit(1), F.struct("context", "start"))
         # the windows of a block start `start` to `start + block - 1` bytes before the anchor, within the text
         spans.append(stored(split_join(repeated.select("context", "start"), contexts.select("context", "doc_key", "place", "before", "after"), "context").select(
             "doc_key", (F.col("place") - F.least(F.col("before"), F.col("start") + block - 1)).cast("long").alias("a"),
             (F.col("place") + F.least(F.col("after"), window - F.col("start"))).cast("long").alias("b")), free=True))
         if block > 1:
-            where = rest.groupBy("item.context").agg(F.collect_set("item.start").alias("todo"))
-            todo = split_join(contexts, where, "context")
+            where = stored(rest.groupBy("item.context").agg(F.collect_set("item.start").alias("todo")), free=True)
+            todo = split_join(contexts.drop("todo"), where, "context")
             outer = block
+        discard(digits, *done)
     out = spans[0]
     for more in spans[1:]:
         out = out.unionByName(more)
