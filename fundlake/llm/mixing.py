@@ -97,7 +97,7 @@ def _measured(docs: DataFrame) -> DataFrame:
 
 def _repeats() -> Column:
     more = (F.col("hash") < F.col("below")) | ((F.col("hash") == F.col("below")) & F.col("equal"))
-    return (F.col("rounds") + F.when(more, 1).otherwise(0)).cast("long")
+    return (F.col("rounds") + F.when(more & (F.col("size") > 0), 1).otherwise(0)).cast("long")
 
 
 def _planned(docs: DataFrame, weights: tuple[float, ...], most: int) -> tuple[DataFrame, DataFrame]:

@@ -169,3 +169,12 @@ def test_queries_are_registered():
     names = __spark_entry__.queries()
     assert {"pipeline", *catalog.QUERIES} <= set(names) and set(__spark_entry__.oracle_sql()) <= set(names)
     assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in catalog.QUERIES) == list(range(1, 11))
+
+
+def test_empty_documents_are_not_repeated_beyond_their_rounds(spark):
+    rows = [(i, "", "a") for i in range(30)] + [(100 + i, "one two three", "a") for i in range(5)] + [(200, "x " * 400, "b")]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    found = mixing.mix(docs).collect()
+    rounds = {r.source: int(r.target // r.source_size) for r in found}
+    assert all(r.repeats <= rounds[r.source] for r in found if r.size == 0)
+    assert all(r.repeats <= 3 for r in found)
