@@ -3,12 +3,14 @@
 Folding takes a text to lower-case Latin letters and single spaces: accents and homoglyphs of other scripts become the
 letters they resemble, digits and signs inside a word the letters they replace, invisible characters vanish,
 everything else parts words. An entry is a whole word or the beginning of a word. Hits inside an exception phrase do
-not count. A text's score is a logistic function of the weight of its hits, absolute and per word.
+not count. A text's score is a logistic function of the weight of its hits, absolute and per word, and of the share of
+its words that begin with one of the dense entries.
 
-The lexicon starts from SEED and learns from labelled rows: candidate entries are the words and word beginnings of
-toxic texts that clean texts lack; they are taken greedily by the number of toxic texts they explain, where a text
-already explained counts half as much each time. So words that only some copies of a toxic text have in common are
-not needed and stay out.
+The lexicon starts from SEED and learns from labelled rows. Candidate entries are the words and word beginnings of
+toxic texts that clean texts lack, and, as dense entries, beginnings that at least one word in a hundred of a toxic text
+has while clean texts have them now and then at most. They are taken greedily by the number of toxic texts they explain,
+where a text already explained counts half as much each time. So words that only some copies of a toxic text have in
+common are not needed and stay out.
 
 Defined results: null and empty texts have no hits and get the score of a text without hits; without labels of both
 kinds the seed list and fixed weights are used; repeated rows get equal scores; extra columns are ignored.
@@ -16,6 +18,7 @@ kinds the seed list and fixed weights are used; repeated rows get equal scores;
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -36,9 +39,13 @@ EXCEPTIONS = ("trash can", "trash bin", "trash bag", "garbage can", "garbage tru
 #: Letters of other scripts that look like Latin ones, and the signs that stand for letters.
 HOMOGLYPHS = dict(zip("авсенкморѕтухіјԁԛɡαβεηικνορτυχωΑΒΕΗΙΚΜΝΟΡΤΥΧ", "abcehkmopstyxijdqgabeniknopruxwabehikmnoptyx", strict=True))
 SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "€": "e"}
+_INNER_SIGNS = re.compile(r"(?<=[^\W_])[$!]+(?=[^\W_])")  # elsewhere they are no letters
 _PREFIXES = (4, 5, 6)
+_DENSE_PREFIXES = (4, 5, 6, 7, 8)
 _LEAST_TEXTS = 3
 _PRECISION = 0.95
+_DENSE_PRECISION = 0.8  # a beginning met by chance is common in some long text
+_PER_WORDS = 100  # a dense entry is held by a text with one hit or more in so many words
 
 
 class _Folding(dict):
@@ -62,16 +69,18 @@ _FOLDING = _Folding()
 
 def folded(text: str | None) -> str:
     """Lower-case letters and single spaces, with one space at either end."""
-    return f" {' '.join((text or '').translate(_FOLDING).split())} "
+    text = _INNER_SIGNS.sub(lambda m: m[0].replace("$", "s").replace("!", "i"), text or "")
+    return f" {' '.join(text.translate(_FOLDING).split())} "
 
 
 @dataclass
 class Lexicon:
-    """Entries with weights (" word " or " beginning") and the coefficients of the score."""
+    """Entries with weights (" word " or " beginning"), dense entries (" beginning") and the coefficients of the score."""
 
     weights: dict[str, float]
-    coefficients: tuple[float, ...] = (-6.0, 4.0, 1.0, 0.5)
+    coefficients: tuple[float, ...] = (-6.0, 4.0, 1.0, 0.5, 0.0, 0.0)
     exceptions: tuple[str, ...] = EXCEPTIONS
+    dense: frozenset[str] = frozenset()
     _automaton: object = field(default=None, repr=False, compare=False)
 
     def __getstate__(self):
@@ -82,33 +91,50 @@ class Lexicon:
             import ahocorasick
 
             self._automaton = ahocorasick.Automaton()
-            for entry, weight in self.weights.items():
-                self._automaton.add_word(entry, (entry, weight))
+            for entry in self.weights.keys() | self.dense:
+                self._automaton.add_word(entry, (entry, self.weights.get(entry, 0.0)))
             for phrase in self.exceptions:
                 self._automaton.add_word(folded(phrase), (folded(phrase), None))
             self._automaton.make_automaton()
         return self._automaton
 
-    def hits(self, text: str) -> list[tuple[str, float]]:
-        """At most one hit for each word of a folded text: its heaviest entry, unless a phrase excuses the word."""
+    def found(self, text: str) -> tuple[list[tuple[str, float]], int]:
+        """(hits, words of the commonest dense entry) of a folded text. At most one hit for each word: its heaviest entry.
+        A word that a phrase excuses does not count."""
         best: dict[int, tuple[str, float]] = {}
+        dense: dict[str, list[int]] = defaultdict(list)
         excused: list[tuple[int, int]] = []
         for end, (entry, weight) in self.automaton().iter(text):
             at = end - len(entry) + 1
             if weight is None:
                 excused.append((at, end))
-            elif at not in best or best[at][1] < weight:
+                continue
+            if entry in self.dense:
+                dense[entry].append(at)
+            if weight > 0 and (at not in best or best[at][1] < weight):
                 best[at] = (entry, weight)
         if excused:
-            best = {p: e for p, e in best.items() if not any(a <= p < b for a, b in excused)}
-        return [best[p] for p in sorted(best)]
+            covered = {p for a, b in excused for p in range(a, b)}  # phrases are short
+            best = {p: e for p, e in best.items() if p not in covered}
+            dense = {e: [p for p in places if p not in covered] for e, places in dense.items()}
+        return [best[p] for p in sorted(best)], max(map(len, dense.values()), default=0)
+
+    def hits(self, text: str) -> list[tuple[str, float]]:
+        """The hits of a folded text."""
+        return self.found(text)[0]
 
-    def features(self, hits: list[tuple[str, float]], words: int) -> tuple[float, ...]:
+    def features(self, hits: list[tuple[str, float]], words: int, dense: int = 0) -> tuple[float, ...]:
         total = sum(w for _, w in hits)
-        return (1.0, float(bool(hits)), float(np.log1p(total)), float(np.log1p(100 * total / (words + 10))))
+        return (1.0, float(bool(hits)), float(np.log1p(total)), float(np.log1p(100 * total / (words + 10))),
+                float(dense > 1 and _PER_WORDS * dense >= words), float(np.log1p(100 * dense / (words + 10))))
 
-    def score(self, hits: list[tuple[str, float]], words: int) -> float:
-        return float(1 / (1 + np.exp(-np.clip(np.dot(self.coefficients, self.features(hits, words)), -30, 30))))
+    def score(self, hits: list[tuple[str, float]], words: int, dense: int = 0) -> float:
+        return float(1 / (1 + np.exp(-np.clip(np.dot(self.coefficients, self.features(hits, words, dense)), -30, 30))))
+
+    def score_of(self, text: str) -> float:
+        """The score of a folded text."""
+        hits, dense = self.found(text)
+        return self.score(hits, text.count(" ") - 1, dense)
 
 
 def seed_lexicon() -> Lexicon:
@@ -116,8 +142,16 @@ def seed_lexicon() -> Lexicon:
 
 
 def _entries(text: str) -> set[str]:
-    found = set(text.split())
-    return {f" {w} " for w in found if len(w) > 2} | {f" {w[:n]}" for w in found for n in _PREFIXES if len(w) >= n}
+    """What a folded text holds; dense entries are marked by a tilde, which no folded text has."""
+    words = text.split()
+    often = Counter(words)
+    beginnings: Counter = Counter()
+    for word, n in often.items():
+        for size in _DENSE_PREFIXES:
+            if len(word) >= size:
+                beginnings[word[:size]] += n
+    return ({f" {w} " for w in often if len(w) > 2} | {f" {w[:n]}" for w in often for n in _PREFIXES if len(w) >= n}
+            | {f"~ {b}" for b, n in beginnings.items() if n > 1 and _PER_WORDS * n >= len(words)})
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +180,8 @@ def _described(lexicon: Lexicon):
             rows = []
             for text in batch.column("text").to_pylist():
                 text = folded(text)
-                rows.append(list(lexicon.features(lexicon.hits(text), text.count(" ") - 1)))
+                hits, dense = lexicon.found(text)
+                rows.append(list(lexicon.features(hits, text.count(" ") - 1, dense)))
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), batch.column("y")], ["x", "y"])
 
     return run
@@ -179,16 +214,20 @@ def learn(rows: DataFrame) -> Lexicon:
     n_toxic, n_clean = n[1], n[0]
     # precision as if both kinds were equally frequent
     ratio = F.col("n_toxic") / n_toxic / (F.col("n_toxic") / n_toxic + F.col("n_clean") / n_clean)
+    least = F.when(F.col("entry").startswith("~"), _DENSE_PRECISION).otherwise(_PRECISION)
     candidates = {r.entry: (r.n_toxic, r.n_clean) for r in
                   counted.where(F.col("n_toxic") >= _LEAST_TEXTS).where(ratio >= 0.95)
-                  .where(F.col("n_toxic") >= _PRECISION * (F.col("n_toxic") + F.col("n_clean"))).collect()}
+                  .where(F.col("n_toxic") >= least * (F.col("n_toxic") + F.col("n_clean"))).collect()}
     holding = defaultdict(list)
     for i, r in enumerate(rows.where("y = 1").mapInArrow(_holding(frozenset(candidates)), "entries array<string>").collect()):
         for entry in r.entries:
             holding[entry].append(i)
-    for entry in _greedy(holding, max(_LEAST_TEXTS - 1, 0.003 * n_toxic)):
+    chosen = _greedy(holding, max(_LEAST_TEXTS - 1, 0.003 * n_toxic))
+    lexicon.dense = frozenset(e[1:] for e in chosen if e.startswith("~"))
+    for entry in chosen:
         a, b = candidates[entry]
-        lexicon.weights[entry] = float(np.log((a + 0.5) / (n_toxic + 1)) - np.log((b + 0.5) / (n_clean + 1)))
+        if not entry.startswith("~"):
+            lexicon.weights[entry] = float(np.log((a + 0.5) / (n_toxic + 1)) - np.log((b + 0.5) / (n_clean + 1)))
     found = rows.mapInArrow(_described(lexicon), "x array<double>, y int").collect()
     lexicon.coefficients = _logistic(np.array([r.x for r in found]), np.array([r.y for r in found], float))
     return lexicon
@@ -222,9 +261,9 @@ def _scored(lexicon: Lexicon):
             scores, hits, words, terms = [], [], [], []
             for value in batch.column("text"):
                 text = folded(value.as_py())
-                found = lexicon.hits(text)
+                found, dense = lexicon.found(text)
                 n = text.count(" ") - 1
-                scores.append(lexicon.score(found, n))
+                scores.append(lexicon.score(found, n, dense))
                 hits.append(len(found))
                 words.append(max(n, 0))
                 terms.append(sorted({e.strip() for e, _ in found}))
@@ -257,8 +296,7 @@ def _clean(lexicon: Lexicon, threshold: float):
         for batch in batches:
             keep = []
             for value in batch.column("text"):
-                text = folded(value.as_py())
-                keep.append(lexicon.score(lexicon.hits(text), text.count(" ") - 1) < threshold)
+                keep.append(lexicon.score_of(folded(value.as_py())) < threshold)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return run
