@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 _BASE = 0x9E3779B97F4A7C15 | 3  # odd, so that its powers can be divided out
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _CODES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+_LONG = 64
+_KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 _powers = {_BASE: np.ones(1, np.uint64), _INVERSE: np.ones(1, np.uint64)}
 
 
@@ -40,6 +44,24 @@ def stretch(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix((sums[end] - sums[start]) * _table(_INVERSE, len(sums) - 1)[start] + (end - start).astype(np.uint64))
 
 
+def tokens(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words data[start:end], no polynomials: each eight bytes go through a bijection that depends on
+    all bytes before; words beyond _LONG bytes take BLAKE2b."""
+    size = end - start
+    out = mix(size.astype(np.uint64) * np.uint64(_BASE) + _CODES[0])
+    eights = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(8, np.uint8)]), 8)
+    short = np.flatnonzero(size <= _LONG)
+    for at in range(0, _LONG, 8):
+        short = short[size[short] > at]
+        if not len(short):
+            break
+        lane = np.ascontiguousarray(eights[start[short] + at]).view("<u8")[:, 0] & _KEEP[np.minimum(size[short] - at, 8)]
+        out[short] = mix((out[short] ^ lane) * np.uint64(_BASE) + _CODES[1])
+    for i in np.flatnonzero(size > _LONG):
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i]:end[i]], digest_size=8).digest(), "little")
+    return out
+
+
 def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, first word of each row): maximal runs of word bytes that end where a row ends.
 

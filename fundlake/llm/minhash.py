@@ -13,11 +13,12 @@ pair by pair inside a bucket:
    order "tokens outside the hub's set first". Members of a family larger than a block are grouped by such tokens,
    large groups are cut into pairs of blocks, and the similarity follows exactly from the differences.
 
-Shingles are held as 64-bit hashes, so sets are equal up to a chance of about 1e-13 per pair. A pair at the
+Shingles are held as 64-bit hashes of hashed words; two different ones are equal with a chance of about 5e-20. A pair at the
 threshold shares no band with a chance of at most 3e-7 (`bands_for`).
 
-Defined results: a null or blank text has an empty set and no link; repeated rows are copies of each other; a row
-with a null id takes no part (component_id and kept are null). Extra columns are ignored.
+Defined results: a null or blank text has an empty set and no link; repeated rows are copies of each other; of several
+texts with one id each counts and links on its own, so its rows may have different components; ids may be of any type that
+has an order; a row with a null id takes no part (component_id and kept are null). Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from fundlake.llm import hashing as H
 from fundlake.llm.common import components, flat_bytes, slices, split_join, stored
@@ -67,7 +69,7 @@ def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
     for _, _, data, offsets in slices(column):
         data = H.LOWER[data]
         start, end, first = H.words(data, offsets, H.SPACED)
-        word = H.stretch(H.prefix(data), start, end)
+        word = H.tokens(data, start, end)
         runs = len(word) - size + 1
         if runs > 0:
             grams = word[:runs] * _FACTORS[0]
@@ -277,8 +279,25 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     Two documents link if 100 * intersection >= percent * union of their sets of distinct runs of `words` words;
     a text of fewer words has its whole sequence as its one shingle.
     """
+    docs = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    whole = isinstance(docs.schema["doc_id"].dataType, IntegralType)
+    if whole and docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return _near_duplicates(docs.withColumn("doc_id", F.col("doc_id").cast("long")), words, percent)
+    # ids that do not tell rows apart, or are no numbers: stored numbers of the rows stand for them
+    numbered = stored(docs.withColumn("row", F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id())))
+    found = stored(_near_duplicates(numbered.select(F.col("row").alias("doc_id"), "text"), words, percent)
+                   .select(F.col("doc_id").alias("row"), "n_shingles", F.col("component_id").alias("component")))
+    named = stored(split_join(found.where("row is not null"), numbered.where("row is not null").select("row", "doc_id"), "row"))
+    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    result = split_join(named, least, "component").select("doc_id", "n_shingles", "component_id").unionByName(
+        found.where("row is null").select(F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), "n_shingles",
+                                          F.lit(None).cast(docs.schema["doc_id"].dataType).alias("component_id")))
+    return result.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+def _near_duplicates(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The same for (doc_id, text) whose ids are long and different, or null."""
     bands, rows = bands_for(percent)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     described = stored(docs.mapInArrow(_described(words, bands, rows),
                                        "doc_id long, n_shingles long, digest binary, bands array<long>, sketch binary"))
     classes = stored(described.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id")))
