@@ -11,7 +11,10 @@ other and everything else in the pruning. A node found stands for all its rows:
 k + 1 smallest ids are compared, more cannot be among the k nearest besides the query itself.
 
 Searches of many points run together: one step expands the best open candidate of each of them with numpy. Distances
-during a search are single precision; the returned ones are recomputed in double precision on the original vectors.
+during a search are single precision, on vectors divided by a power of two near the shard's largest component; a query
+far outside the shard is drawn near along its direction for the search. The returned distances are recomputed in double
+precision on the original vectors, each scaled by a power of two, so that no square leaves the range of doubles. In a
+shard whose vectors differ by some 1e18 in magnitude the small ones are one node.
 
 The shards hold all vectors, none is left out. The query set is sent to the shards in blocks of QUERY_BLOCK, so neither
 a shard nor a block of queries grows with the table; the work is queries times shards, which is the stated query set
@@ -39,6 +42,7 @@ DEGREE = 24
 ALPHA = 1.2
 BUILD_BEAM = 48
 SEARCH_BEAM = 64
+_FAR = 6  # a query beyond 2**6 times the shard's size is drawn near
 
 
 def _distances(points: np.ndarray, ids: np.ndarray, targets: np.ndarray) -> np.ndarray:
@@ -47,6 +51,18 @@ def _distances(points: np.ndarray, ids: np.ndarray, targets: np.ndarray) -> np.n
     return np.einsum("ijk,ijk->ij", difference, difference)
 
 
+def _exact(points: np.ndarray, rows: np.ndarray, targets: np.ndarray) -> np.ndarray:
+    """Distances of targets[i] to points[rows[i]]; a scale that is a power of two changes no digit of them."""
+    difference = points[rows] - targets
+    _, power = np.frexp(np.abs(difference).max(1, initial=0.0))
+    return np.ldexp(np.sqrt((np.ldexp(difference, -power[:, None]) ** 2).sum(1)), power)
+
+
+def _power(matrix: np.ndarray) -> int:
+    """The power of two just above the largest component."""
+    return int(np.frexp(np.abs(matrix).max(initial=0.0))[1])
+
+
 def beam_search(points: np.ndarray, graph: np.ndarray, entry: int, targets: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
     """(ids, squared distances) of the `beam` best found for each target, nearest first; -1 and infinity where fewer.
 
@@ -154,7 +170,8 @@ def _indexed(degree: int, alpha: float, beam: int):
     """The graph of one shard, one row per vector; rows of equal vectors share a place."""
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("vec_id", ignore_index=True)
-        points = _matrix(group["vector"]).astype(np.float32)
+        points = _matrix(group["vector"])
+        points = np.ldexp(points, -_power(points)).astype(np.float32)
         first, place = _copies(points)
         graph, entry = build(points[first], degree, alpha, beam)
         group["place"] = place.astype(np.int32)
@@ -176,12 +193,15 @@ def _searched(k: int, beam: int):
         shard = shard[shard.groupby(copy).cumcount() <= k].reset_index(drop=True)
         exact, ids = _matrix(shard["vector"]), shard["vec_id"].to_numpy()
         _, heads, many = np.unique(shard["place"].to_numpy(), return_index=True, return_counts=True)
-        points, graph = exact[heads].astype(np.float32), np.stack(shard["neighbours"].iloc[heads].to_list()).astype(np.int64)
+        power = _power(exact)
+        points, graph = np.ldexp(exact[heads], -power).astype(np.float32), np.stack(shard["neighbours"].iloc[heads].to_list()).astype(np.int64)
         wanted, names = _matrix(queries["query_vector"]), queries["query_id"].to_numpy()
         out = []
         for at in range(0, len(wanted), 512):
             targets, named = wanted[at:at + 512], names[at:at + 512]
-            found, _ = beam_search(points, graph, int(shard["entry"].iloc[0]), targets.astype(np.float32), min(beam, len(points)))
+            size = np.frexp(np.abs(targets).max(1))[1]  # each target's own power of two
+            near = np.ldexp(targets, -np.maximum(power, size - _FAR)[:, None]).astype(np.float32)
+            found, _ = beam_search(points, graph, int(shard["entry"].iloc[0]), near, min(beam, len(points)))
             # every row of the nodes found
             asks, columns = np.nonzero(found >= 0)
             nodes = found[asks, columns]
@@ -189,9 +209,8 @@ def _searched(k: int, beam: int):
             rows = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(heads[nodes], sizes)
             other = ids[rows] != named[asks]
             asks, rows = asks[other], rows[other]
-            far = np.concatenate([np.zeros(0), *(_distances(exact, rows[i:i + 32768, None], targets[asks[i:i + 32768]])[:, 0]
+            far = np.concatenate([np.zeros(0), *(_exact(exact, rows[i:i + 32768], targets[asks[i:i + 32768]])
                                                  for i in range(0, len(rows), 32768))])
-            far = np.sqrt(np.maximum(far, 0))
             order = np.lexsort((ids[rows], far, asks))
             asks, rows, far = asks[order], rows[order], far[order]
             top = np.arange(len(asks)) - np.searchsorted(asks, asks) < k
