@@ -16,6 +16,7 @@ a null id marks words but is not counted among the items; repeated rows each get
 from __future__ import annotations
 
 from collections.abc import Iterator
+from string import ascii_lowercase, ascii_uppercase
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,8 @@ from fundlake.llm.common import row_key, slices
 
 SHINGLE = 3
 BLOCK_WORDS = 200_000  # of benchmark text in one block: some 25 MB on each worker
+PIECE_WORDS = 2_000  # new words in one piece of a long item
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _FACTORS = np.random.default_rng(41).integers(1, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -163,11 +166,20 @@ def _hits(shared, every_row: bool):
 
 
 def blocks_of(benchmark: DataFrame, size: int) -> Iterator[Windows]:
-    """The benchmark in blocks of about BLOCK_WORDS words, dealt by a hash of the item."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null")
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    """The benchmark in blocks of about BLOCK_WORDS words, dealt by a hash of the piece.
+
+    Repeated items count once, and items of more than PIECE_WORDS words are cut into pieces that overlap by all words of a
+    window but one, so that every window lies in a piece and neither copies nor one long item fill a block.
+    """
+    words = F.regexp_extract_all(F.translate("text", ascii_uppercase, ascii_lowercase), F.lit(WORD), F.lit(0))
+    items = (benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null").distinct()
+             .select("item_id", words.alias("words")).where(F.size("words") > 0))
+    starts = F.sequence(F.lit(0), F.greatest(F.size("words") - size, F.lit(0)), F.lit(PIECE_WORDS))
+    pieces = items.select("item_id", F.explode(F.transform(starts, lambda at: F.array_join(
+        F.slice("words", at + 1, PIECE_WORDS + size - 1), " "))).alias("text")).distinct()
+    total = pieces.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-int(total) // (4 * BLOCK_WORDS)))
-    dealt = items.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)))
+    dealt = pieces.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)))
     for part in range(n):
         yield Windows([(r.item_id, r.text) for r in dealt.where(F.col("part") == part).collect()], size)
 
