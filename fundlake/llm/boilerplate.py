@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -130,6 +131,8 @@ def blocks(page: str) -> list[Block]:
     """The text blocks of a page in order."""
     found: list[Block] = []
     stack: list[tuple[str, str]] = []
+    places_of: dict[str, list[int]] = defaultdict(list)  # where the open elements of a name stand in the stack
+    plain: list[int] = []  # where the open block elements stand
     counts = {"silent": 0, "boilerplate": 0, "form": 0, "named": 0, "aside": 0, "article": 0, "plain": 0}
     places: list[tuple[int, bool]] = []
     soft: list[list] = []
@@ -155,6 +158,9 @@ def blocks(page: str) -> list[Block]:
         nonlocal elements
         while len(stack) > depth:
             name, kind = stack.pop()
+            places_of[name].pop()
+            if name not in _INLINE:
+                plain.pop()
             counts[kind] -= 1
             elements -= kind == "article" and name in ("article", "main")
             if kind in _SOFT:
@@ -179,8 +185,9 @@ def blocks(page: str) -> list[Block]:
         if name not in _INLINE:
             flush()
         if match["end"]:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if depth is not None and (name not in _INLINE or all(n in _INLINE for n, _ in stack[depth:])):
+            # an inline element ends only where no block has begun within it
+            depth = places_of[name][-1] if places_of[name] else None
+            if depth is not None and (name not in _INLINE or not plain or plain[-1] < depth):
                 close(depth)
             continue
         if name in _VOID:
@@ -203,6 +210,9 @@ def blocks(page: str) -> list[Block]:
             inner.append(len(soft) - 1)
         elif name == "main" and kind == "article" and not counts["boilerplate"] and inner[-1] >= 0:
             soft[inner[-1]][3] = True
+        places_of[name].append(len(stack))
+        if name not in _INLINE:
+            plain.append(len(stack))
         stack.append((name, kind))
         counts[kind] += 1
         elements += kind == "article" and name in ("article", "main")
