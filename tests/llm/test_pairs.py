@@ -7,6 +7,7 @@ import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from fundlake.llm import decontaminate, minhash, suffixes
 from fundlake.llm.common import slices
@@ -78,6 +79,25 @@ def test_near_duplicates_of_odd_rows(spark):
     assert minhash.near_duplicates(documents(spark, [])).count() == 0
 
 
+def test_words_on_which_weak_hashes_collide_stay_apart(spark):
+    texts = [thue_morse(1024, a, b) for a, b in ("ab", "ba", "cd", "dc", ")J", "J)")] + ["x" * 64, "x" * 65, "x" * 72, "x" * 65]
+    got = {(r.doc_id, r.component_id) for r in minhash.near_duplicates(documents(spark, texts), 3, 85).collect()}
+    assert got == {(i, 7 if i == 9 else i) for i in range(10)}
+
+
+def test_several_texts_of_one_id_all_link(spark):
+    rng = random.Random(3)
+    base = [[f"w{rng.randrange(10**6)}" for _ in range(50)] for _ in range(2)]
+    near = [" ".join([*b[:-1], "other"]) for b in base]
+    rows = [(1, " ".join(base[0])), (1, " ".join(base[1])), (3, near[1]), (5, near[0]), (7, "alone"), (7, "alone"), (7, None), (None, near[0])]
+    want = sorted([(1, 1), (1, 1), (3, 1), (5, 1), (7, 7), (7, 7), (7, 7), (None, None)], key=str)
+    docs = documents(spark, [t for _, t in rows], [i for i, _ in rows])
+    assert sorted(((r.doc_id, r.component_id) for r in minhash.near_duplicates(docs).collect()), key=str) == want
+    named = docs.withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    got = sorted(((r.doc_id, r.component_id) for r in minhash.near_duplicates(named).collect()), key=str)
+    assert got == sorted([(i and f"d{i}", c and f"d{c}") for i, c in want], key=str)
+
+
 def test_bands_rarely_miss_a_pair_at_the_threshold():
     for percent in (50, 80, 85, 95, 100):
         bands, rows = minhash.bands_for(percent)
@@ -180,6 +200,25 @@ def test_decontamination_equals_its_sql(spark, monkeypatch):
     assert left.columns == docs.columns and left.count() == sum(not r[5] for r in want)
 
 
+def test_blocks_hold_every_window_of_long_and_repeated_items(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "PIECE_WORDS", 7)
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 60)
+    texts = [" ".join(f"W{(i * 7 + k) % 90}É" for i in range(n)) for k, n in enumerate((1, 9, 10, 11, 16, 17, 300))] + ["--", None]
+    rows = [(f"i{k}", t) for k, t in enumerate(texts)] + [("i6", texts[6])] * 200
+    blocks = list(decontaminate.blocks_of(spark.createDataFrame(rows, "item_id string, text string"), 10))
+    got = collections.defaultdict(set)
+    for block in blocks:
+        assert sum(map(len, block.windows)) < 10 * 60
+        for window, items in zip(block.windows, block.items, strict=True):
+            got[window] |= set(items)
+    want = collections.defaultdict(set)
+    for item, text in rows:
+        words = decontaminate.words_of(text)
+        for at in range(max(1, len(words) - 9) if words else 0):
+            want[tuple(words[at:at + 10])].add(item)
+    assert got == want and len(blocks) > 3
+
+
 def test_decontamination_of_empty_tables(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert [r.contaminated for r in decontaminate.contamination(documents(spark, ["a b"]), bench).collect()] == [False]
