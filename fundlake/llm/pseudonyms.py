@@ -10,15 +10,17 @@ values different ones, and whoever has the key can undo it.
 | card | Luhn, 13 to 19 digits | all digits but the first | first digit, spacing; the check digit is computed anew |
 | phone, North America | area and exchange codes | area, exchange and line number | country code, spacing |
 | phone, other with + | 9 to 15 digits | digits after the first two | first two digits, spacing |
-| ssn | area, group and serial ranges | whole number | dashes |
+| ssn | area, group and serial ranges, with dashes or blanks | whole number | separators |
 | ip | four octets | whole address | |
 | iban | mod 97 | account part, each character within its class | country, spacing; check digits are computed anew |
 | date | calendar | the day within its 400 years (1800 to 2199, ...) | order of the parts, separators |
 
 Dates with slashes are read month first, and day first where that is no date. A date with a one-digit day or month gets
 one without leading zeros; however it is written, a day becomes the same day. North American numbers may be written with
-any or no gaps after a +1 or around an area code in parentheses, otherwise with gaps. A number that fails its validation is
-not personal data of that kind and stays.
+any or no gaps after a +1 or around an area code in parentheses, otherwise with gaps. What follows a card or an account as
+if it were a further group (an expiry, a check number, a word in capitals) stays, and the longest valid number before it
+is replaced. A number that fails its validation is not personal data of that kind and stays. The days of the years 1 to 199
+and 9800 to 9999 are permuted among themselves, so that a year keeps its four digits.
 
 Defined results: a null text stays null, an empty one empty; other columns and rows, repeated ones and null ids
 included, stay as they are. Each text is rewritten on its own, whole, without any shuffle.
@@ -27,6 +29,7 @@ included, stay as they are. Each text is rewritten on its own, whole, without an
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -44,7 +47,7 @@ PATTERNS = {
     "date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}|[0-9]{1,2}[.][0-9]{1,2}[.][0-9]{4}"
             r"|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4})(?![0-9]|[/-][0-9]|[.][0-9])",
     "ip": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])",
-    "ssn": r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9]|-[0-9])",
+    "ssn": r"(?<![0-9-])(?!000|666|9)[0-9]{3}(?<dash>[ -])(?!00)[0-9]{2}\k<dash>(?!0000)[0-9]{4}(?![0-9]|[ -][0-9])",
     "card": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?<gap>[ -])[0-9]{4}\k<gap>[0-9]{4}\k<gap>[0-9]{1,4}(?:\k<gap>[0-9]{1,3})?"
             r"|[0-9]{4}(?<slot>[ -])[0-9]{6}\k<slot>[0-9]{5})(?![0-9])",
 }
@@ -146,13 +149,27 @@ def _luhn_sum(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), add)
 
 
+def _head(value: Column, gap: str, valid: Callable[[Column], Column]) -> Column:
+    """The longest valid run of groups from the start of the value; null if there is none."""
+    def runs(groups: Column) -> Column:
+        lengths = F.transform(F.sequence(F.size(groups), F.lit(1), F.lit(-1)),
+                              lambda n: F.length(F.array_join(F.slice(groups, F.lit(1), n), " ")))
+        return F.get(F.filter(F.transform(lengths, lambda n: F.substring(value, F.lit(1), n)), valid), F.lit(0))
+
+    return _let(F.split(value, gap), runs)
+
+
 def _card(key: str, value: Column) -> Column:
     def new(digits: Column) -> Column:
         n = F.length(digits)
         body = F.concat(F.substring(digits, 1, 1), _digits_permuted(key, "card", F.substring(digits, F.lit(2), n - 2)))
         return _let(body, lambda b: F.concat(b, F.pmod(10 - _luhn_sum(F.concat(b, F.lit("0"))) % 10, F.lit(10)).cast("string")))
 
-    return _let(_digits(value), lambda digits: F.when(_luhn_sum(digits) % 10 == 0, _laid_out(value, new(digits))).otherwise(value))
+    def replaced(head: Column) -> Column:
+        return F.concat(_laid_out(head, new(_digits(head))), F.substring(value, F.length(head) + 1, F.length(value)))
+
+    return _let(_head(value, "[ -]", lambda head: (_luhn_sum(_digits(head)) % 10 == 0) & F.length(_digits(head)).between(13, 19)),
+                lambda head: F.when(head.isNotNull(), replaced(head)).otherwise(value))
 
 
 def _phone(key: str, value: Column) -> Column:
@@ -187,7 +204,8 @@ def _ssn(key: str, value: Column) -> Column:
     def written(a: Column, b: Column) -> Column:
         new = F.floor(a / 99) + 1
         new = new + F.when(new >= 666, 1).otherwise(0)
-        return F.concat_ws("-", *(F.lpad(x.cast("string"), n, "0") for x, n in ((new, 3), (a % 99 + 1, 2), (b + 1, 4))))
+        area, group, serial = (F.lpad(x.cast("string"), n, "0") for x, n in ((new, 3), (a % 99 + 1, 2), (b + 1, 4)))
+        return F.concat(area, F.substring(value, 4, 1), group, F.substring(value, 4, 1), serial)
 
     return _permuted(key, "ssn", place * 99 + group - 1, serial - 1, _long(898 * 99), _long(9999), written)
 
@@ -208,17 +226,25 @@ def _mod97(text: Column) -> Column:
 
 
 def _iban(key: str, value: Column) -> Column:
-    def replaced(plain: Column) -> Column:
+    def plain_of(text: Column) -> Column:
+        return F.replace(text, F.lit(" "), F.lit(""))
+
+    def valid(head: Column) -> Column:
+        return _let(plain_of(head), lambda plain: F.length(plain).between(15, 34) & (
+            _mod97(F.concat(F.substring(plain, F.lit(5), F.length(plain)), F.substring(plain, 1, 4))) == 1))
+
+    def replaced(head: Column, plain: Column) -> Column:
         country, account = F.substring(plain, 1, 2), F.substring(plain, F.lit(5), F.length(plain))
-        valid = (_mod97(F.concat(account, F.substring(plain, 1, 4))) == 1) & F.length(plain).between(15, 34)
         new = _let(_characters_permuted(key, "iban", account), lambda n: F.concat(
             country, F.lpad((98 - _mod97(F.concat(n, country, F.lit("00")))).cast("string"), 2, "0"), n))
-        return F.when(valid, _laid_out(value, new, "[A-Z0-9]")).otherwise(value)
+        return F.concat(_laid_out(head, new, "[A-Z0-9]"), F.substring(value, F.length(head) + 1, F.length(value)))
 
-    return _let(F.replace(value, F.lit(" "), F.lit("")), replaced)
+    return _let(_head(value, " ", valid), lambda head: F.when(
+        head.isNotNull(), _let(plain_of(head), lambda plain: replaced(head, plain))).otherwise(value))
 
 
 _CYCLE = 27 * 5411  # days of 400 years
+_EARLY, _LATE = (13, 5591), (184, 397)  # whose products are the days of the years 1 to 199 and 9800 to 9999
 
 
 def _date(key: str, value: Column) -> Column:
@@ -228,10 +254,15 @@ def _date(key: str, value: Column) -> Column:
                 & (day <= F.dayofmonth(F.last_day(F.make_date(F.greatest(year, F.lit(1)), F.least(F.greatest(month, F.lit(1)), F.lit(12)), F.lit(1))))))
         start = F.lit("1800-01-01").cast("date")
 
+        def chosen(early: Column | int, late: Column | int, other: Column | int) -> Column:
+            return F.when(year < 200, _long(early)).when(year >= 9800, _long(late)).otherwise(_long(other))
+
         def moved(at: Column) -> Column:
-            within = F.pmod(at, _long(_CYCLE))
-            return _permuted(key, "date", F.floor(within / 5411), within % 5411, _long(27), _long(5411), lambda a, b: F.date_add(
-                start, (F.floor(at / _CYCLE) * _CYCLE + a * 5411 + b).cast("int")))
+            first = chosen(*((date(y, 1, 1) - date(1800, 1, 1)).days for y in (1, 9800)), F.floor(at / _CYCLE) * _CYCLE)
+            many, size = chosen(_EARLY[0], _LATE[0], 27), chosen(_EARLY[1], _LATE[1], 5411)
+            return _let(at - first, lambda within: _permuted(
+                key, "date", F.floor(within / size), within % size, many, size,
+                lambda a, b: F.date_add(start, (first + a * size + b).cast("int"))))
 
         return F.when(real, _let(_long(F.datediff(F.make_date(year, month, day), start)), moved))
 

@@ -117,6 +117,25 @@ def test_layouts_of_personal_values(spark):
     assert masked(spark, ["+44 20 7123 4567 2024"])[0].endswith(" 2024") and "7123 4567" not in masked(spark, ["+44 20 7123 4567 2024"])[0]
 
 
+def test_values_before_what_looks_like_a_further_group(spark):
+    cards = ["4111 1111 1111 1111 123", "4111 1111 1111 1111 12/27", "5500 0000 0000 0004 04/26", "4111-1111-1111-1111-12"]
+    accounts = ["ES91 2100 0418 4502 0005 1332 BIC", "AT61 1904 3002 3457 3201 THIS", "AT611904300234573201 THIS IS", "DE89 3704 0044 0532 0130 00 FOR"]
+    others = ["123 45 6789", "0001-01-01", "31.12.9999", "9800-02-28", "0199-12-31", "4111 1111 1111 1112 123"]
+    got = [t[4:-6] for t in masked(spark, [f"see {v} there" for v in cards + accounts + others])]
+    for value, new in zip(cards, got, strict=False):
+        assert value[:19] != new[:19] and luhn(re.sub("[^0-9]", "", new[:19])) and value[19:] == new[19:]
+    assert len({re.sub("[^0-9]", "", got[i])[:16] for i in (0, 1, 3)}) == 1
+    for value, new in zip(accounts, got[4:], strict=False):
+        plain = re.sub(" (BIC|THIS|THIS IS|FOR)$", "", new).replace(" ", "")
+        assert new != value and new.split()[-1] == value.split()[-1]
+        assert int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+    assert got[5].replace(" ", "") == got[6].replace(" ", "")[:24]
+    ssn, *days, kept = got[8:]
+    assert re.fullmatch(r"(?!123 45 6789)[0-9]{3} [0-9]{2} [0-9]{4}", ssn) and kept == others[-1]
+    assert re.fullmatch(r"0[01]\d\d-\d\d-\d\d", days[0]) and re.fullmatch(r"\d\d\.\d\d\.9[89]\d\d", days[1])
+    assert re.fullmatch(r"9[89]\d\d-\d\d-\d\d", days[2]) and re.fullmatch(r"0[01]\d\d-\d\d-\d\d", days[3])
+
+
 def test_permutation_of_a_whole_domain(spark):
     rows = spark.range(1000).select(pseudonyms._digits_permuted("k", "t", F.lpad(F.col("id").cast("string"), 3, "0")).alias("x"))
     assert sorted(r.x for r in rows.collect()) == [f"{i:03d}" for i in range(1000)]
