@@ -12,12 +12,16 @@ values different ones, and whoever has the key can undo it.
 | phone, other with + | 9 to 15 digits | digits after the first two | first two digits, spacing |
 | ssn | area, group and serial ranges, with dashes or blanks | whole number | separators |
 | ip | four octets | whole address | |
-| iban | mod 97 | account part, each character within its class | country, spacing; check digits are computed anew |
+| ip, version 6 | eight groups, or fewer around a double colon | all digits, decimal ones and letters apart | colons, lengths of groups |
+| iban | mod 97 | account part, each character within its class | country, spacing, case; check digits are computed anew |
 | date | calendar | the day within its 400 years (1800 to 2199, ...) | order of the parts, separators |
+| date with the month's English name | calendar | the same day as in digits | order, separators, case and short form of the name |
 
 Dates with slashes are read month first, and day first where that is no date. A date with a one-digit day or month gets
 one without leading zeros; however it is written, a day becomes the same day. North American numbers may be written with
-any or no gaps after a +1 or around an area code in parentheses, otherwise with gaps. What follows a card or an account as
+any or no gaps after a +1 or around an area code in parentheses or after a word such as tel or phone, otherwise with gaps.
+Accounts in lower case are read where they are written without blanks. An address of version 6 that is written in two ways
+gets two pseudonyms. What follows a card or an account as
 if it were a further group (an expiry, a check number, a word in capitals) stays, and the longest valid number before it
 is replaced. A number that fails its validation is not personal data of that kind and stays. The days of the years 1 to 199
 and 9800 to 9999 are permuted among themselves, so that a year keeps its four digits.
@@ -36,23 +40,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
+_MONTH = (r"(?i:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?"
+          r"|nov(?:ember)?|dec(?:ember)?)")
+_ORDINAL = r"[0-9]{1,2}(?:st|nd|rd|th)?"
+_HEX = r"[0-9A-Fa-f]{1,4}"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: Kinds in the order in which they are tried at a place.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}(?![A-Za-z0-9@])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+            r"|(?<![A-Za-z0-9])[a-z]{2}[0-9]{2}[a-z0-9]{11,30}(?![A-Za-z0-9])",
     "phone": r"(?<![A-Za-z0-9+])(?:(?:\+1[ .-]?(?:\([2-9][0-9]{2}\)|[2-9][0-9]{2})|(?:1[ .-]?)?\([2-9][0-9]{2}\))[ .-]?[2-9][0-9]{2}[ .-]?[0-9]{4}"
-             r"|(?:1[ .-]?)?[2-9][0-9]{2}[ .-][2-9][0-9]{2}[ .-][0-9]{4})(?![0-9])",
+             r"|(?:1[ .-]?)?[2-9][0-9]{2}[ .-][2-9][0-9]{2}[ .-][0-9]{4}"
+             r"|(?i:tel|telephone|phone|mobile|cell|fax|call)(?i: no| number| at| is)?[.:]{0,2} ?[2-9][0-9]{2}[2-9][0-9]{6})(?![0-9])",
     "world": r"(?<![A-Za-z0-9+])\+[2-9](?:[ .()-]{0,2}[0-9]){8,14}(?![0-9])",
     "date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}|[0-9]{1,2}[.][0-9]{1,2}[.][0-9]{4}"
             r"|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4})(?![0-9]|[/-][0-9]|[.][0-9])",
+    "named": rf"(?<![A-Za-z0-9])(?:{_ORDINAL}(?: of)?[ -]{_MONTH}[.]?,?[ -][0-9]{{4}}|{_MONTH}[.]? {_ORDINAL},? [0-9]{{4}})(?![A-Za-z0-9])",
+    "ip6": rf"(?<![A-Za-z0-9:.])(?:(?:{_HEX}:){{7}}{_HEX}|[0-9A-Fa-f]{{3,4}}(?::{_HEX}){{0,5}}::(?:{_HEX}(?::{_HEX}){{0,5}})?)(?![A-Za-z0-9:])",
     "ip": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])",
     "ssn": r"(?<![0-9-])(?!000|666|9)[0-9]{3}(?<dash>[ -])(?!00)[0-9]{2}\k<dash>(?!0000)[0-9]{4}(?![0-9]|[ -][0-9])",
     "card": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?<gap>[ -])[0-9]{4}\k<gap>[0-9]{4}\k<gap>[0-9]{1,4}(?:\k<gap>[0-9]{1,3})?"
             r"|[0-9]{4}(?<slot>[ -])[0-9]{6}\k<slot>[0-9]{5})(?![0-9])",
 }
 _ANY = "|".join(PATTERNS.values())
-_LOWER, _UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -96,7 +108,7 @@ def _digits_permuted(key: str, kind: str, digits: Column) -> Column:
                      lambda a, b: F.concat(F.lpad(a.cast("string"), left, "0"), F.lpad(b.cast("string"), right, "0")))
 
 
-def _characters_permuted(key: str, kind: str, text: Column) -> Column:
+def _characters_permuted(key: str, kind: str, text: Column, classes: tuple[str, ...] = (_DIGITS, _LOWER, _UPPER)) -> Column:
     """A permutation of the strings whose characters are of the same classes at the same places: two halves in turn
     shift each other's letters and digits within their classes."""
     left = F.ceil(F.length(text) / 2).cast("int")
@@ -109,8 +121,7 @@ def _characters_permuted(key: str, kind: str, text: Column) -> Column:
                 place = F.pmod(F.instr(F.lit(letters), c) - 1 + by, F.lit(len(letters)))
                 return F.substring(F.lit(letters), (place + 1).cast("int"), F.lit(1))
 
-            return (F.when(c.between("0", "9"), within("0123456789")).when(c.between("a", "z"), within(_LOWER))
-                    .when(c.between("A", "Z"), within(_UPPER)).otherwise(c))
+            return reduce(lambda rest, x: F.when(c.between(x[0], x[-1]), within(x)).otherwise(rest), reversed(classes), c)
 
         characters = F.filter(F.split(half, ""), lambda c: c != "")
         return _let(_keyed(key, kind, i, other),
@@ -216,6 +227,12 @@ def _ip(key: str, value: Column) -> Column:
         ".", *(x.cast("string") for x in (F.floor(a / 256), a % 256, F.floor(b / 256), b % 256))))
 
 
+def _ip6(key: str, value: Column) -> Column:
+    new = _characters_permuted(key, "ip6", value, (_DIGITS, _LOWER[:6], _UPPER[:6]))
+    groups = F.size(F.filter(F.split(value, ":"), lambda g: g != ""))
+    return F.when(value.rlike("[0-9]") & ((groups < 8) | ~value.contains("::")), new).otherwise(value)
+
+
 def _mod97(text: Column) -> Column:
     """The remainder of a text of digits and capitals (A = 10, ...) read as a number."""
     def add(rest: Column, c: Column) -> Column:
@@ -227,7 +244,7 @@ def _mod97(text: Column) -> Column:
 
 def _iban(key: str, value: Column) -> Column:
     def plain_of(text: Column) -> Column:
-        return F.replace(text, F.lit(" "), F.lit(""))
+        return F.upper(F.replace(text, F.lit(" "), F.lit("")))
 
     def valid(head: Column) -> Column:
         return _let(plain_of(head), lambda plain: F.length(plain).between(15, 34) & (
@@ -237,7 +254,8 @@ def _iban(key: str, value: Column) -> Column:
         country, account = F.substring(plain, 1, 2), F.substring(plain, F.lit(5), F.length(plain))
         new = _let(_characters_permuted(key, "iban", account), lambda n: F.concat(
             country, F.lpad((98 - _mod97(F.concat(n, country, F.lit("00")))).cast("string"), 2, "0"), n))
-        return F.concat(_laid_out(head, new, "[A-Z0-9]"), F.substring(value, F.length(head) + 1, F.length(value)))
+        written = _laid_out(head, F.when(head == F.upper(head), new).otherwise(F.lower(new)), "[A-Za-z0-9]")
+        return F.concat(written, F.substring(value, F.length(head) + 1, F.length(value)))
 
     return _let(_head(value, " ", valid), lambda head: F.when(
         head.isNotNull(), _let(plain_of(head), lambda plain: replaced(head, plain))).otherwise(value))
@@ -247,29 +265,30 @@ _CYCLE = 27 * 5411  # days of 400 years
 _EARLY, _LATE = (13, 5591), (184, 397)  # whose products are the days of the years 1 to 199 and 9800 to 9999
 
 
-def _date(key: str, value: Column) -> Column:
-    def shifted(year: Column, month: Column, day: Column) -> Column:
-        """The permuted day, or null where there is no such day."""
-        real = (month.between(1, 12) & (year >= 1) & (day >= 1)
-                & (day <= F.dayofmonth(F.last_day(F.make_date(F.greatest(year, F.lit(1)), F.least(F.greatest(month, F.lit(1)), F.lit(12)), F.lit(1))))))
-        start = F.lit("1800-01-01").cast("date")
+def _day(key: str, year: Column, month: Column, day: Column) -> Column:
+    """The permuted day, or null where there is no such day."""
+    real = (month.between(1, 12) & (year >= 1) & (day >= 1)
+            & (day <= F.dayofmonth(F.last_day(F.make_date(F.greatest(year, F.lit(1)), F.least(F.greatest(month, F.lit(1)), F.lit(12)), F.lit(1))))))
+    start = F.lit("1800-01-01").cast("date")
 
-        def chosen(early: Column | int, late: Column | int, other: Column | int) -> Column:
-            return F.when(year < 200, _long(early)).when(year >= 9800, _long(late)).otherwise(_long(other))
+    def chosen(early: Column | int, late: Column | int, other: Column | int) -> Column:
+        return F.when(year < 200, _long(early)).when(year >= 9800, _long(late)).otherwise(_long(other))
 
-        def moved(at: Column) -> Column:
-            first = chosen(*((date(y, 1, 1) - date(1800, 1, 1)).days for y in (1, 9800)), F.floor(at / _CYCLE) * _CYCLE)
-            many, size = chosen(_EARLY[0], _LATE[0], 27), chosen(_EARLY[1], _LATE[1], 5411)
-            return _let(at - first, lambda within: _permuted(
-                key, "date", F.floor(within / size), within % size, many, size,
-                lambda a, b: F.date_add(start, (first + a * size + b).cast("int"))))
+    def moved(at: Column) -> Column:
+        first = chosen(*((date(y, 1, 1) - date(1800, 1, 1)).days for y in (1, 9800)), F.floor(at / _CYCLE) * _CYCLE)
+        many, size = chosen(_EARLY[0], _LATE[0], 27), chosen(_EARLY[1], _LATE[1], 5411)
+        return _let(at - first, lambda within: _permuted(
+            key, "date", F.floor(within / size), within % size, many, size,
+            lambda a, b: F.date_add(start, (first + a * size + b).cast("int"))))
 
-        return F.when(real, _let(_long(F.datediff(F.make_date(year, month, day), start)), moved))
+    return F.when(real, _let(_long(F.datediff(F.make_date(year, month, day), start)), moved))
 
+
+def _date(key: str, value: Column) -> Column:
     def read(order: str, sign: str) -> Column:
         year, month, day = (F.get(F.split(value, "[./-]"), order.index(c)).cast("int") for c in "ymd")
         full, short = (sign.join(forms[c] for c in order) for forms in ({"y": "yyyy", "m": "MM", "d": "dd"}, {"y": "yyyy", "m": "M", "d": "d"}))
-        return _let(shifted(year, month, day), lambda new: F.when(
+        return _let(_day(key, year, month, day), lambda new: F.when(
             value.rlike("(?<![0-9])[0-9](?![0-9])"), F.date_format(new, short)).otherwise(F.date_format(new, full)))
 
     month_first = F.coalesce(read("mdy", "/"), read("dmy", "/"))
@@ -278,13 +297,34 @@ def _date(key: str, value: Column) -> Column:
     return F.coalesce(new, value)
 
 
+def _named(key: str, value: Column) -> Column:
+    """A date with the month's name: the parts that are written are replaced, each in its form."""
+    of_day, of_name = r"(?<![0-9])[0-9]{1,2}(?![0-9])", "[A-Za-z]{3,}"
+    day, name = F.regexp_extract(value, of_day, 0), F.regexp_extract(value, of_name, 0)
+    month = (F.instr(F.lit("janfebmaraprmayjunjulaugsepoctnovdec"), F.substring(F.lower(name), 1, 3)) + 2) / 3
+
+    def written(new: Column) -> Column:
+        n = F.dayofmonth(new)
+        ending = F.when(n.between(11, 13), "th").when(n % 10 == 1, "st").when(n % 10 == 2, "nd").when(n % 10 == 3, "rd").otherwise("th")
+        number = F.concat(F.when(day.startswith("0"), F.date_format(new, "dd")).otherwise(n.cast("string")),
+                          F.when(value.rlike("[0-9](?:st|nd|rd|th)"), ending).otherwise(""))
+        short = F.lower(name).isin("jan", "feb", "mar", "apr", "jun", "jul", "aug", "sep", "sept", "oct", "nov", "dec")
+        word = F.when(short, F.date_format(new, "MMM")).otherwise(F.date_format(new, "MMMM"))
+        word = F.when(name == F.upper(name), F.upper(word)).when(name == F.lower(name), F.lower(word)).otherwise(word)
+        text = F.regexp_replace(value, F.lit("[0-9]{4}"), F.date_format(new, "yyyy"))
+        return F.regexp_replace(F.regexp_replace(text, F.lit(of_day + "(?:st|nd|rd|th)?"), number), F.lit(of_name), word)
+
+    year = F.regexp_extract(value, "[0-9]{4}", 0).cast("int")
+    return _let(_day(key, year, month.cast("int"), day.cast("int")), lambda new: F.coalesce(written(new), value))
+
+
 def _email(key: str, value: Column) -> Column:
     at = F.instr(value, "@")
     local = F.substring(value, F.lit(1), at - 1)
     return F.concat(_characters_permuted(key, "email", local), F.substring(value, at, F.length(value)))
 
 
-_METHODS = {"email": _email, "iban": _iban, "phone": _phone, "world": _world, "date": _date, "ip": _ip, "ssn": _ssn, "card": _card}
+_METHODS = {"email": _email, "iban": _iban, "phone": _phone, "world": _world, "date": _date, "named": _named, "ip6": _ip6, "ip": _ip, "ssn": _ssn, "card": _card}
 
 
 def kind_of(value: Column) -> Column:
