@@ -13,7 +13,9 @@ from fundlake.sources.tables import Tables  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    return compare.session()
+    session = compare.session()
+    session.conf.set("spark.sql.maxMetadataStringLength", 10_000)  # else plans cut the paths of long temporary folders
+    return session
 
 
 @pytest.fixture(scope="session")
